@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name, module of the operator.
 _MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op3_substring_dedup": "substring_dedup",
+    "op5_minhash_near_dedup": "near_duplicates",
     "op8_packing": "packing",
+    "op10_language_id": "language_id",
 }
 
 
