@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name, module of the operator.
 _MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_url_filter": "url_filter",
     "op3_substring_dedup": "substring_dedup",
+    "op4_license_scan": "license_scan",
     "op5_minhash_near_dedup": "near_duplicates",
+    "op7_bpe": "bpe",
     "op8_packing": "packing",
+    "op9_ann": "ann",
     "op10_language_id": "language_id",
 }
 
