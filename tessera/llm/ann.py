@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import ship, stored, table
 
 SAMPLE = 20_000
 RERANK = 400
@@ -185,6 +185,7 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pa
 def search(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by inner product."""
     spark = candidates.sparkSession
+    ship(spark)
     rows, asked = usable(candidates, id_col, vec_col), usable(queries, id_col, vec_col)
     kind = candidates.schema[vec_col].dataType.elementType.simpleString()
     real = np.dtype({"float": np.float32, "double": np.float64}[kind])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once per application.
+
+    Executors need not have it installed: it goes out as a zip file with
+    Spark's own distribution of Python files.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as d:
+        shutil.copytree(package, f"{d}/in/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tessera-')}/{package.name}", "zip", f"{d}/in"))
+    context._tessera_shipped = True
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; no words for null."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

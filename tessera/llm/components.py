@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import ship, stored
 
 #: Edges that one union-find holds before it hands on its forest.
 FOREST_EDGES = 500_000
@@ -71,6 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     folder, run until every edge leads to the least node of its component.  A
     hub's rows are only aggregated and joined, never gathered in one task.
     """
+    ship(edges.sparkSession)
     a, b = edges.columns[:2]
     forest = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long")
     now, mark = stored(forest, "edges"), None

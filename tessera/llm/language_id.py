@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, table
+from tessera.llm.common import held_out, ship, table
 
 BUCKETS = 1 << 15
 #: First code points of Unicode script ranges, coarse; class 0 holds whatever is not listed.
@@ -117,6 +117,7 @@ class Model:
 
 def train(docs: DataFrame, switch_penalty: float = 12.0, script_share: float = 0.01) -> Model:
     """The model of ``docs`` (text, lang); null texts and languages teach nothing."""
+    ship(docs.sparkSession)
     rows = docs.select("text", "lang").where("text is not null and lang is not null").mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique().tolist())
     counts = np.zeros((len(langs), BUCKETS + len(NAMES)), dtype=np.int64)
@@ -199,6 +200,7 @@ _SPANS_PA = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of ``keep``, lang_pred, score and spans of each text; no shuffle."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ _MODULES = {
     "op3_substring_dedup": "substring_dedup",
     "op4_license_scan": "license_scan",
     "op5_minhash_near_dedup": "near_duplicates",
+    "op6_token_shards": "token_shards",
     "op7_bpe": "bpe",
     "op8_packing": "packing",
     "op9_ann": "ann",

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACE_RUN, SPACES, stored, table, words
+from tessera.llm.common import SPACE_RUN, SPACES, ship, stored, table, words
 from tessera.llm.superminhash import mix, word_hashes
 
 #: Windows that a task holds before it settles and hands on what it has.
@@ -189,6 +189,7 @@ def repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col:
     ``row`` is ``row_key`` of the input row.  The texts that are shuffled are
     those with a candidate window only.
     """
+    ship(docs.sparkSession)
     half = (length + 1) // 2
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where("text is not null")
     first = stored(texts.mapInArrow(_first_level(length, half), _RUNS), "level")
