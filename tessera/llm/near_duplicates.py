@@ -165,7 +165,8 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates one document stays.
 
-    Links at a similarity of 0.8 or more; repeated rows of one id are one document.
+    Links at a similarity of 0.8 or more; repeated rows of one id are one
+    document; rows without an id stay, as no group can be named by them.
     """
     del spark, sf_dir
     gone = near_duplicates(docs, 80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()

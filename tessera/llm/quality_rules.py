@@ -163,11 +163,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go.
 
-    The verdict rests on the row's own text and the model, so it is recomputed
-    beside the text in one scan instead of joined back by id.
+    Verdicts meet the texts again by a hash of id and text, so rows that share
+    or lack an id are judged each by its own text.
     """
     del spark, sf_dir
-    counted = stored(features(docs), "quality-features")
-    model = fit_rules(counted)
-    verdicts = judge(counted, model).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_id"]), "left_semi")
+    key = F.xxhash64("doc_id", "text")
+    counted = stored(features(docs.select(key.alias("key"), "text"), "key"), "quality-features")
+    rejected = judge(counted, fit_rules(counted)).where("not kept").select(F.col("key").alias("_rejected")).distinct()
+    return docs.join(rejected, key == F.col("_rejected"), "left_anti")
