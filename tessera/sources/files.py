@@ -23,7 +23,7 @@ def dependency_list(cell: Column, strict: bool = False) -> Column:
 
     Tokens that are no number are dropped; ``strict`` makes them an error.
     """
-    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), lambda x: F.trim(x))
     kept = F.filter(parts, (lambda x: x != "") if strict else (lambda x: x.rlike("^[0-9]+$")))
     return F.transform(kept, lambda x: x.cast("long"))
 
