@@ -29,6 +29,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ship, table
 
 #: Pieces that a worker remembers, and texts whose new pieces are encoded together.
-REMEMBERED, TOGETHER = 400_000, 10_000
+REMEMBERED, TOGETHER = 400_000, 1_000
 #: White space of the tokenizer's regular expressions.
 _BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _BLANKS = re.compile(_BLANK + "+")
@@ -86,12 +87,14 @@ class WordBpe:
         self.path, self._lib = path, None
         self._letters = byte_letters()
         self._byte = {x: i for i, x in enumerate(self._letters)}
-        self._first = [self.vocab.get(x) for x in self._letters]
-        self._last = [self.vocab.get(x + self.end) for x in self._letters]
+        if any(x not in self.vocab or x + self.end not in self.vocab for x in self._letters):
+            raise ValueError("the vocabulary lacks single bytes")
+        self._first = np.array([self.vocab[x] for x in self._letters], dtype=np.int32)
+        self._last = np.array([self.vocab[x + self.end] for x in self._letters], dtype=np.int32)
         self._pieces = regex.compile(pattern.replace(r"\s", _BLANK[1:-1]))
         self._plain = re.compile(pattern.replace(r"\s", " ").replace(r"\p{L}", _LATIN).replace(r"\p{N}", "0-9"))
         self._split = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str | int, tuple[int, ...]] = {}
 
     def normalise(self, text: str) -> str:
         """NFC, each run of blanks one blank, lower case letter by letter (no final sigma)."""
@@ -137,14 +140,16 @@ class WordBpe:
         at[at == len(self._keys)] = 0
         return np.where(self._keys[at] == key, self._key_rank[at], -1)
 
-    def merge(self, words: list[list[int]]) -> list[tuple[int, ...]]:
-        """Applies the merges to all symbol sequences at once."""
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        symbol = np.fromiter((x for w in words for x in w), dtype=np.int32, count=int(sizes.sum()))
+    def merge(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """The ids of some pieces, none empty; the merges apply to all at once."""
+        raw = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        octets = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ends, begins = np.cumsum(sizes) - 1, np.cumsum(sizes) - sizes
+        symbol = self._first[octets]
+        symbol[ends] = self._last[octets[ends]]
         n = len(symbol)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        ends = np.cumsum(sizes)[sizes > 0] - 1
-        begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         after = np.arange(1, n + 1, dtype=np.int32)
         before = np.arange(-1, n - 1, dtype=np.int32)
         after[ends], before[begins] = -1, -1
@@ -193,32 +198,19 @@ class WordBpe:
             h = before[at]
             enter(np.unique(np.concatenate([h[h >= 0], at[k >= 0]])))
         left = np.flatnonzero(symbol >= 0)
-        ids, bounds = symbol[left].tolist(), np.searchsorted(word[left], np.arange(len(words) + 1)).tolist()
+        ids, bounds = symbol[left].tolist(), np.searchsorted(word[left], np.arange(len(raw) + 1)).tolist()
         return [tuple(ids[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.pieces(t) for t in texts]
         known = self._known
-        fresh = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in known and not isinstance(p, int)]
-        if len(known) + len(fresh) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            fresh = list(dict.fromkeys(p for c in cut for p in c if not isinstance(p, int)))
-        first, last = self._first, self._last
-        start = []
-        for p in fresh:
-            raw = p.encode()
-            start.append([x for x in (*(first[c] for c in raw[:-1]), last[raw[-1]]) if x is not None])
-        known.update(zip(fresh, self.merge(start), strict=True))
-        out = []
-        for c in cut:
-            ids: list[int] = []
-            for p in c:
-                if isinstance(p, int):
-                    ids.append(p)
-                else:
-                    ids += known[p]
-            out.append(ids)
-        return out
+        known.update((i, (i,)) for i in self.special.values())  # a special token is its own id already
+        fresh = list(set().union(*cut).difference(known))
+        if fresh:
+            known.update(zip(fresh, self.merge(fresh), strict=True))
+        return [list(chain.from_iterable(map(known.__getitem__, c))) for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks, special ones included; the file names no decoder."""
