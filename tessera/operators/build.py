@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as t
+from tessera.storage import stored
 
 TRIAL_SCHEMA = (
     "nct_id string, url string, title string, brief_summary string, eligibility_criteria string, conditions array<string>, "
@@ -95,30 +96,30 @@ def build_graph(spark: SparkSession, trials: DataFrame, domain: str, domain_labe
 
     A root, its frames, the most frequent labels of each category up to its
     limit, each label once over all categories, then trials by how much they
-    tell until ``max_concepts`` nodes.  What is ranked by a window is at most
-    the sum of the category limits (times the categories) plus
-    ``max_concepts`` trials; the counts before it are distributed.
+    tell until ``max_concepts`` nodes.  Counting and ranking are distributed;
+    the driver settles the labels, of which each category sends as many as the
+    limits add up to, and ``max_concepts`` trials are numbered.
     """
+    trials = stored(trials, "trials")
     codes = {code: i for i, (code, _, _) in enumerate(RANKED)}
-    code_order = F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.col("taxonomy_id"))
-    limit_of = F.element_at(F.create_map(*[F.lit(x) for code, _, n in RANKED for x in (code, n)]), F.col("taxonomy_id"))
-    total = sum(n for _, _, n in RANKED)
-    ranked = ranked_labels(attribute_labels(trials), ["taxonomy_id"])
-    # a label beyond this place cannot get in: at most ``total`` labels of earlier categories can be skipped before it
-    ranked = ranked.where(F.col("place") <= total + limit_of)
     frames = [f"{domain_label} clinical trial landscape", *[f for _, f, _ in RANKED]]
-    fresh = ranked.where(~F.lower("label").isin(*[f.lower() for f in frames]))
-    key = F.lower("label")
-    # an earlier category keeps a label only if it makes that category's limit, so categories are settled in order
-    chosen: DataFrame | None = None
+    # of labels that differ in case only the first counts; one beyond this place cannot get in, since the
+    # labels skipped before it are those of frames and other categories
+    most = sum(n for _, _, n in RANKED) + len(frames)
+    ranked = ranked_labels(attribute_labels(trials), ["taxonomy_id"])
+    ranked = ranked.groupBy("taxonomy_id", F.lower("label").alias("key")).agg(F.min_by("label", "place").alias("label"), F.min("place").alias("place"))
+    place = F.row_number().over(Window.partitionBy("taxonomy_id").orderBy("place"))
+    first = ranked.withColumn("place", place).where(F.col("place") <= most).collect()  # ``most`` rows a category
+    used, rows = {f.lower() for f in frames}, []
     for code, _, n in RANKED:
-        own = fresh.where(F.col("taxonomy_id") == code).withColumn("key", key)
-        own = own.withColumn("_again", F.row_number().over(Window.partitionBy("key").orderBy("place"))).where("_again = 1")
-        if chosen is not None:
-            own = own.join(F.broadcast(chosen.select("key")), "key", "left_anti")  # at most the sum of the limits
-        own = own.orderBy("place").limit(n).select("taxonomy_id", "label", "key", "place")
-        chosen = own if chosen is None else chosen.unionByName(own)
-    rows = sorted(chosen.withColumn("c", code_order).collect(), key=lambda r: (r["c"], r["place"]))[: max(0, max_concepts - len(frames))]  # at most ``total`` rows
+        taken = 0
+        for r in sorted((r for r in first if r["taxonomy_id"] == code), key=lambda r: r["place"]):
+            if taken >= n or len(frames) + len(rows) >= max_concepts:
+                break
+            if r["key"] not in used:
+                used.add(r["key"])
+                rows.append(r)
+                taken += 1
     fixed = [(1, t_clean(frames[0]), [], "AREA")] + [(i + 2, f, [1], "FRAME") for i, f in enumerate(frames[1:])]
     labelled = [(len(fixed) + i + 1, t_clean(r["label"]), [codes[r["taxonomy_id"]] + 2], r["taxonomy_id"]) for i, r in enumerate(rows)]
     left = max(0, max_concepts - len(fixed) - len(labelled))

@@ -143,15 +143,16 @@ def directed_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def members(nodes: DataFrame, tags: DataFrame) -> DataFrame:
-    """tag, domain, id, label, ord: nodes of the category, else of all categories that contain the tag.
+    """domain, tag, id, label, ord: nodes of the category, else of the domain's categories that contain the tag.
 
-    ``tags``: tag, one row each; an empty tag has no loose match.
+    ``tags``: domain, tag, one row each; an empty tag has no loose match.
     """
-    codes = nodes.select(F.upper("taxonomy_id").alias("code")).distinct()  # as many rows as categories
-    asked = tags.select("tag", F.upper(F.trim("tag")).alias("t"))
-    exact = asked.join(codes, asked["t"] == codes["code"]).select("tag", "code")
-    loose = asked.join(exact.select("tag"), "tag", "left_anti").where("t <> ''").join(codes, F.contains(F.col("code"), F.col("t"))).select("tag", "code")
-    return nodes.withColumn("code", F.upper("taxonomy_id")).join(exact.unionAll(loose), "code").select("tag", "domain", "id", "label", "ord")
+    codes = nodes.select("domain", F.upper("taxonomy_id").alias("code")).distinct()  # as many rows as categories
+    asked = tags.select("domain", "tag", F.upper(F.trim("tag")).alias("t"))
+    exact = asked.join(codes.withColumn("t", F.col("code")), ["domain", "t"]).select("domain", "tag", "code")
+    rest = asked.join(exact.select("domain", "tag"), ["domain", "tag"], "left_anti").where("t <> ''")
+    loose = rest.join(codes, "domain").where(F.contains("code", F.col("t"))).select("domain", "tag", "code")
+    return nodes.withColumn("code", F.upper("taxonomy_id")).join(exact.unionAll(loose), ["domain", "code"]).select("domain", "tag", "id", "label", "ord")
 
 
 def shared(edges: DataFrame, pairs: DataFrame, prerequisites_: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
 from tessera.operators import graph as g
-from tessera.plans.catalog import CATALOGUE_SQL, TRIALS_SQL, catalogue, trials
+from tessera.plans.catalog import CATALOGUE_SQL, DOMAIN, TRIALS_SQL, catalogue, trials
 from tessera.plans.registry import Book
 
 BOOK = Book()
@@ -117,7 +117,7 @@ l AS (SELECT tag, tax FROM t, (SELECT DISTINCT tax FROM n) WHERE tag <> '' AND c
 SELECT tag, id, label FROM n JOIN (SELECT * FROM c UNION ALL SELECT * FROM l) USING (tax)""")
 def graph_category_members(spark, sf_dir):
     """Exact category, else loose match, nothing for an empty tag."""
-    tags = spark.createDataFrame([(x,) for x in ("spon", "TRI", "S", "", "none")], "tag string")
+    tags = spark.createDataFrame([(DOMAIN, x) for x in ("spon", "TRI", "S", "", "none")], "domain string, tag string")
     return g.members(trials(spark, sf_dir), tags).select("tag", "id", "label")
 
 

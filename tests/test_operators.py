@@ -201,3 +201,42 @@ def test_walk_agrees_with_a_queue(spark):
                     seen[d] = (*seen[x], d)
                     queue.append(d)
         assert got[s] == order
+
+
+def test_contexts_of_all_types(spark, nodes, edges):
+    from tessera.operators import answering
+
+    rows = [("1", "T1_entity", "What is Left?"), ("2", "T2_dependency", "prerequisites for deep left"), ("3", "T3_path", "prerequisite chain from Root to Leaf?"), ("3b", "T3_path", "prerequisite chain from zzz to Deep left?"), ("4", "T4_aggregate", "List all fram concepts"), ("4b", "T4_aggregate", "List all nope concepts"), ("5", "T5_cross_concept", "How does Leaf relate to Deep left?"), ("6", "T2_dependency", "prerequisites for nobody"), ("7", "T8", "?")]
+    asked = spark.createDataFrame([(i, "d", k, q) for i, k, q in rows], "id string, domain string, type string, query string")
+    ids = {}
+    for r in answering.retrieved(asked, nodes, edges).orderBy("id", "branch", "place").collect():
+        ids.setdefault(r["id"], []).append(r["member"])
+    assert ids == {"1": [2, 1, 4, 5], "2": [4, 2, 3], "3": [1, 2, 5], "3b": [4, 2, 3, 1], "4": [2, 3], "5": [5, 4, 2, 3]}
+    told = {r["id"]: r["context"] for r in answering.contexts(asked, nodes, edges).collect()}
+    assert told["4b"] == answering.HEADER and told["6"] == answering.NOTHING and told["7"] == answering.NO_TYPE
+    assert told["2"].split("\n")[1:] == ["  [COND] Deep left | prerequisites: Left, Right", "  [FRAME] Left | prerequisites: Root", "  [FRAME] Right | prerequisites: Root"]
+
+
+def test_answers_are_scored(spark):
+    import pandas as pd
+
+    from tessera.operators import answering
+
+    rows = spark.createDataFrame([("1", "T2_dependency", ["Left"], "Left is here", "p1"), ("2", "T1_entity", ["X", "INTR"], "an intervention", "p2")], "id string, type string, ground_truth array<string>, context string, prompt string")
+    rows = rows.withColumns({"prompt_tokens": F.lit(100), "completion_tokens": F.lit(10)})
+    model = lambda p: pd.Series(['{"labels": ["left"]}' if x == "p1" else 'so {"labels": ["treatment", "x"]}' for x in p])
+    got = {r["id"]: r for r in answering.evaluated(answering.answers(rows, model)).collect()}
+    assert (got["1"]["f1"], got["1"]["exact"], got["1"]["strict"], got["1"]["coverage"], got["1"]["cost"]) == (1.0, True, True, 1.0, 0.00015)
+    assert (got["2"]["f1"], got["2"]["strict"], got["2"]["extractable"], got["2"]["coverage"]) == (0.666667, False, True, 1.0)
+    old = {r["id"]: r["f1"] for r in answering.evaluated(answering.answers(rows, model), older=True).collect()}
+    assert old["2"] == 1.0
+    assert {r["f1"] for r in answering.evaluated(answering.answers(rows)).collect()} == {0.0}
+
+
+def test_tools(nodes, edges):
+    from tessera.plans import tools
+
+    assert tools.list_domains(nodes, edges).first()["edges"] == 6
+    assert [r["id"] for r in tools.search_concepts(nodes, "LEFT", "cond", "d").collect()] == [4]
+    assert [(r["direction"], r["label"]) for r in tools.get_relationship_context(nodes, edges, "d", "left").collect()] == [("depends on", "Root"), ("needed by", "Deep left"), ("needed by", "Leaf")]
+    assert tools.explain_scope_and_limitations(nodes, edges).count() == 5

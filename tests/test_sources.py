@@ -111,3 +111,37 @@ def test_frozen_scores(spark):
     got = checked.collect()
     assert len(got) == 240
     assert all(abs(r["f1"] - r["mine"]) < 1e-9 and r["retrieved_tokens"] == r["tokens"] and abs(r["cost_usd"] - r["cost"]) < 1e-6 for r in got)
+
+
+@pytest.mark.skipif(not (REF / "results/raw/paired/ckg").exists(), reason="no frozen results")
+def test_frozen_contexts(spark):
+    """Contexts rebuilt from the texts of frozen questions equal the stored ones."""
+    from tessera.operators import answering
+
+    nodes = files.read_graphs(spark, f"{REF}/benchmark/domains/ct-*/learning-graph.csv").cache()
+    edges = g.edges_of(nodes).cache()
+    rows = files.read_rows(spark, f"{REF}/results/raw/paired/ckg/*.jsonl", "id string, domain string, type string, query string, retrieved_context string, path_ids array<long>").cache()
+    asked = rows.select("id", "domain", "type", "query")
+    told = {r["id"]: r["context"] for r in answering.contexts(asked, nodes, edges).collect()}
+    stored = {r["id"]: r for r in rows.collect()}
+    same = {k: told[k] == r["retrieved_context"] for k, r in stored.items() if r["type"] != "T3_path"}
+    assert len(same) == 204 and all(same.values())
+    ways = {}
+    for r in answering.retrieved(asked.where("type = 'T3_path'"), nodes, edges).orderBy("id", "place").collect():
+        ways.setdefault(r["id"], []).append(r["member"])
+    assert len(ways) == 36 and all(len(w) == len(stored[k]["path_ids"]) and {w[0], w[-1]} == {stored[k]["path_ids"][0], stored[k]["path_ids"][-1]} for k, w in ways.items())
+
+
+@pytest.mark.skipif(not (REF / "results/integrity-v3/raw/no_context").exists(), reason="no frozen results")
+def test_frozen_structural_scores(spark):
+    from tessera.operators import answering
+
+    schema = "id string, type string, ground_truth array<string>, predicted_answer string, retrieved_context string, prompt_tokens int, completion_tokens int, structural_f1 double, exact_match boolean, extractable_json boolean, strict_json boolean, token_f1_diagnostic double, cost_usd double"
+    raw = [f"{REF}/results/integrity-v3/raw/{s}/*.jsonl" for s in ("no_context", "question_echo")]
+    rows = files.read_rows(spark, raw[0], schema).unionByName(files.read_rows(spark, raw[1], schema))
+    ready = rows.withColumnsRenamed({"predicted_answer": "answer", "retrieved_context": "context"})
+    got = answering.evaluated(ready).collect()
+    assert len(got) == 100
+    for r in got:
+        assert (r["f1"], r["exact"], r["extractable"], r["strict"]) == (r["structural_f1"], r["exact_match"], r["extractable_json"], r["strict_json"])
+        assert abs(r["token_f1"] - r["token_f1_diagnostic"]) < 1e-9
