@@ -69,7 +69,7 @@ def read_markdown(spark: SparkSession, path: str, careful: bool = True, least: i
     Texts of ``least`` characters or fewer after stripping are left out.
     ``careful`` keeps ``<`` in prose; the other filter drops whatever looks like a tag.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     strip = t.strip_markup_carefully if careful else t.strip_markup
     rows = raw.select(F.regexp_extract(name, r"([^/]+)/docs/", 1).alias("domain"), F.regexp_extract(name, r"/docs/(.+)$", 1).alias("source"), strip(F.col("value")).alias("text"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,3 +52,17 @@ def write_chapters(markdown: DataFrame, path: str) -> None:
 def write_json(rows: DataFrame, path: str) -> None:
     """Provenance, questions or documents as JSON lines, keys in alphabetical order."""
     rows.select(*sorted(rows.columns)).write.json(path)
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """A manifest or aggregate as one JSON document, indented, keys sorted."""
+    text = json.dumps(document, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def chapters(trials: DataFrame, domain: str) -> DataFrame:
+    """domain, term, nct_id, markdown: each trial under every search term it was found by."""
+    from tessera.operators.build import trial_markdown
+
+    terms = trials.select("nct_id", F.explode("search_terms").alias("term"))
+    return trial_markdown(trials).join(terms, "nct_id").select(F.lit(domain).alias("domain"), "term", "nct_id", "markdown")

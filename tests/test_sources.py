@@ -65,7 +65,7 @@ def test_manifest(spark, tmp_path):
 def test_markdown_and_hashes(spark, tmp_path):
     docs = tmp_path / "ct-x/docs/chapters/01"
     docs.mkdir(parents=True)
-    (docs / "index.md").write_text("age <26 years " + "w " * 200 + "<!-- gone -->")
+    (docs / "index.md").write_text("age <26 years\n" + "w\n" * 200 + "<!-- gone -->")
     (docs.parents[1] / "glossary.md").write_text("short")
     got = files.read_markdown(spark, str(tmp_path)).collect()
     assert [(r["domain"], r["source"]) for r in got] == [("ct-x", "chapters/01/index.md")] and "<26" in got[0]["text"] and "gone" not in got[0]["text"]
@@ -145,3 +145,14 @@ def test_frozen_structural_scores(spark):
     for r in got:
         assert (r["f1"], r["exact"], r["extractable"], r["strict"]) == (r["structural_f1"], r["exact_match"], r["extractable_json"], r["strict_json"])
         assert abs(r["token_f1"] - r["token_f1_diagnostic"]) < 1e-9
+
+
+def test_documents_and_chapters(spark, tmp_path):
+    sinks.write_document(spark, {"b": 1, "a": [2]}, f"{tmp_path}/doc")
+    assert files.read_document(spark, f"{tmp_path}/doc", "a array<int>, b int").first().asDict() == {"a": [2], "b": 1}
+    trial = ("N1", "T", "s.", ["c"], [("n", "D", "")], [("m", "")], [], "S", "Sp", ["x", "y"])
+    schema = "nct_id string, title string, brief_summary string, conditions array<string>, interventions array<struct<name:string,type:string,description:string>>, primary_outcomes array<struct<measure:string,description:string>>, secondary_outcomes array<struct<measure:string,description:string>>, status string, sponsor string, search_terms array<string>"
+    rows = sinks.chapters(spark.createDataFrame([trial], schema), "d")
+    assert sorted(r["term"] for r in rows.collect()) == ["x", "y"] and rows.first()["markdown"].startswith("## N1: T\n\n### Summary\ns.")
+    sinks.write_chapters(rows, f"{tmp_path}/md")
+    assert spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/md", wholetext=True).count() == 2
