@@ -6,7 +6,10 @@ of word bigrams compared with that of each template:
 ``dice = 2 * shared / (segment + template)``.  Because ``shared`` is at most
 the smaller size, a segment can only reach ``t`` if its size lies between
 ``b * t / (2 - t)`` and ``b * (2 - t) / t`` of a template's size ``b``; these
-bounds drop nearly all segments before any bigram is made.
+bounds drop templates and segments.  By the same bounds a match shares most of
+a template's bigrams, so a few of them are chosen of which every match holds
+one; segments without any of these, or of their words, go before bigrams are
+made and compared.
 
 Defined results: null, empty and one-word texts match nothing; of equal scores
 the template first by name wins; repeated rows each get their matches; an
@@ -21,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, table
+from tessera.llm.common import bind, stored, table
 
 #: Notices and short texts by which public licences are declared.
 TEMPLATES: dict[str, str] = {
@@ -59,6 +62,18 @@ def _fits(size: Column, template: int, percent: int) -> Column:
     return (size * (200 - percent) >= percent * template) & (size * percent <= (200 - percent) * template)
 
 
+def _keys(b: list[str], percent: int) -> list[str]:
+    """Bigrams of a template of which every match holds at least one.
+
+    The smallest size in bounds gives the fewest bigrams that a match shares;
+    it cannot miss more than the others, so it meets any larger choice.  Long
+    bigrams, which are rarer, are chosen.
+    """
+    smallest = -(-percent * len(b) // (200 - percent))
+    shared = -(-percent * (smallest + len(b)) // 200)
+    return sorted(b, key=lambda x: (-len(x), x))[: len(b) - shared + 1]
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The best template of every matching segment; no shuffle.
 
@@ -67,6 +82,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, percent: i
     """
     sets = {name: bigrams_of(t) for name, t in sorted((templates or TEMPLATES).items())}
     sets = {name: b for name, b in sets.items() if b}
+    keys = sorted({k for b in sets.values() for k in _keys(b, percent)})
+    key_words = sorted({max(k.split(" "), key=lambda w: (len(w), w)) for k in keys})
+    literals = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     least = min((-(-percent * len(b) // (200 - percent)) for b in sets.values()), default=1)
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     whole = F.array(F.struct(F.lit(0).alias("segment"), F.regexp_replace(F.btrim(F.col("_plain"), F.lit(" \n")), "[ \n]+", " ").alias("words")))
@@ -78,7 +96,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, percent: i
     several = F.when(F.instr("_plain", "\n") > 0, whole).otherwise(F.filter(whole, lambda x: F.lit(False)))
     most = max((len(b) * (200 - percent) // percent for b in sets.values()), default=0)
     rows = rows.select("_id", F.explode(F.filter(F.concat(several, segments), long_enough)).alias("s")).select("_id", "s.segment", F.split("s.words", " ").alias("_w"))
-    rows = rows.select("_id", "segment", bind(F.col("_w"), _bigrams).alias("_b")).withColumn("_n", F.size("_b")).where(f"_n between {least} and {most}")
+    # stored, so that the scan of all texts stays a small, compiled stage and the scores see candidates only
+    rows = stored(rows.where(F.arrays_overlap("_w", literals(key_words))), "license-candidates")
+    rows = rows.select("_id", "segment", bind(F.col("_w"), _bigrams).alias("_b")).withColumn("_n", F.size("_b"))
+    rows = rows.where(F.col("_n").between(least, most) & F.arrays_overlap("_b", literals(keys)))
     def score(name: str, b: list[str]) -> Column:
         total = F.col("_n") + len(b)
         hit = lambda k: F.when(200 * k >= percent * total, F.struct((2.0 * k / total).alias("dice"), F.lit(name).alias("license"), k.alias("n_shared")))
