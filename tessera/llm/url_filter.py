@@ -11,8 +11,9 @@ point at equal numbers of standard deviations from both class means.
 
 The counts come from all URLs.  Each character gives one row (gram); counting
 combines before the shuffle, and the models are tables of the distinct grams,
-joined level by level.  Nothing of the models is collected or broadcast by
-force; grams that nearly every URL holds are skew that adaptive joins split.
+joined level by level.  Nothing of the models is collected or broadcast: they
+grow with the corpus, so their joins are merge joins at every size, and grams
+that nearly every URL holds are skew that adaptive joins split.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no
 rule, and is judged like any text, by its end mark alone; where either class
@@ -73,7 +74,7 @@ def model(grams: DataFrame) -> DataFrame:
         if below is None:
             level = level.join(F.broadcast(seen.limit(1)), "ctx").withColumns({"pa": F.lit(FLOOR), "pb": F.lit(FLOOR)})  # one row: the empty context
         else:
-            level = level.join(seen, "ctx").withColumn("low", F.substr("g", F.lit(2))).join(below, "low")
+            level = level.join(seen.hint("merge"), "ctx").withColumn("low", F.substr("g", F.lit(2))).join(below.hint("merge"), "low")
         mix = lambda n, c, t, p: F.when(F.col(c) == 0, F.col(p)).otherwise((F.col(n) + F.col(t) * F.col(p)) / (F.col(c) + F.col(t)))
         level = level.select("g", mix("na", "ca", "ta", "pa").alias("pa"), mix("nb", "cb", "tb", "pb").alias("pb"))
         below = level.withColumnRenamed("g", "low")
@@ -93,11 +94,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: st
     of = lambda v: F.sum(F.when(F.col("_verdict") == v, F.col("_n")).otherwise(0))
     counts = stored(spots.groupBy("gram").agg(of("allow").alias("na"), of("block").alias("nb")), "grams")
     learned = model(counts).select("gram", (F.col("a") - F.col("b")).alias("d"))
-    scores = stored(spots.select("_host", "_path", "_len", "gram").join(learned, "gram").groupBy("_host", "_path").agg((F.sum("d") / F.first("_len")).alias("score")), "scores")
-    known = texts.where("_verdict is not null").join(scores, ["_host", "_path"])
+    scores = stored(spots.select("_host", "_path", "_len", "gram").join(learned.hint("merge"), "gram").groupBy("_host", "_path").agg((F.sum("d") / F.first("_len")).alias("score")), "scores")
+    known = texts.where("_verdict is not null").join(scores.hint("merge"), ["_host", "_path"])
     stats = {r["_verdict"]: r for r in known.groupBy("_verdict").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("score")).alias("s"), F.sum(F.col("_n") * F.col("score") * F.col("score")).alias("q")).collect()}
     threshold = calibrated(*[(stats[v]["n"], stats[v]["s"], stats[v]["q"]) if v in stats else None for v in ("allow", "block")])
-    out = rows.join(scores, ["_host", "_path"], "left")
+    out = rows.join(scores.hint("merge"), ["_host", "_path"], "left")
     by_model = F.lit("allow") if threshold is None else F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", by_model).alias("verdict"), "score")
 
