@@ -10,6 +10,8 @@
    of bounded size, and every pair of blocks is compared on full shingle sets.
    Only the union-find forest of the confirmed links leaves a task, never
    pairs, so a large group of copies emits as many rows as it has members.
+   Weak candidates may chain into one huge cluster; its members are compared
+   with those that share a band key, band by band, which finds the same links.
 4. The forests of clusters with several blocks are joined into components.
 
 With 25 bands of 4 slots a pair at similarity 0.85 shares no key with
@@ -38,6 +40,8 @@ from tessera.llm.superminhash import band_keys, jaccard_links, set_key, shingle_
 BANDS, ROWS = 25, 4
 #: A block's most members and shingles on average; both bound a task's memory.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 400_000
+#: A cluster of more blocks is compared within its bands instead.
+CLUSTER_BLOCKS = 64
 #: Columns of the incidence matrix that are multiplied at once.
 _COLUMNS = 4096
 
@@ -124,20 +128,28 @@ def _verify(percent: int):
     return run
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """node, set_key, n_shingles, group and the number of blocks that the group is cut into."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    return rows.select("node", "set_key", "n_shingles", "group").join(rows.groupBy("group").agg(size.alias("blocks")), "group")
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root): the component of every class that has a confirmed link."""
     member = classes.select("node", F.explode("bands").alias("band"))
     centre = member.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
     star = member.join(centre, "band").where("node <> centre").select("node", "centre").distinct()
     cluster = components(star)
-    sized = classes.select("node", "set_key", "n_shingles").join(cluster, "node")
-    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = stored(sized.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
+    sized = classes.select("node", "set_key", "n_shingles").join(cluster, "node").withColumn("group", F.concat(F.lit("c"), "root"))
+    whole = _blocked(sized)
+    huge = whole.where(F.col("blocks") > CLUSTER_BLOCKS).select("node", "set_key", "n_shingles")
+    banded = huge.join(member, "node").join(centre.select("band"), "band").withColumn("group", F.concat(F.lit("b"), "band"))
+    placed = whole.where(F.col("blocks") <= CLUSTER_BLOCKS).unionByName(_blocked(banded))
+    placed = stored(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(placed.hint("shuffle_hash"), "node")
     dealt = (
         texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.struct("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("at"), "node", "set_key", (F.col("block") <= F.col("other")).alias("left"), "text")
-        .select(F.concat_ws("/", "at.root", "at.i", "at.j").alias("pair"), "node", "set_key", "left", "text")
+        .select(F.concat_ws("/", "group", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "node", "set_key", (F.col("block") <= F.col("other")).alias("left"), "text")
         .repartition("pair")
         .sortWithinPartitions("pair", "node")
     )

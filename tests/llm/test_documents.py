@@ -131,6 +131,8 @@ def test_near_duplicates_in_blocks(docs, monkeypatch):
     whole = bag(near_duplicates.near_duplicates(docs).collect())
     monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 2)
     assert bag(near_duplicates.near_duplicates(docs).collect()) == whole
+    monkeypatch.setattr(near_duplicates, "CLUSTER_BLOCKS", 0)  # every cluster band by band
+    assert bag(near_duplicates.near_duplicates(docs).collect()) == whole
 
 
 def test_near_duplicates_of_nothing(no_docs):
