@@ -1,7 +1,8 @@
 """Training-order materialisation of token sequences in binary shards.
 
-Every text is tokenised, closed by an end token and cut into sequences of
-``length`` token ids, the last one padded.  Sequences are numbered densely; a
+Every text is tokenised and closed by an end token; the texts of an input
+split follow each other and are cut into sequences of ``length`` token ids, so
+only a split's last sequence is padded.  Sequences are numbered densely; a
 keyed Feistel permutation of the numbers, with cycle-walking down to their
 exact range, gives each its global slot.  Slot ``s`` is record ``s % per_shard``
 of shard ``s // per_shard``.  A record has a fixed stride, so a reader starts
@@ -17,9 +18,10 @@ through the driver.  Between tasks and shards the sequences travel in one
 compressed blob for each pair of task and shard.  A shard never holds more
 than ``per_shard`` records, whatever the data.
 
-Defined results: null and empty texts are one sequence of the end token;
-repeated rows each get slots; an empty table gives an empty result and no
-shard; only the id and the text are read, so other columns cannot clash.
+Defined results: null and empty texts are an end token alone; repeated rows
+each have their tokens; a null id stands as null among a sequence's ids; an
+empty table gives an empty result and no shard; only the id and the text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -79,31 +81,48 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
 def _sequences(path: str, pattern: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(path, pattern)
-        place = 0
+        split, place = None, 0
+        owners: list = []  # ids of the texts in ``tokens``, in order
+        tokens: list[np.ndarray] = []
+
+        def cut(rest: bool) -> pa.RecordBatch:
+            """The whole sequences of what is held, with ``rest`` also a shorter last one."""
+            nonlocal place
+            flat, ends = np.concatenate(tokens), np.cumsum([len(t) for t in tokens])
+            n = -(-len(flat) // length) if rest else len(flat) // length
+            begins = np.arange(n + 1) * length
+            first = np.searchsorted(ends, begins[:-1], side="right")
+            last = np.searchsorted(ends, np.minimum(begins[1:], len(flat)) - 1, side="right")
+            parts = [flat[x : x + length] for x in begins[:-1]]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([split] * n, pa.int32()), pa.array(np.arange(place, place + n)), pa.array([owners[x : y + 1] for x, y in zip(first, last, strict=True)], pa.list_(pa.int64())), pa.array([len(x) for x in parts], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())],
+                names=["split", "place", "doc_ids", "n_tokens", "ids"],
+            )
+            place += n
+            used = min(n * length, len(flat))
+            k = int(np.searchsorted(ends, used, side="right"))
+            owners[:] = owners[k:]
+            tokens[:] = [flat[used : ends[k]], *tokens[k + 1 :]] if k < len(tokens) else []
+            return out
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                ids, chunk, used, data = [], [], [], []
-                for i, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    tokens = [*enc.encode_ordinary(text or ""), end]
-                    for c in range(0, len(tokens), length):
-                        piece = tokens[c : c + length]
-                        ids.append(i)
-                        chunk.append(c // length)
-                        used.append(len(piece))
-                        data.append(np.array(piece, dtype="<u2").tobytes())
-                split = pa.array(np.repeat(some.column(2).to_numpy()[:1], len(ids)))
-                yield pa.RecordBatch.from_arrays([split, pa.array(np.arange(place, place + len(ids))), pa.array(ids, pa.int64()), pa.array(chunk, pa.int32()), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=["split", "place", "doc_id", "chunk", "n_tokens", "ids"])
-                place += len(ids)
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                split = some.column(2)[0].as_py()
+                owners += some.column(0).to_pylist()
+                tokens += [np.array([*enc.encode_ordinary(t or ""), end], dtype="<u2") for t in some.column(1).to_pylist()]
+                yield cut(False)
+        if tokens:
+            yield cut(True)
 
     return run
 
 
 def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """split, place, doc_id, chunk, n_tokens and ids (16-bit) of each sequence, stored."""
+    """split, place, doc_ids, n_tokens and ids (16-bit) of each sequence, stored."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("split"))
-    return stored(rows.mapInArrow(_sequences(path, pattern, length, end), "split int, place long, doc_id long, chunk int, n_tokens int, ids binary"), "sequences")
+    return stored(rows.mapInArrow(_sequences(path, pattern, length, end), "split int, place long, doc_ids array<long>, n_tokens int, ids binary"), "sequences")
 
 
 def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -207,5 +226,5 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     slotted, total = with_slots(rows)
     write_shards(slotted, fresh_path(spark, "shards"), total)
     stride = 2 * LENGTH + len(GUARD)
-    places, _ = with_slots(rows.select("split", "place", "doc_id", "chunk", "n_tokens"))
-    return places.select("doc_id", "chunk", "n_tokens", "slot", F.floor(F.col("slot") / PER_SHARD).alias("shard"), (F.col("slot") % PER_SHARD * stride).alias("offset"))
+    places, _ = with_slots(rows.select("split", "place", "doc_ids", "n_tokens"))
+    return places.select("doc_ids", "n_tokens", "slot", F.floor(F.col("slot") / PER_SHARD).alias("shard"), (F.col("slot") % PER_SHARD * stride).alias("offset"))

@@ -314,20 +314,27 @@ def test_shards_read_back(spark, docs, rows, no_docs):
     folder = fresh_path(spark, "test-shards")
     token_shards.write_shards(slotted, folder, total, length, per_shard)
     enc = token_shards._encoding(path, P.PATTERN)
-    expected = Counter()
-    for r in rows:
-        tokens = [*enc.encode_ordinary(r[1] or ""), end]
-        for c in range(0, len(tokens), length):
-            expected[tuple(tokens[c : c + length] + [end] * (length - len(tokens[c : c + length])))] += 1
-    found = Counter()
-    at = {}
-    for s in range(-(-total // per_shard)):
-        for r in token_shards.read_shard(spark, folder, s, 0, length).collect():
-            found[tuple(r["ids"])] += 1
-            at[s * per_shard + r["record"]] = r["ids"]
-    assert found == expected and sorted(at) == list(range(total))
-    for r in slotted.select("slot", "ids", "n_tokens").collect():
-        assert at[r["slot"]][: r["n_tokens"]] == np.frombuffer(bytes(r["ids"]), dtype="<u2").tolist()
+    at = {s * per_shard + r["record"]: r["ids"] for s in range(-(-total // per_shard)) for r in token_shards.read_shard(spark, folder, s, 0, length).collect()}
+    assert sorted(at) == list(range(total))
+    # sequences in the order of their numbers hold the texts one after another
+    placed = slotted.orderBy("split", "place").collect()
+    assert [r["slot"] for r in placed] == token_shards.feistel(np.arange(total), total).tolist()
+    stream = [x for r in placed for x in at[r["slot"]][: r["n_tokens"]]]
+    texts, now = Counter(), []
+    for x in stream:
+        now.append(x)
+        if x == end:
+            texts[tuple(now)] += 1
+            now = []
+    assert not now and texts == Counter((*enc.encode_ordinary(r[1] or ""), end) for r in rows)
+    assert all(at[r["slot"]][r["n_tokens"] :] == [end] * (length - r["n_tokens"]) for r in placed)
+    assert sum(r["n_tokens"] < length for r in placed) <= len({r["split"] for r in placed})
+    by_id = {r[0]: enc.encode_ordinary(r[1] or "") for r in rows}
+    assert {i for r in placed for i in r["doc_ids"]} == set(by_id)
+    for r in placed:  # a sequence inside one text is a part of it
+        if len(r["doc_ids"]) == 1 and r["doc_ids"][0] is not None and end not in at[r["slot"]]:
+            whole, part = by_id[r["doc_ids"][0]], at[r["slot"]]
+            assert any(whole[k : k + length] == part for k in range(len(whole) - length + 1))
     rest = token_shards.read_shard(spark, folder, 0, 5, length).orderBy("record").collect()
     assert [r["ids"] for r in rest] == [at[k] for k in range(5, 5 + len(rest))]
     none, n = token_shards.with_slots(token_shards.sequences(no_docs, path, P.PATTERN, length))
