@@ -29,8 +29,11 @@ RANKED = (("COND", "Condition landscape", 30), ("INTR", "Intervention landscape"
 MAX_CONCEPTS = 180
 
 
-def extract_trials(payloads: DataFrame, search_term: Column) -> DataFrame:
-    """Normalised records of raw study payloads (column ``payload``, JSON text)."""
+def extract_trials(payloads: DataFrame, search_term: Column, study_url: str = "") -> DataFrame:
+    """Normalised records of raw study payloads (column ``payload``, JSON text).
+
+    ``study_url``: what the address of a study begins with.
+    """
     p = F.from_json("payload", PAYLOAD_SCHEMA)["protocolSection"]
     strings = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), t.clean_text), lambda x: x != "")
     outcome = lambda c: F.filter(F.transform(c, lambda x: F.struct(t.clean_text(x["measure"]).alias("measure"), t.clean_text(x["description"]).alias("description"))), lambda x: (x["measure"] != "") | (x["description"] != ""))
@@ -38,7 +41,7 @@ def extract_trials(payloads: DataFrame, search_term: Column) -> DataFrame:
     drugs = F.filter(F.transform(p["armsInterventionsModule"]["interventions"], lambda x: F.struct(*[t.clean_text(x[k]).alias(k) for k in ("name", "type", "description")])), lambda x: x["name"] != "")
     nct = t.clean_text(p["identificationModule"]["nctId"])
     return payloads.select(
-        nct.alias("nct_id"), F.concat(F.lit("https://clinicaltrials.gov/study/"), nct).alias("url"), t.clean_text(p["identificationModule"]["briefTitle"]).alias("title"),
+        nct.alias("nct_id"), F.concat(F.lit(study_url), nct).alias("url"), t.clean_text(p["identificationModule"]["briefTitle"]).alias("title"),
         t.clean_text(p["descriptionModule"]["briefSummary"]).alias("brief_summary"), t.clean_text(p["eligibilityModule"]["eligibilityCriteria"]).alias("eligibility_criteria"),
         strings(p["conditionsModule"]["conditions"]).alias("conditions"), F.coalesce(drugs, F.array().cast("array<struct<name:string,type:string,description:string>>")).alias("interventions"),
         F.coalesce(outcome(p["outcomesModule"]["primaryOutcomes"]), no_outcome).alias("primary_outcomes"), F.coalesce(outcome(p["outcomesModule"]["secondaryOutcomes"]), no_outcome).alias("secondary_outcomes"),

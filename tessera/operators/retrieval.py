@@ -150,16 +150,16 @@ def contexts(chosen: DataFrame, docs: DataFrame, label: str = "Document") -> Dat
     return told.groupBy("query").agg(F.array_join(parts, "\n\n---\n\n").alias("context"))
 
 
-# Which system answers which type of question.
-ROUTES = {"T1_entity": "modern_rag", "T2_dependency": "ckg", "T3_path": "ckg", "T4_aggregate": "ckg", "T5_cross_concept": "modern_rag"}
+# Which kind of system answers which type of question.
+ROUTES = {"T1_entity": "passages", "T2_dependency": "graph", "T3_path": "graph", "T4_aggregate": "graph", "T5_cross_concept": "passages"}
 
 
-def route(rows: DataFrame) -> DataFrame:
+def route(rows: DataFrame, routes: dict[str, str] | None = None) -> DataFrame:
     """One row for each question: that of the system its type goes to.
 
-    ``rows``: id, type, system and more.
+    ``rows``: id, type, system and more; ``routes``: the system of each type.
     """
     target = None
-    for kind, system in ROUTES.items():
+    for kind, system in (routes or ROUTES).items():
         target = F.when(F.col("type") == kind, system) if target is None else target.when(F.col("type") == kind, system)
     return rows.where(F.col("system") == target).withColumn("source_system", F.col("system")).withColumn("system", F.lit("router"))

@@ -127,12 +127,12 @@ def registry_filter(spark, sf_dir):
 
 
 @BOOK.add("""WITH a AS (SELECT o_orderkey AS id, ['T1_entity','T2_dependency','T3_path','T4_aggregate','T5_cross_concept'][1 + o_orderkey % 5] AS type, o_totalprice AS value FROM orders)
-SELECT id, type, CASE WHEN type IN ('T1_entity', 'T5_cross_concept') THEN 'modern_rag' ELSE 'ckg' END AS source_system,
+SELECT id, type, CASE WHEN type IN ('T1_entity', 'T5_cross_concept') THEN 'passages' ELSE 'graph' END AS source_system,
 CASE WHEN type IN ('T1_entity', 'T5_cross_concept') THEN value ELSE value * 2 END AS value FROM a""")
 def routed_rows(spark, sf_dir):
     """Each question answered by the system of its type."""
     kinds = F.array(*[F.lit(x) for x in r.ROUTES])
     base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("type"), F.col("o_totalprice").alias("value"))
-    each = base.withColumn("system", F.explode(F.array(F.lit("modern_rag"), F.lit("ckg"), F.lit("edge_text_rag"))))
-    rows = each.withColumn("value", F.when(F.col("system") == "ckg", F.col("value") * 2).otherwise(F.col("value")))
+    each = base.withColumn("system", F.explode(F.array(F.lit("passages"), F.lit("graph"), F.lit("edges"))))
+    rows = each.withColumn("value", F.when(F.col("system") == "graph", F.col("value") * 2).otherwise(F.col("value")))
     return r.route(rows).select("id", "type", "source_system", "value")

@@ -116,7 +116,7 @@ def score_coverage(spark, sf_dir):
     return out.select("doc_id", F.round(F.coalesce("k", F.lit(0)) / F.col("total"), 6).alias("coverage"))
 
 
-_ROWS = """r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'ckg' ELSE 'rag' END AS system, o_orderpriority AS type, o_orderstatus AS domain,
+_ROWS = """r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'graph' ELSE 'passages' END AS system, o_orderpriority AS type, o_orderstatus AS domain,
   (o_orderkey % 101) / 100.0::DOUBLE AS f1, o_orderkey % 101 = 100 AS exact, (o_orderkey % 11) / 10.0::DOUBLE AS coverage, (o_orderkey % 13) / 12.0::DOUBLE AS token_f1,
   o_orderkey % 7 <> 0 AS extractable, o_orderkey % 5 <> 0 AS strict, o_orderkey % 1000 AS prompt, o_orderkey % 90 AS completion FROM orders),
 a AS (SELECT *, prompt + completion AS total_tokens, round(prompt * 1e-6::DOUBLE + completion * 5e-6::DOUBLE, 8) AS cost FROM r)"""
@@ -125,7 +125,7 @@ a AS (SELECT *, prompt + completion AS total_tokens, round(prompt * 1e-6::DOUBLE
 def _rows(spark, sf_dir):
     k = F.col("id")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("domain"))
-    rows = rows.withColumns({"system": F.when(k % 2 == 0, "ckg").otherwise("rag"), "f1": (k % 101) / 100.0, "exact": k % 101 == 100, "coverage": (k % 11) / 10.0, "token_f1": (k % 13) / 12.0, "extractable": k % 7 != 0, "strict": k % 5 != 0, "prompt": k % 1000, "completion": k % 90})
+    rows = rows.withColumns({"system": F.when(k % 2 == 0, "graph").otherwise("passages"), "f1": (k % 101) / 100.0, "exact": k % 101 == 100, "coverage": (k % 11) / 10.0, "token_f1": (k % 13) / 12.0, "extractable": k % 7 != 0, "strict": k % 5 != 0, "prompt": k % 1000, "completion": k % 90})
     return rows.withColumns({"total_tokens": F.col("prompt") + F.col("completion"), "cost": t.cost(F.col("prompt"), F.col("completion"))})
 
 
