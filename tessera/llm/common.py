@@ -38,14 +38,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Cuts the lineage at a table that survives the loss of any executor.
+    ``level``: how hard zstd tries, for tables that are large beside the input.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

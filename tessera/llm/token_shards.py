@@ -28,12 +28,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +42,6 @@ from tessera.llm.common import fresh_path, ship, stored, table
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 8192, 20_240_229, 6
 GUARD = b"\n\n"
-#: Sequences that a task handles at once when it deals them to shards.
-_TOGETHER = 65_536
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +120,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, en
     """split, place, doc_ids, n_tokens and ids (16-bit) of each sequence, stored."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("split"))
-    return stored(rows.mapInArrow(_sequences(path, pattern, length, end), "split int, place long, doc_ids array<long>, n_tokens int, ids binary"), "sequences")
+    return stored(rows.mapInArrow(_sequences(path, pattern, length, end), "split int, place long, doc_ids array<long>, n_tokens int, ids binary"), "sequences", level=9)
 
 
 def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -147,6 +145,7 @@ def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
 def _deal(length: int, per_shard: int, pad: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One compressed blob for each shard that a batch has sequences of."""
+        squeeze = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -159,7 +158,7 @@ def _deal(length: int, per_shard: int, pad: int):
             blobs = []
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slots)], strict=True):
                 body = b"".join(x + fill * (length - len(x) // 2) for x in data[lo:hi])
-                blobs.append(zlib.compress(slots[lo:hi].tobytes() + body, 1))
+                blobs.append(squeeze.compress(slots[lo:hi].tobytes() + body))
             yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
     return run
@@ -172,7 +171,7 @@ def _records(length: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             slots, bodies = [], []
-            for raw in map(zlib.decompress, blobs):
+            for raw in map(zstandard.ZstdDecompressor().decompress, blobs):
                 n = len(raw) // (8 + 2 * length)
                 slots.append(np.frombuffer(raw, dtype=np.int64, count=n))
                 bodies.append(np.frombuffer(raw, dtype=np.uint8, offset=8 * n).reshape(n, -1))
