@@ -170,4 +170,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     counted = stored(features(docs.select(key.alias("key"), "text"), "key"), "quality-features")
     rejected = judge(counted, fit_rules(counted)).where("not kept").select(F.col("key").alias("_rejected")).distinct()
-    return docs.join(rejected, key == F.col("_rejected"), "left_anti")
+    return docs.join(rejected, F.xxhash64(docs["doc_id"], docs["text"]) == rejected["_rejected"], "left_anti")

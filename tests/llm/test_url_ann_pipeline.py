@@ -162,3 +162,19 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     # every document that goes in the first two stages is short, repetitive or labelled as poor
     assert run.join(labels.where("quality = 0"), "doc_id").count() <= labels.where("quality = 0").count()
+
+
+def test_stages_cope_with_odd_rows(spark, docs, no_docs):
+    """Nulls, repeated rows, empty tables and clashing names; columns and kept rows stay as they are."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumns({k: F.lit("x") for k in ("_rejected", "_gone", "key", "_c0", "text2", "lang_pred", "spans", "node", "word")}).drop("score")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, "")
+        if name != "packing":
+            assert out.columns == odd.columns
+            if name != "substring_dedup":
+                assert out.exceptAll(odd).count() == 0
+        assert 0 < out.count() <= odd.count()
+        assert stage(spark, no_docs, "").count() == 0
