@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: The most rows of a batch between Spark and Python.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +56,13 @@ def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers, once per application.
 
     Executors need not have it installed: it goes out as a zip file with
-    Spark's own distribution of Python files.
+    Spark's own distribution of Python files.  Batches handed to Python are
+    held to BATCH_ROWS rows, as texts are long and a worker holds a batch in
+    several forms at once.
     """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_tessera_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ship, stored
 
 #: Edges that one union-find holds before it hands on its forest.
-FOREST_EDGES = 500_000
+FOREST_EDGES = 200_000
 
 
 def union_find(edges: Iterator[tuple[int, int]]) -> dict[int, int]:

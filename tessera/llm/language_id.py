@@ -35,8 +35,8 @@ SCRIPTS = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530,
 NAMES = tuple(dict.fromkeys(n for _, n in SCRIPTS))
 _STARTS = np.array([a for a, _ in SCRIPTS], dtype=np.uint32)
 _CLASS = np.array([NAMES.index(n) for _, n in SCRIPTS], dtype=np.int64)
-#: Characters handled at once, and a word's score range under any language.
-CHUNK = 1_000_000
+#: Characters handled at once.
+CHUNK = 500_000
 
 
 @cache

@@ -43,7 +43,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1000, 400_000
 #: A cluster of more blocks is compared within its bands instead.
 CLUSTER_BLOCKS = 64
 #: Columns of the incidence matrix that are multiplied at once.
-_COLUMNS = 4096
+_COLUMNS = 2048
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
