@@ -40,7 +40,7 @@ from tessera.llm.common import SPACE_RUN, SPACES, ship, stored, table, words
 from tessera.llm.superminhash import mix, word_hashes
 
 #: Windows that a task holds before it settles and hands on what it has.
-HELD = 2_000_000
+HELD = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _RUNS = "h long, row long, start int, n int"
 
@@ -150,6 +150,15 @@ def _repeated(settled: DataFrame) -> DataFrame:
     return found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
+def _gone(n: int, runs: list[dict], length: int) -> np.ndarray:
+    """Whether each of n words is covered by a window that starts in a run."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    for r in runs:
+        edge[r["start"]] += 1
+        edge[min(r["start"] + r["n"] + length - 1, n)] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words removed, digest of the kept words, and the text without the removed ones."""
@@ -157,11 +166,7 @@ def _cut(length: int):
             out: list[list] = [[], [], []]
             for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = text.encode().split()
-                edge = np.zeros(len(found) + 1, dtype=np.int64)
-                for r in runs:
-                    edge[r["start"]] += 1
-                    edge[min(r["start"] + r["n"] + length - 1, len(found))] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = _gone(len(found), runs, length)
                 kept = [x for x, g in zip(found, gone.tolist(), strict=True) if not g]
                 out[0].append(int(gone.sum()))
                 out[1].append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -183,19 +188,24 @@ def _without(text: str, found: list[bytes], gone: np.ndarray) -> str:
     return b"".join(out).decode()
 
 
-def repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, n_removed, kept_sha256, kept_text) of the rows that lose words.
+def marks(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, runs): the starts of the repeated windows of the rows that have any.
 
-    ``row`` is ``row_key`` of the input row.  The texts that are shuffled are
-    those with a candidate window only.
+    ``row`` is ``row_key`` of the input row.
     """
     ship(docs.sparkSession)
     half = (length + 1) // 2
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where("text is not null")
     first = stored(texts.mapInArrow(_first_level(length, half), _RUNS), "level")
     candidates = texts.join(_repeated(first).hint("shuffle_hash"), "row").select("row", "text", "runs")
-    last = stored(candidates.mapInArrow(_last_level(length, half), _RUNS), "level")
-    marked = texts.join(_repeated(last).hint("shuffle_hash"), "row").select("row", "text", "runs")
+    return _repeated(stored(candidates.mapInArrow(_last_level(length, half), _RUNS), "level"))
+
+
+def repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, n_removed, kept_sha256, kept_text) of the rows that lose words."""
+    found = marks(docs, length, id_col, text_col)
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where("text is not null")
+    marked = texts.join(found.hint("shuffle_hash"), "row").select("row", "text", "runs")
     # rows equal in id and text give equal results
     return marked.mapInArrow(_cut(length), "row long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["row"])
 
@@ -213,18 +223,37 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"))
 
 
+def _cut_column(at: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batch with column ``at`` cut by the runs in its last column, which goes."""
+        for batch in batches:
+            out = []
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if text is not None and runs:
+                    found = text.encode().split()
+                    text = _without(text, found, _gone(len(found), runs, length))
+                out.append(text)
+            kept = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(kept, names=batch.schema.names[:-1])
+
+    return run
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated windows leave the texts; n_chars follows.
 
-    Documents stay, also when nothing is left of them.
+    Documents stay, also when nothing is left of them.  Each text meets its
+    marks in one join and is cut there.
     """
     del spark, sf_dir
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     name = dict(zip(docs.columns, plain.columns, strict=True))
-    lost = repeats(docs).select("row", "kept_text")
-    out = plain.withColumn("row", row_key(name["doc_id"], name["text"])).join(lost, "row", "left")
-    text = F.coalesce(F.col("kept_text"), F.col(name["text"]))
-    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col(name["n_chars"])).otherwise(F.length("kept_text"))} if "n_chars" in name else {"text": text}
+    text = name["text"]
+    keyed = plain.withColumn("row", row_key(name["doc_id"], text))
+    joined = keyed.join(marks(docs).hint("shuffle_hash"), "row", "left")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    out = joined.select(*plain.columns, "runs").mapInArrow(_cut_column(plain.columns.index(text), 35), kinds)
+    new = {"n_chars": F.when(F.col(text).isNull(), F.col(name["n_chars"])).otherwise(F.length(text))} if "n_chars" in name else {}
     return out.select(*[new.get(c, F.col(name[c])).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 

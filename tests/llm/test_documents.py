@@ -90,6 +90,10 @@ def test_substring_removal(docs, rows, no_docs):
 def test_substring_stage_keeps_columns(spark, docs):
     out = substring_dedup.cut_repeats(spark, docs, "")
     assert out.columns == docs.columns and out.count() == docs.count()
+    lost = {r["row"]: r["kept_text"] for r in substring_dedup.repeats(docs).collect()}
+    expected = Counter((r["doc_id"], lost.get(r["row"], r["text"])) for r in docs.withColumn("row", substring_dedup.row_key()).collect())
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == expected
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
 
 
 def _shingles(text):
