@@ -301,6 +301,34 @@ def test_license_scan(docs, rows, no_docs):
     assert len(expected) >= 2 and license_scan.scan(no_docs).count() == 0
 
 
+def test_license_windows(spark):
+    """Wrapped headers and notices inside a line, in a long text."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    gpl = license_scan.TEMPLATES["gpl-3.0-notice"].split()
+    header = "\n".join("# " + " ".join(gpl[i : i + 11]) for i in range(0, len(gpl), 11))
+    inline = "This library was written in 2020. Released under the MIT License. See the file for details."
+    mit = license_scan.TEMPLATES["mit-permission"]
+    texts = [
+        f"{prose(700)}\n{prose(9)}\n{header}\n#\nimport os\n{prose(900)}",
+        inline,
+        f"{prose(400)}\n{inline} {prose(300)}\n{header} {prose(20)}\n{header}",
+        f"{prose(60)}\n{mit} All rights reserved.",
+        f"{prose(30)}\nReleased under the MIT License.\n{prose(30)}",
+        prose(3000),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.scan(df).select("doc_id", "segment", "license", "n_bigrams", "n_shared", "dice").collect()
+    full = (len(license_scan.bigrams_of(license_scan.TEMPLATES["gpl-3.0-notice"])),) * 2
+    five = -(-len(gpl) // 11)
+    size = len(license_scan.bigrams_of(mit))
+    assert {tuple(r)[:5] for r in got} == {
+        (0, 3, "gpl-3.0-notice", *full), (1, 1, "mit", 4, 4), (2, 2, "mit", 4, 4), (2, 3, "gpl-3.0-notice", *full), (2, 3 + five, "gpl-3.0-notice", *full),
+        (3, 2, "mit-permission", size + 3, size), (3, 2, "all-rights-reserved", 2, 2), (4, 2, "mit", 4, 4),
+    }
+    assert len(got) == 8 and min(r["dice"] for r in got) > 0.9
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 64, 1000):
         slots = token_shards.feistel(np.arange(n), n, key=9)
