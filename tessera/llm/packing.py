@@ -4,9 +4,10 @@ The global histogram of lengths decides the bucket boundaries: dynamic
 programming finds those that pad the least in total.  Documents of a bucket
 are then batched so that documents times bucket length stays in a token budget.
 
-Lengths are rounded up to one of 32 steps an octave before the histogram, so
-it has under 2,000 rows whatever the corpus, and boundaries are optimal among
-those steps.  A bucket may hold a third of all rows, so its documents are
+The histogram holds every distinct length; ``d`` of them take texts of
+``d * d / 2`` words in total, so it stays small beside the corpus.  The best
+last bucket never begins earlier for a greater length, so each round divides
+the lengths and conquers: ``d * log(d)`` steps a bucket.  A bucket may hold a third of all rows, so its documents are
 dealt by a hash of the id to lanes of about ``lane_rows`` each; numbering runs
 inside a lane, and each lane ends in one partly filled batch at most.
 
@@ -21,22 +22,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tessera.llm.common import stored, table, words
 
-STEPS = 32
-
-
-def step_up(n: Column) -> Column:
-    """``n`` rounded up to a multiple of 2**(bits - 6), at least 1."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(n)) - 6)
-    unit = F.pow(F.lit(2.0), shift).cast("long")
-    return F.when(n <= 0, F.lit(1).cast("long")).otherwise(F.ceil(n / unit).cast("long") * unit)
-
-
 def boundaries(histogram: Sequence[tuple[int, int]], n_buckets: int) -> list[int]:
     """Upper ends of at most ``n_buckets`` buckets with the least total padding.
 
@@ -53,12 +44,18 @@ def boundaries(histogram: Sequence[tuple[int, int]], n_buckets: int) -> list[int
     cost[0] = 0
     back = []
     for _ in range(min(n_buckets, n)):
-        total = cost[None, :n] + (count[1:, None] - count[None, :n]) * length[:, None]
-        total[np.arange(n)[:, None] < np.arange(n)[None, :]] = np.inf
-        prior = total.argmin(axis=1)
+        prior, least = np.zeros(n, dtype=int), np.full(n + 1, np.inf)
+        todo = [(0, n, 0, n - 1)]  # lengths from, to, and where their last bucket may begin
+        while todo:
+            a, b, low, high = todo.pop()
+            mid = (a + b) // 2
+            begins = slice(low, min(mid, high) + 1)
+            total = cost[begins] + (count[mid + 1] - count[begins]) * length[mid]
+            at = int(total.argmin())
+            prior[mid], least[mid + 1] = low + at, total[at]
+            todo += [x for x in ((a, mid, low, low + at), (mid + 1, b, low + at, high)) if x[0] < x[1]]
         back.append(prior)
-        cost = np.concatenate([[np.inf], total[np.arange(n), prior]])
-        cost[0] = np.inf
+        cost = least
         best = cost[n] if len(back) == 1 else min(best, cost[n])
         if cost[n] == best:
             used = len(back)
@@ -76,7 +73,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buck
     in the lane), place (from 0), padding.
     """
     spark = docs.sparkSession
-    sized = stored(docs.select(F.col(id_col).alias("_id"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens")).withColumn("_step", step_up(F.col("n_tokens"))), "lengths")
+    sized = stored(docs.select(F.col(id_col).alias("_id"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens")).withColumn("_step", F.greatest("n_tokens", F.lit(1).cast("long"))), "lengths")
     histogram = sorted((int(r[0]), int(r[1])) for r in sized.groupBy("_step").count().collect())
     ends = boundaries(histogram, n_buckets)
     rows = [(b, end, max(1, token_budget // end), max(1, -(-sum(n for x, n in histogram if x <= end and (not b or x > ends[b - 1])) // lane_rows))) for b, end in enumerate(ends)]
