@@ -22,7 +22,9 @@ settled by exact score and id.
 
 Defined results: a vector that is null, zero, of another length than most, or
 holds null or non-finite numbers takes no part, nor does one without id; rows
-that repeat a query's id are the query's own; other repeated rows each take a
+that repeat a query's id are the query's own; equal query rows are one query,
+and where an id has several vectors each row counts once, by the best of its
+scores with them; other repeated rows each take a
 place; an empty table gives an empty result; columns other than id and vector
 are not read.
 """
@@ -161,8 +163,8 @@ def _blocks(rows: DataFrame, size: int, quantiser: Quantiser | None) -> DataFram
     return rows.select("id", "v").mapInArrow(run, "ids binary, vectors binary, codes binary")
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, quantiser: Quantiser, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query the ids and exact scores of its k best in one block."""
+def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, quantiser: Quantiser, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query the ids, exact scores and places of its k best in one block."""
     columns = packed.T.astype(np.intp)
     wide = np.ascontiguousarray(x.T.astype(np.float64))
     keep = min(len(ids), rerank + 1)  # one more, for the query itself
@@ -179,14 +181,14 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pa
             for d in range(len(wide)):  # left to right, so that equal vectors score alike
                 exact += wide[d, at] * some[i, d]
             top = np.lexsort((ids[at], -exact))[:k]
-            yield np.full(len(top), own), ids[at][top], exact[top]
+            yield np.full(len(top), own), ids[at][top], exact[top], at[top]
 
 
 def search(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by inner product."""
     spark = candidates.sparkSession
     ship(spark)
-    rows, asked = usable(candidates, id_col, vec_col), usable(queries, id_col, vec_col)
+    rows, asked = usable(candidates, id_col, vec_col), usable(queries, id_col, vec_col).distinct()
     kind = candidates.schema[vec_col].dataType.elementType.simpleString()
     real = np.dtype({"float": np.float32, "double": np.float64}[kind])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
@@ -194,22 +196,24 @@ def search(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", ve
     if not sample:
         return spark.createDataFrame([], result)
     quantiser = train(np.array([r["v"] for r in sample], dtype=np.float64))
-    index = stored(_blocks(rows, BLOCK, quantiser), "index")
+    index = stored(_blocks(rows, BLOCK, quantiser).withColumn("block", F.monotonically_increasing_id()), "index")
     ask = stored(_blocks(asked, QUERIES, None), "queries").select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 q_ids, ids = (np.frombuffer(raw[i], dtype=np.int64) for i in (0, 2))
                 q, x = np.frombuffer(raw[1], dtype=real).reshape(len(q_ids), -1), np.frombuffer(raw[3], dtype=real).reshape(len(ids), -1)
                 if q.shape[1] != x.shape[1]:
                     continue
                 packed = np.frombuffer(raw[4], dtype=np.uint8).reshape(len(ids), -1)
                 found = list(best_of(q_ids, q, ids, x, packed, quantiser, k, rerank))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], names=["query_id", "vec_id", "score"])
+                columns = [pa.array(np.concatenate([f[i] for f in found])) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), raw[5]))], names=["query_id", "vec_id", "score", "at", "block"])
 
     pairs = ask.crossJoin(index)  # blocks of the stated query set against blocks of all rows
-    found = pairs.select("q_ids", "q_vectors", "ids", "vectors", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = pairs.select("q_ids", "q_vectors", "ids", "vectors", "codes", "block").mapInArrow(run, "query_id long, vec_id long, score double, at long, block long")
+    found = found.groupBy("query_id", "vec_id", "block", "at").agg(F.max("score").alias("score"))  # a row found by several vectors of a query
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

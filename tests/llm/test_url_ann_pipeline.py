@@ -112,6 +112,17 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_repeated_queries(spark):
+    """Equal query rows are one query; with several vectors a row counts once, by its best score."""
+    rows = [(i, [1.0 + i / 64, 1.0 - i / 64]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0])], df.schema)
+    got = ann.search(ask, df).orderBy("query_id", "rank").collect()
+    of = lambda q: [(r["vec_id"], r["score"]) for r in got if r["query_id"] == q]
+    assert of(0) == [(i, x[0]) for i, x in sorted(rows, reverse=True)[:20]]
+    assert of(1) == sorted(((i, max(x)) for i, x in rows if i != 1), key=lambda r: (-r[1], r[0]))[:20]
+
+
 def test_four_bit_codes_and_tables_agree():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 9))
