@@ -12,10 +12,11 @@ one; segments without any of these, or of their words, go before bigrams are
 made and compared.
 
 Notices inside a line, or over several, are found as windows: runs of
-consecutive words, across line ends, of at most ``b * (2 - t) / t`` bigrams.
+consecutive words, across line ends, of at most ``(2 - t) / t`` times the
+template's length.
 Of a template's windows that overlap the one with the best score stays, of
 different templates' the one that shares most bigrams; a match of a segment is
-not told again as a window.
+not told again as a window.  Complete licences are templates of windows only.
 
 Defined results: null, empty and one-word texts match nothing; of equal scores
 the template first by name wins; repeated rows each get their matches; an
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +51,18 @@ TEMPLATES: dict[str, str] = {
     "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Complete licences, a file each, found as windows beside the notices.
+TEXTS: dict[str, str] = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 #: The least Dice coefficient of a match, in hundredths.
 PERCENT = 80
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def bigrams_of(text: str) -> list[str]:
-    w = re.sub(r"[\W_]+", " ", text.lower()).split()
+    w = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
@@ -88,12 +96,14 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, percent: i
     dice.
     """
     sets = _sets(templates or TEMPLATES)
+    listed = templates or {**TEMPLATES, **TEXTS}
+    every = _sets(listed)
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), plain.alias("_plain"))
     # stored, so that the scan of all texts stays a small, compiled stage and the scores see candidates only
-    rows = stored(rows.where(F.arrays_overlap(F.split("_plain", "[ \n]+"), _literals(_key_words(sets, percent)))), "license-candidates")
+    rows = stored(rows.where(F.arrays_overlap(F.split("_plain", "[ \n]+"), _literals(_key_words(every, percent)))), "license-candidates")
     lines = stored(_segments(rows, sets, percent), "license-segments")
-    out = lines.unionByName(_windows(rows, lines, sets, percent))
+    out = lines.unionByName(_windows(rows, lines, every, {name: len(_words(listed[name])) for name in every}, percent))
     return out.select(F.col("_id").alias(id_col), "segment", "license", "n_bigrams", "n_shared", "dice")
 
 
@@ -144,12 +154,12 @@ def _apart(found: Column) -> Column:
     return bind(F.sort_array(found), lambda c: F.aggregate(c, F.filter(c, lambda x: F.lit(False)), lambda a, x: F.when(F.exists(a, meets(x)), a).otherwise(F.concat(a, F.array(x)))))
 
 
-def _windows(rows: DataFrame, lines: DataFrame, sets: Mapping[str, list[str]], percent: int) -> DataFrame:
+def _windows(rows: DataFrame, lines: DataFrame, sets: Mapping[str, list[str]], n_words: Mapping[str, int], percent: int) -> DataFrame:
     """The best matching runs of words, across line ends too, that ``lines`` do not hold."""
     spark = rows.sparkSession
     shape = "license string, bigrams array<string>, need int, reach int"
     least = lambda b: -(-percent * len(b) // (200 - percent))
-    known = [(name, b, -(-percent * (least(b) + len(b)) // 200), len(b) * (200 - percent) // percent) for name, b in sets.items()]
+    known = [(name, b, -(-percent * (least(b) + len(b)) // 200), (n_words[name] - 1) * (200 - percent) // percent) for name, b in sets.items()]
     listed = F.broadcast(spark.createDataFrame(known, shape))  # the templates
     keys = sorted({k for b in sets.values() for k in _keys(b, percent)})
     pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", w[i], w[i + 1]))

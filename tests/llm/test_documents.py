@@ -283,6 +283,21 @@ def test_packing_boundaries_are_optimal():
         assert len(ends) <= k and cost(ends) == best
 
 
+def test_packing_lengths_are_exact(spark):
+    """Lengths over 64 words, where a rounded histogram misses the optimum."""
+    two = spark.createDataFrame([(i, "w " * (65 if i < 100 else 250)) for i in range(200)], "doc_id long, text string")
+    got = packing.pack(two).collect()
+    assert {(r["n_tokens"], r["bucket_length"]) for r in got} == {(65, 65), (250, 250)} and sum(r["padding"] for r in got) == 0
+    rng = np.random.default_rng(8)
+    lengths = np.unique(rng.integers(65, 5000, 300)).tolist()
+    histogram = [(x, int(n)) for x, n in zip(lengths, rng.integers(1, 50, len(lengths)), strict=True)]
+    cost = [0.0] + [math.inf] * len(lengths)  # every split tried
+    for _ in range(5):
+        cost = [math.inf] + [min(cost[k] + sum(n for _, n in histogram[k:i]) * lengths[i - 1] for k in range(i)) for i in range(1, len(lengths) + 1)]
+    ends = packing.boundaries(histogram, 5)
+    assert sum(n * next(e for e in ends if e >= x) for x, n in histogram) == cost[-1]
+
+
 def test_license_scan(docs, rows, no_docs):
     sets = {n: set(license_scan.bigrams_of(t)) for n, t in license_scan.TEMPLATES.items()}
     expected = []
@@ -329,6 +344,23 @@ def test_license_windows(spark):
     assert len(got) == 8 and min(r["dice"] for r in got) > 0.9
 
 
+def test_complete_licenses(spark):
+    """Whole licences, wrapped anew, alone and inside a long text."""
+    import textwrap
+
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    wrapped = lambda t, n: "\n\n".join(textwrap.fill(x, n) for x in t.split("\n\n"))
+    names = sorted(license_scan.TEXTS)
+    texts = [f"Copyright (c) 2020 Somebody\n\n{wrapped(license_scan.TEXTS[n], 66)}" for n in names]
+    texts += [f"{prose(500)}\n{wrapped(license_scan.TEXTS[n], 90)}\n{prose(500)}" for n in names]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # a line that is a notice by itself keeps its row beside the licence's
+    got = [r for r in license_scan.scan(df).collect() if r["license"] in license_scan.TEXTS]
+    assert len(names) == 12 and sorted((r["doc_id"], r["license"]) for r in got) == list(enumerate(names * 2))
+    assert all(r["dice"] > 0.95 for r in got)
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 64, 1000):
         slots = token_shards.feistel(np.arange(n), n, key=9)
