@@ -96,7 +96,7 @@ def _hybrid(spark, sf_dir):
 CAST(b.rank AS INTEGER) AS bm25_rank, CAST(y.rank AS INTEGER) AS dense_rank
 FROM h LEFT JOIN b ON b.query = h.query AND b.doc = h.doc LEFT JOIN y ON y.query = h.query AND y.doc = h.doc""")
 def hybrid_trace(spark, sf_dir):
-    """Two rankings fused and reranked; item and vector ids double as query and document ids."""
+    """Two rankings fused and reranked; item and vector ids double as query and document ids."""
     chosen, lexical, dense, _ = _hybrid(spark, sf_dir)
     return r.trace(chosen, lexical, dense).select("query", "doc", "rank", F.round("rrf_score", 9).alias("rrf_score"), "rerank_score", "bm25_rank", "dense_rank")
 
