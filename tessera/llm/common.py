@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import drop, fresh_path, stored
+
+__all__ = ["drop", "fresh_path", "stored"]
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: The most rows of a batch between Spark and Python.
 BATCH_ROWS = 2000
+#: Keys with more than one row in HOT are hot: there are fewer than HOT of them, however large a table is.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,36 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, local runs) a temporary folder is made
-    and set, so that it is used once per session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str, level: int = 3) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    Cuts the lineage at a table that survives the loss of any executor.
-    ``level``: how hard zstd tries, for tables that are large beside the input.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers, once per application.
 
@@ -90,3 +65,16 @@ def bind(value: Column, body) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32(doc_id as text) mod 3 is 1; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def joined(rows: DataFrame, stats: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``stats``, which has one row for each key and, as ``n``, its number of rows.
+
+    ``total``: the rows of ``rows``.  Hot keys meet their statistics by
+    broadcast, of fewer than HOT rows, so their rows stay where they are; the
+    other keys are joined by a shuffle that gives no task more than a HOT-th
+    for one key.  Keys without statistics drop out.
+    """
+    hot = F.broadcast(stats.where(F.col("n") * HOT > total))
+    rest = rows.join(F.broadcast(stats.where(F.col("n") * HOT > total).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(stats, key))
