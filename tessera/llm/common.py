@@ -70,11 +70,15 @@ def held_out(doc_id: Column) -> Column:
 def joined(rows: DataFrame, stats: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` with the columns of ``stats``, which has one row for each key and, as ``n``, its number of rows.
 
-    ``total``: the rows of ``rows``.  Hot keys meet their statistics by
-    broadcast, of fewer than HOT rows, so their rows stay where they are; the
-    other keys are joined by a shuffle that gives no task more than a HOT-th
-    for one key.  Keys without statistics drop out.
+    ``total``: the rows of ``rows``.  Hot keys, of which there are fewer than
+    HOT, meet their statistics by broadcast, so their rows stay where they are;
+    the other keys are joined by a shuffle that gives no task more than a
+    HOT-th of all rows for one key.  Keys without statistics drop out.
     """
-    hot = F.broadcast(stats.where(F.col("n") * HOT > total))
-    rest = rows.join(F.broadcast(stats.where(F.col("n") * HOT > total).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(stats, key))
+    stats = stored(stats, "stats")
+    hot = stats.where(F.col("n") * HOT > total).collect()
+    if not hot:
+        return rows.join(stats, key)
+    is_hot = F.col(key).isin([r[key] for r in hot])
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, stats.schema))
+    return rows.where(is_hot).join(few, key).unionByName(rows.where(~is_hot).join(stats, key))
