@@ -20,8 +20,13 @@ Candidates of a block are the vectors whose approximate score reaches the
 RERANK-th best, ties included, so equal vectors are never parted and ties are
 settled by exact score and id.
 
-Defined results: a vector that is null, zero, of another length than most, or
-holds null or non-finite numbers takes no part, nor does one without id; rows
+Every query block meets every index block: on vectors without structure a
+coarse partition has to probe most of its cells before recall reaches 0.9, so
+none is used; the work is queries times vectors at a byte a dimension pair.
+
+Defined results: a vector that is null, zero, of another length than most of
+the candidates, or holds null or non-finite numbers takes no part, nor does one
+without id; integer and decimal vectors are read as doubles; rows
 that repeat a query's id are the query's own; equal query rows are one query,
 and where an id has several vectors each row counts once, by the best of its
 scores with them; other repeated rows each take a
@@ -124,12 +129,17 @@ def train(x: np.ndarray, threshold: float = 0.2, width: int = 2, rounds: int = 1
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part, of the commonest length."""
-    v = F.col("v")
+    """(id, v) of the vectors that may take part, as doubles where they are not floats."""
+    kind = df.schema[vec_col].dataType.elementType.simpleString()
+    vector = F.col(vec_col) if kind in ("float", "double") else F.col(vec_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
+    return df.select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+
+
+def common_length(rows: DataFrame) -> int:
+    """The commonest length of the vectors of ``usable`` rows, of equally common ones the greatest; 0 without rows."""
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    return sizes[0]["d"] if sizes else 0
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -188,9 +198,11 @@ def search(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", ve
     """query_id, rank, vec_id, score: each query's k nearest by inner product."""
     spark = candidates.sparkSession
     ship(spark)
-    rows, asked = usable(candidates, id_col, vec_col), usable(queries, id_col, vec_col).distinct()
-    kind = candidates.schema[vec_col].dataType.elementType.simpleString()
-    real = np.dtype({"float": np.float32, "double": np.float64}[kind])
+    rows = usable(candidates, id_col, vec_col)
+    right = F.size("v") == common_length(rows)
+    kind = rows.schema["v"].dataType
+    rows, asked = rows.where(right), usable(queries, id_col, vec_col).where(right).select("id", F.col("v").cast(kind).alias("v")).distinct()
+    real = np.dtype({"float": np.float32, "double": np.float64}[kind.elementType.simpleString()])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not sample:
@@ -204,8 +216,6 @@ def search(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", ve
             for raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 q_ids, ids = (np.frombuffer(raw[i], dtype=np.int64) for i in (0, 2))
                 q, x = np.frombuffer(raw[1], dtype=real).reshape(len(q_ids), -1), np.frombuffer(raw[3], dtype=real).reshape(len(ids), -1)
-                if q.shape[1] != x.shape[1]:
-                    continue
                 packed = np.frombuffer(raw[4], dtype=np.uint8).reshape(len(ids), -1)
                 found = list(best_of(q_ids, q, ids, x, packed, quantiser, k, rerank))
                 columns = [pa.array(np.concatenate([f[i] for f in found])) for i in range(4)]

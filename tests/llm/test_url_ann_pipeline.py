@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, components, registry, url_filter
 
@@ -112,6 +113,19 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_length_is_that_of_the_candidates(spark):
+    """Queries of mixed lengths: those of the candidates' length are answered, whatever most queries have."""
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    ask = spark.createDataFrame([(100, [1.0]), (101, [2.0]), (102, [1.0, 1.0]), (103, [3.0])], rows.schema)
+    got = ann.search(ask, rows, k=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(102, 29, 30.0), (102, 28, 29.0), (102, 27, 28.0)]
+    whole = rows.select("vec_id", F.col("embedding").cast("array<int>").alias("embedding"))
+    tens = rows.select("vec_id", F.col("embedding").cast("array<decimal(9,2)>").alias("embedding"))
+    for kind in (whole, tens):
+        assert [(r["vec_id"], r["score"]) for r in ann.search(kind.where("vec_id = 5"), kind, k=2).orderBy("rank").collect()] == [(29, 146.0), (28, 141.0)]
+    assert ann.search(ask.where("vec_id < 102"), rows).count() == 0
+
+
 def test_ann_repeated_queries(spark):
     """Equal query rows are one query; with several vectors a row counts once, by its best score."""
     rows = [(i, [1.0 + i / 64, 1.0 - i / 64]) for i in range(60)]
