@@ -1,10 +1,11 @@
-"""Text rules as column expressions; every one stays in the JVM.
+"""Text rules as column expressions; all but the JSON parser stay in the JVM.
 
 Null in, null out, unless a function says otherwise.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +31,13 @@ TAXONOMY_ALIASES: dict[str, tuple[str, ...]] = {
 PROMPT_PRICE, COMPLETION_PRICE = 1.0 / 1_000_000, 5.0 / 1_000_000
 
 
+# Fixed value: the white space of Unicode, as the inside of a character class.
+BLANKS = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def squeeze(s: Column) -> Column:
-    """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    """Runs of white space, that of Unicode too, become one blank; none at the ends."""
+    return F.trim(F.regexp_replace(s, f"[{BLANKS}]+", " "))
 
 
 def canonical(s: Column) -> Column:
@@ -115,7 +120,7 @@ def clean_text(s: Column) -> Column:
 def clean_label(s: Column, limit: int = 120) -> Column:
     """Squeezed, without bullet and outer punctuation, cut to ``limit`` with dots."""
     bare = F.btrim(F.regexp_replace(clean_text(s), r"^[*-]\s+", ""), F.lit(" .;:,"))
-    return F.when(F.length(bare) > limit, F.concat(F.rtrim(F.substring(bare, 1, limit - 3)), F.lit("..."))).otherwise(bare)
+    return F.when(F.length(bare) > limit, F.concat(F.rtrim(F.substring(bare, 1, limit - 3), F.lit(" .;:,")), F.lit("..."))).otherwise(bare)
 
 
 def slugify(s: Column) -> Column:
@@ -130,11 +135,11 @@ def truncate(s: Column, limit: int = 2200) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 3)), F.lit("..."))).otherwise(text)
 
 
-def first_sentence(s: Column) -> Column:
-    """Up to the first full stop, exclamation or question mark before a blank."""
+def first_sentence(s: Column, limit: int = 140) -> Column:
+    """Up to the first full stop, exclamation or question mark before a blank, cleaned like a label."""
     text = clean_text(s)
-    found = F.regexp_extract(text, r"(?s)^(.*?[.!?])\s+.*", 1)
-    return F.when(found == "", text).otherwise(found)
+    found = F.regexp_extract(text, r"^(.*?[.!?]) ", 1)
+    return clean_label(F.when(found == "", text).otherwise(found), limit)
 
 
 def n_blank_tokens(s: Column) -> Column:
@@ -163,22 +168,58 @@ def dense_query(s: Column, model: Column | str, instruction: str) -> Column:
     return F.when(F.contains(F.lower(name), F.lit("bge-")), F.concat(F.lit(instruction), s)).otherwise(s)
 
 
-def json_object(s: Column) -> Column:
-    """The text of the JSON object in an answer: the whole of it, the body of a
-    code fence, or the span from the first to the last brace; null if that is
-    no object."""
-    bare = F.trim(F.regexp_replace(s, r"(?is)^\s*```(?:json)?\s*(.*?)\s*```\s*$", "$1"))
-    span = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when((span != "") & F.get_json_object(span, "$").isNotNull(), span)
+def _object_parser(strict: bool):
+    """A vectorised function from answers to the JSON text of their object.
+
+    It holds all it needs, so that Python workers need not have this package.
+    """
+
+    def parse(answers: pd.Series) -> pd.Series:
+        import json
+        import re
+
+        broken = object()
+
+        def loaded(text: str) -> object:
+            try:
+                return json.loads(text)
+            except ValueError:
+                return broken
+
+        def object_in(answer: str | None) -> str | None:
+            bare = (answer or "").strip()
+            if bare.startswith("```") and strict:
+                inside = re.fullmatch(r"```(?:json)?\s*(\{.*\})\s*```", bare, re.I | re.S)
+                bare = inside[1] if inside else ""
+            elif bare.startswith("```"):
+                bare = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", bare, flags=re.I))
+            said = loaded(bare)
+            if said is broken and not strict and (at := bare.find("{")) >= 0:
+                said = loaded(bare[at : bare.rfind("}") + 1])
+            return json.dumps(said) if isinstance(said, dict) else None
+
+        return pd.Series([object_in(x) for x in answers], dtype=object)
+
+    parse.__annotations__ = {"answers": pd.Series, "return": pd.Series}
+    return parse
+
+
+def json_object(s: Column | str) -> Column:
+    """The JSON object in an answer: the whole of it, the body of a code fence,
+    or the span from the first to the last brace; null if that is no object.
+
+    Exact parsing is beyond the JVM functions, which read single quotes and stop
+    at the end of the first object; this runs over Arrow batches.
+    """
+    return F.pandas_udf(_object_parser(False), "string")(s)
 
 
-def strict_json_object(s: Column) -> Column:
+def strict_json_object(s: Column | str) -> Column:
     """Like json_object, but the whole answer, or one fence around it, must be the object."""
-    bare = F.trim(F.regexp_replace(F.trim(s), r"(?is)^```(?:json)?\s*(.*?)\s*```$", "$1"))
-    whole = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
-    return F.when(whole & F.get_json_object(bare, "$").isNotNull(), bare)
+    return F.pandas_udf(_object_parser(True), "string")(s)
 
 
 def json_labels(obj: Column) -> Column:
     """The labels of a parsed answer as strings; none if they are no list."""
-    return F.coalesce(F.from_json(F.get_json_object(obj, "$.labels"), "array<string>"), F.array().cast("array<string>"))
+    listed = F.get_json_object(obj, "$.labels")
+    return F.when(F.startswith(listed, F.lit("[")), F.coalesce(F.from_json(listed, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))

@@ -12,14 +12,14 @@ from tessera.functions import text as t
 from tessera.storage import stored
 
 TRIAL_SCHEMA = (
-    "nct_id string, url string, title string, brief_summary string, eligibility_criteria string, conditions array<string>, "
+    "nct_id string, url string, title string, official_title string, brief_summary string, detailed_description string, eligibility_criteria string, conditions array<string>, "
     "interventions array<struct<name:string,type:string,description:string>>, primary_outcomes array<struct<measure:string,description:string>>, "
     "secondary_outcomes array<struct<measure:string,description:string>>, phases array<string>, status string, enrollment string, sponsor string, study_type string, search_terms array<string>, source_hash string"
 )
-#: What is read of a nested study payload.
+# The names of what is read of a nested study payload.
 PAYLOAD_SCHEMA = (
-    "protocolSection struct<identificationModule:struct<nctId:string,briefTitle:string>,statusModule:struct<overallStatus:string>,"
-    "sponsorCollaboratorsModule:struct<leadSponsor:struct<name:string>>,descriptionModule:struct<briefSummary:string>,conditionsModule:struct<conditions:array<string>>,"
+    "protocolSection struct<identificationModule:struct<nctId:string,briefTitle:string,officialTitle:string>,statusModule:struct<overallStatus:string>,"
+    "sponsorCollaboratorsModule:struct<leadSponsor:struct<name:string>>,descriptionModule:struct<briefSummary:string,detailedDescription:string>,conditionsModule:struct<conditions:array<string>>,"
     "designModule:struct<studyType:string,phases:array<string>,enrollmentInfo:struct<count:string>>,armsInterventionsModule:struct<interventions:array<struct<name:string,type:string,description:string>>>,"
     "outcomesModule:struct<primaryOutcomes:array<struct<measure:string,description:string>>,secondaryOutcomes:array<struct<measure:string,description:string>>>,eligibilityModule:struct<eligibilityCriteria:string>>"
 )
@@ -30,25 +30,55 @@ MAX_CONCEPTS = 180
 
 
 def extract_trials(payloads: DataFrame, search_term: Column, study_url: str = "") -> DataFrame:
-    """Normalised records of raw study payloads (column ``payload``, JSON text).
+    """Normalised records (TRIAL_SCHEMA) of raw study payloads (column ``payload``, JSON text).
 
-    ``study_url``: what the address of a study begins with.
+    ``study_url``: what the address of a study begins with.  An outcome without
+    a measure is named by its description; records without a name go.
     """
     p = F.from_json("payload", PAYLOAD_SCHEMA)["protocolSection"]
-    strings = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), t.clean_text), lambda x: x != "")
-    outcome = lambda c: F.filter(F.transform(c, lambda x: F.struct(t.clean_text(x["measure"]).alias("measure"), t.clean_text(x["description"]).alias("description"))), lambda x: (x["measure"] != "") | (x["description"] != ""))
-    no_outcome = F.array().cast("array<struct<measure:string,description:string>>")
-    drugs = F.filter(F.transform(p["armsInterventionsModule"]["interventions"], lambda x: F.struct(*[t.clean_text(x[k]).alias(k) for k in ("name", "type", "description")])), lambda x: x["name"] != "")
-    nct = t.clean_text(p["identificationModule"]["nctId"])
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def labels(c: Column, limit: int) -> Column:
+        return F.filter(F.transform(F.coalesce(c, empty("string")), lambda x: t.clean_label(x, limit)), lambda x: x != "")
+
+    def outcomes(c: Column) -> Column:
+        kind = "struct<measure:string,description:string>"
+        name = lambda x: t.clean_label(F.coalesce(F.nullif(x["measure"], F.lit("")), x["description"]), 140)
+        each = F.transform(F.coalesce(c, empty(kind)), lambda x: F.struct(name(x).alias("measure"), t.clean_text(x["description"]).alias("description")))
+        return F.filter(each, lambda x: x["measure"] != "")
+
+    def interventions(c: Column) -> Column:
+        kind = "struct<name:string,type:string,description:string>"
+        parts = lambda x: [t.clean_label(x["name"], 120).alias("name"), t.clean_label(x["type"], 80).alias("type"), t.clean_text(x["description"]).alias("description")]
+        return F.filter(F.transform(F.coalesce(c, empty(kind)), lambda x: F.struct(*parts(x))), lambda x: x["name"] != "")
+
+    names, told, design, found = p["identificationModule"], p["descriptionModule"], p["designModule"], p["outcomesModule"]
+    nct = t.clean_label(names["nctId"], 32)
     return payloads.select(
-        nct.alias("nct_id"), F.concat(F.lit(study_url), nct).alias("url"), t.clean_text(p["identificationModule"]["briefTitle"]).alias("title"),
-        t.clean_text(p["descriptionModule"]["briefSummary"]).alias("brief_summary"), t.clean_text(p["eligibilityModule"]["eligibilityCriteria"]).alias("eligibility_criteria"),
-        strings(p["conditionsModule"]["conditions"]).alias("conditions"), F.coalesce(drugs, F.array().cast("array<struct<name:string,type:string,description:string>>")).alias("interventions"),
-        F.coalesce(outcome(p["outcomesModule"]["primaryOutcomes"]), no_outcome).alias("primary_outcomes"), F.coalesce(outcome(p["outcomesModule"]["secondaryOutcomes"]), no_outcome).alias("secondary_outcomes"),
-        strings(p["designModule"]["phases"]).alias("phases"), t.clean_text(p["statusModule"]["overallStatus"]).alias("status"), F.coalesce(p["designModule"]["enrollmentInfo"]["count"], F.lit("")).alias("enrollment"),
-        t.clean_text(p["sponsorCollaboratorsModule"]["leadSponsor"]["name"]).alias("sponsor"), t.clean_text(p["designModule"]["studyType"]).alias("study_type"),
-        F.array(search_term).alias("search_terms"), F.sha2("payload", 256).alias("source_hash"),
-    ).where("nct_id <> ''")
+        nct.alias("nct_id"),
+        F.concat(F.lit(study_url), nct).alias("url"),
+        t.clean_text(names["briefTitle"]).alias("title"),
+        t.clean_text(names["officialTitle"]).alias("official_title"),
+        t.clean_text(told["briefSummary"]).alias("brief_summary"),
+        t.clean_text(told["detailedDescription"]).alias("detailed_description"),
+        t.clean_text(p["eligibilityModule"]["eligibilityCriteria"]).alias("eligibility_criteria"),
+        labels(p["conditionsModule"]["conditions"], 120).alias("conditions"),
+        interventions(p["armsInterventionsModule"]["interventions"]).alias("interventions"),
+        outcomes(found["primaryOutcomes"]).alias("primary_outcomes"),
+        outcomes(found["secondaryOutcomes"]).alias("secondary_outcomes"),
+        labels(design["phases"], 60).alias("phases"),
+        t.clean_label(p["statusModule"]["overallStatus"], 80).alias("status"),
+        F.coalesce(design["enrollmentInfo"]["count"], F.lit("")).alias("enrollment"),
+        t.clean_label(p["sponsorCollaboratorsModule"]["leadSponsor"]["name"], 140).alias("sponsor"),
+        t.clean_label(design["studyType"], 80).alias("study_type"),
+        F.array(search_term).alias("search_terms"),
+        F.sha2("payload", 256).alias("source_hash"),
+    ).where("nct_id <> ''")
+
+
+def first_trials(trials: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` trials by registry number; ``most`` is the feature, a build's size."""
+    return trials.orderBy("nct_id").limit(most)
 
 
 def merged(records: DataFrame, key: str, terms: str, order: str) -> DataFrame:
@@ -113,20 +143,24 @@ def build_graph(spark: SparkSession, trials: DataFrame, domain: str, domain_labe
     ranked = ranked.groupBy("taxonomy_id", F.lower("label").alias("key")).agg(F.min_by("label", "place").alias("label"), F.min("place").alias("place"))
     place = F.row_number().over(Window.partitionBy("taxonomy_id").orderBy("place"))
     first = ranked.withColumn("place", place).where(F.col("place") <= most).collect()  # ``most`` rows a category
-    used, rows = {f.lower() for f in frames}, []
+    fixed = [(1, t_clean(frames[0]), [], "AREA")] + [(i + 2, f, [1], "FRAME") for i, f in enumerate(frames[1:])]
+    used, known, labelled, ids_of = {f.lower() for f in frames}, {}, [], []
     for code, _, n in RANKED:
         taken = 0
         for r in sorted((r for r in first if r["taxonomy_id"] == code), key=lambda r: r["place"]):
-            if taken >= n or len(frames) + len(rows) >= max_concepts:
+            if taken >= n or len(fixed) + len(labelled) >= max_concepts:
                 break
-            if r["key"] not in used:
-                used.add(r["key"])
-                rows.append(r)
-                taken += 1
-    fixed = [(1, t_clean(frames[0]), [], "AREA")] + [(i + 2, f, [1], "FRAME") for i, f in enumerate(frames[1:])]
-    labelled = [(len(fixed) + i + 1, t_clean(r["label"]), [codes[r["taxonomy_id"]] + 2], r["taxonomy_id"]) for i, r in enumerate(rows)]
+            if r["key"] in used:
+                continue
+            used.add(r["key"])
+            taken += 1
+            label = t_clean(r["label"]) or "Unknown"
+            if (code, label.lower()) not in known:  # labels that are equal once cleaned are one node
+                known[code, label.lower()] = len(fixed) + len(labelled) + 1
+                labelled.append((known[code, label.lower()], label, [codes[code] + 2], code))
+            ids_of.append((code, r["label"], known[code, label.lower()]))
     left = max(0, max_concepts - len(fixed) - len(labelled))
-    ids = spark.createDataFrame([(r["taxonomy_id"], r["label"], len(fixed) + i + 1) for i, r in enumerate(rows)] or [("", "", 0)], "taxonomy_id string, label string, id long")
+    ids = spark.createDataFrame(ids_of or [("", "", 0)], "taxonomy_id string, label string, id long")  # at most the categories' limits
     richness = F.size("conditions") + F.size("interventions") + F.size("primary_outcomes")
     best = trials.withColumn("rich", richness).orderBy(F.desc("rich"), F.desc("nct_id")).limit(left)
     cap = lambda code, c: F.transform(c, lambda x: F.struct(F.lit(code).alias("taxonomy_id"), x.alias("label")))
@@ -144,7 +178,7 @@ def t_clean(label: str, limit: int = 120) -> str:
     if bare[:1] in "*-" and bare[1:2] == " ":
         bare = bare[2:]
     bare = bare.strip(" .;:,")
-    return bare if len(bare) <= limit else bare[: limit - 3].rstrip() + "..."
+    return bare if len(bare) <= limit else bare[: limit - 3].rstrip(" .;:,") + "..."
 
 
 def provenance(trials: DataFrame, cap: int = 50) -> DataFrame:
@@ -155,19 +189,49 @@ def provenance(trials: DataFrame, cap: int = 50) -> DataFrame:
     return kept.groupBy("taxonomy_id", "key").agg(F.array_sort(F.collect_list(F.struct("url", "source_hash"))).alias("sources"))
 
 
+def node_sources(nodes: DataFrame, trials: DataFrame, cap: int = 50) -> DataFrame:
+    """domain, id, label, taxonomy_id, dependencies, sources of each node of a built graph.
+
+    An attribute's sources are those of its label, a trial's its own; frames have none.
+    """
+    label = t.clean_label(F.concat_ws(" ", "nct_id", "title"))
+    own = trials.select(F.lit("TRIAL").alias("taxonomy_id"), F.lower(label).alias("key"), F.array(F.struct("url", "source_hash")).alias("sources"))
+    found = provenance(trials, cap).unionByName(own)
+    out = nodes.withColumn("key", F.lower("label")).join(found, ["taxonomy_id", "key"], "left")
+    told = F.filter(F.coalesce("sources", F.array().cast("array<struct<url:string,source_hash:string>>")), lambda x: (x["url"] != "") | (x["source_hash"] != ""))
+    return out.select("domain", "id", "label", "taxonomy_id", "dependencies", told.alias("sources"))
+
+
+def graph_summary(sources: DataFrame) -> DataFrame:
+    """domain, taxonomy_id, nodes, edges, source_coverage of ``node_sources``; taxonomy_id null: the whole domain."""
+    covered = F.avg((F.size("sources") > 0).cast("double"))
+    sums = [F.count("*").alias("nodes"), F.sum(F.size("dependencies")).cast("long").alias("edges"), covered.alias("source_coverage")]
+    return sources.groupingSets([("domain", "taxonomy_id"), ("domain",)], "domain", "taxonomy_id").agg(*sums)
+
+
 def trial_markdown(trials: DataFrame) -> DataFrame:
-    """nct_id, markdown: a section for each part a trial has; secondary outcomes up to eight."""
-    bullets = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
-    part = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"### {title}\n"), body))
-    named = lambda x: F.concat_ws(": ", F.nullif(x["measure"], F.lit("")), F.nullif(x["description"], F.lit("")))
-    return trials.select(
-        "nct_id",
-        F.concat_ws(
-            "\n\n", F.concat(F.lit("## "), "nct_id", F.lit(": "), "title"), part("Summary", t.truncate(F.col("brief_summary"))), part("Conditions", F.array_join("conditions", ", ")),
-            part("Interventions", bullets(F.transform("interventions", lambda x: x["name"]))), part("Primary outcomes", bullets(F.transform("primary_outcomes", named))),
-            part("Secondary outcomes", bullets(F.transform(F.slice("secondary_outcomes", 1, 8), named))), part("Status", F.col("status")), part("Sponsor", F.col("sponsor")),
-        ).alias("markdown"),
-    )
+    """nct_id, markdown: heading, address, terms, status line, conditions and, where a
+    trial has them, interventions, outcomes (eight secondary ones) and long texts."""
+    listed = lambda c: F.array_join(c, ", ")
+    part = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"{title}: "), body))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    drug = lambda x: F.when(said(x["type"]) != "", F.concat(x["type"], F.lit(": "), x["name"])).otherwise(x["name"])
+    measures = lambda c: F.array_join(F.transform(c, lambda x: x["measure"]), "; ")
+    status = F.concat(F.lit("Status: "), said(F.col("status")), F.lit(" | Phase: "), listed("phases"), F.lit(" | Enrollment: "), said(F.col("enrollment")), F.lit(" | Sponsor: "), said(F.col("sponsor")))
+    parts = [
+        F.concat(F.lit("## "), "nct_id", F.lit(": "), said(F.col("title"))),
+        F.concat(F.lit("ClinicalTrials.gov: "), said(F.col("url"))),
+        F.concat(F.lit("Matched search terms: "), listed("search_terms")),
+        status,
+        F.concat(F.lit("Conditions: "), listed("conditions")),
+        part("Interventions", F.array_join(F.transform("interventions", drug), "; ")),
+        part("Primary outcomes", measures(F.col("primary_outcomes"))),
+        part("Secondary outcomes", measures(F.slice("secondary_outcomes", 1, 8))),
+        part("Summary", t.truncate(F.col("brief_summary"))),
+        part("Detailed description", t.truncate(F.col("detailed_description"))),
+        part("Eligibility criteria", t.truncate(F.col("eligibility_criteria"))),
+    ]
+    return trials.select("nct_id", F.concat_ws("\n\n", *parts).alias("markdown"))
 
 
 def _pick(rows: DataFrame, group: Sequence[str], seed: str, n: int) -> DataFrame:
@@ -185,8 +249,8 @@ def balanced_sample(questions: DataFrame, per_type: int, seed: str) -> DataFrame
     sizes = questions.groupBy("domain", "type").count()
     short = F.when(F.col("count") < per_type, F.raise_error(F.concat(F.lit("too few questions of type "), "type")).cast("long")).otherwise(F.col("count"))
     domains = questions.select("domain").distinct().withColumn("_d", F.row_number().over(Window.orderBy("domain")) - 1)  # one row for each domain
-    checked = questions.join(F.broadcast(sizes.select("domain", "type", short.alias("_n"))), ["domain", "type"]).where("_n > 0")
-    turn = checked.where("type = 'T4_aggregate'").join(F.broadcast(domains), "domain")
+    checked = questions.join(sizes.select("domain", "type", short.alias("_n")), ["domain", "type"]).where("_n > 0")
+    turn = checked.where("type = 'T4_aggregate'").join(domains, "domain")
     place = F.row_number().over(Window.partitionBy("domain").orderBy("id")) - 1
     turned = turn.withColumn("_k", place).where(F.pmod(F.col("_k") - F.col("_d") * per_type, F.col("_n")) < per_type).drop("_k", "_d", "_n")
     return _pick(checked.where("type <> 'T4_aggregate'").drop("_n"), ["domain", "type"], seed, per_type).unionByName(turned)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.text import registry_ids
 from tessera.storage import stored
 
 NODE_SCHEMA = "domain string, id long, label string, dependencies array<long>, taxonomy_id string, ord long"
@@ -28,6 +29,14 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(known, ["domain", "dst"], "left_anti")
 
 
+def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between nodes; those with an end that is no node drop out."""
+    known = nodes.select("domain", F.col("id").alias("_known"))
+    for end in ("src", "dst"):
+        edges = edges.join(known.withColumnRenamed("_known", end), ["domain", end], "left_semi")
+    return edges.select("domain", "src", "dst", "pos")
+
+
 def in_order(value: Column, *order: Column) -> Column:
     """Aggregate: the values as an array in the given order."""
     keyed = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], value.alias("v"))
@@ -41,8 +50,8 @@ def prerequisites(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dependents(nodes: DataFrame, edges: DataFrame, cap: int | None = 5) -> DataFrame:
-    """domain, id, place, dependent: the first ``cap`` dependents by file order."""
-    placed = edges.join(nodes.select("domain", F.col("id").alias("src"), "ord"), ["domain", "src"])
+    """domain, id, place, dependent: the first ``cap`` dependents of each node by file order, each once."""
+    placed = edges.select("domain", "src", "dst").distinct().join(nodes.select("domain", F.col("id").alias("dst")), ["domain", "dst"], "left_semi").join(nodes.select("domain", F.col("id").alias("src"), "ord"), ["domain", "src"])
     place = F.row_number().over(Window.partitionBy("domain", "dst").orderBy("ord", "src"))
     out = placed.withColumn("place", place)
     out = out if cap is None else out.where(F.col("place") <= cap)
@@ -101,27 +110,39 @@ def resolve(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.unionByName(best)
 
 
-def walk(starts: DataFrame, edges: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Breadth-first search from every start along src -> dst.
+def walk(starts: DataFrame, edges: DataFrame, ends: DataFrame | None = None, back: bool = False) -> DataFrame:
+    """Breadth-first search from every start along src -> dst, to the last level.
 
     ``starts``: domain, start.  Gives domain, start, node, depth, path (ids from
     start to node) and key, the ``pos`` of each hop.  Of equally short paths the
     one with the smallest key is kept, which is the order in which a queue
     fed in ``pos`` order would find them.  Each level joins, keeps one row for
-    each new (start, node) and is stored, so the plan does not grow.
+    each new (start, node) and is stored, so the plan does not grow; a level
+    without new nodes is the last, so cycles end too.
+
+    ``ends`` (domain, start, end): a start whose ends are all found goes no
+    further.  ``back``: every edge can be walked both ways, so that new nodes
+    need be told only from those of the last two levels.
     """
-    step = edges.select("domain", F.col("src").alias("node"), F.col("dst").alias("next"), "pos")
+    step = stored(edges.select("domain", F.col("src").alias("node"), F.col("dst").alias("next"), "pos"), "steps")  # read by every level
     empty = F.array().cast("array<long>")
-    level = stored(starts.select("domain", "start").distinct().select("domain", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), empty.alias("key")), "walk")
-    seen = level
-    for depth in range(1, max_depth + 1):
-        out = level.join(step, ["domain", "node"]).select("domain", "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("key", F.array("pos")).alias("key"))
-        best = out.groupBy("domain", "start", "node").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key"))
-        level = stored(best.join(seen.select("domain", "start", "node"), ["domain", "start", "node"], "left_anti").select("domain", "start", "node", F.lit(depth).alias("depth"), "path", "key"), "walk")
-        if level.isEmpty():
-            return seen
+    keys = ["domain", "start", "node"]
+    levels = [stored(starts.select("domain", "start").distinct().select("domain", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), empty.alias("key")), "walk")]
+    left = None if ends is None else ends.select("domain", "start", F.col("end").alias("node")).distinct()
+    while not levels[-1].isEmpty():
+        now = levels[-1]
+        if left is not None:
+            left = stored(left.join(now.select(*keys), keys, "left_anti"), "sought")
+            now = now.join(left.select("domain", "start").distinct(), ["domain", "start"], "left_semi")
+        out = now.join(step, ["domain", "node"]).select("domain", "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("key", F.array("pos")).alias("key"))
+        best = out.groupBy(*keys).agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key"))
+        for earlier in levels[-2:] if back else levels:
+            best = best.join(earlier.select(*keys), keys, "left_anti")
+        levels.append(stored(best.select(*keys, F.lit(len(levels)).alias("depth"), "path", "key"), "walk"))
+    seen = levels[0]
+    for level in levels[1:]:
         seen = seen.unionByName(level)
-    raise ValueError(f"paths of more than {max_depth} steps")
+    return seen
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -130,18 +151,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.unionAll(edges.select("domain", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("src").alias("pos"))).distinct()
 
 
-def undirected_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """domain, start, end, path: shortest undirected paths; ``[start, end]`` where there is none."""
-    found = walk(pairs, both_ways(edges)).select("domain", "start", F.col("node").alias("end"), "path")
+def undirected_paths(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """domain, start, end, path: shortest undirected paths over nodes; ``[start, end]`` where there is none."""
+    found = walk(pairs, both_ways(among(edges, nodes)), pairs, True).select("domain", "start", F.col("node").alias("end"), "path")
     return pairs.join(found, ["domain", "start", "end"], "left").select("domain", "start", "end", F.coalesce("path", F.array("start", "end")).alias("path"))
 
 
-def directed_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """domain, start, end, path: shortest paths along dependencies, null where there is none."""
-    found = walk(pairs, edges).select("domain", "start", F.col("node").alias("end"), "path")
+def directed_paths(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """domain, start, end, path: shortest paths over nodes along dependencies, null where there is none."""
+    found = walk(pairs, among(edges, nodes), pairs).select("domain", "start", F.col("node").alias("end"), "path")
     return pairs.join(found, ["domain", "start", "end"], "left").select("domain", "start", "end", "path")
 
 
+def ancestors(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``walk`` over nodes: a dependency that is no node is not visited."""
+    return walk(starts, among(edges, nodes))
+
+
 def members(nodes: DataFrame, tags: DataFrame) -> DataFrame:
     """domain, tag, id, label, ord: nodes of the category, else of the domain's categories that contain the tag.
 
@@ -163,10 +189,11 @@ def shared(edges: DataFrame, pairs: DataFrame, prerequisites_: bool = True) -> D
     return pairs.join(one, ["domain", "a"]).join(two, ["domain", "b", "common"]).select("domain", "a", "b", "common").distinct()
 
 
-def path_neighbourhood(pairs: DataFrame, edges: DataFrame, cap: int = 3) -> DataFrame:
+def path_neighbourhood(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, cap: int = 3) -> DataFrame:
     """domain, a, b, branch, place, member: the path between two nodes, what
-    both depend on, and the first prerequisites of each."""
-    path = undirected_paths(pairs.select("domain", F.col("a").alias("start"), F.col("b").alias("end")), edges)
+    both depend on, and the first prerequisites of each; nodes only."""
+    edges = among(edges, nodes)
+    path = undirected_paths(pairs.select("domain", F.col("a").alias("start"), F.col("b").alias("end")), edges, nodes)
     on_path = path.select("domain", F.col("start").alias("a"), F.col("end").alias("b"), F.lit(0).alias("branch"), F.posexplode("path").alias("place", "member"))
     pos = edges.select("domain", F.col("src").alias("a"), F.col("dst").alias("common"), "pos")
     both = shared(edges, pairs).join(pos, ["domain", "a", "common"]).select("domain", "a", "b", F.lit(1).alias("branch"), F.col("pos").alias("place"), F.col("common").alias("member"))
@@ -194,22 +221,68 @@ def serialised(lists: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[
     return lines.groupBy(*keys).agg(F.concat(F.lit(header + "\n"), F.array_join(in_order(F.col("line"), F.col("branch"), F.col("place"), F.col("member")), "\n")).alias("context"))
 
 
+def _checked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` with label and type of both ends; a dependency that is no node is an error."""
+    end = lambda name: nodes.select("domain", F.col("id").alias(name), F.col("label").alias(f"{name}_label"), F.col("taxonomy_id").alias(f"{name}_type"))
+    both = edges.join(end("src"), ["domain", "src"]).join(end("dst"), ["domain", "dst"], "left")
+    lost = F.raise_error(F.concat_ws(" ", F.col("domain"), F.lit("node"), F.col("src"), F.lit("depends on missing node"), F.col("dst"))).cast("string")
+    return both.withColumn("dst_label", F.when(F.col("dst_type").isNull(), lost).otherwise(F.col("dst_label")))
+
+
+def _lines(*parts: Column) -> Column:
+    """A text of lines; null ones are left out."""
+    return F.concat_ws("\n", *parts)
+
+
+def _told(title: str, value) -> Column:
+    return F.concat(F.lit(f"{title}: "), value)
+
+
 def node_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One text for each node: label, category, prerequisites, dependents, registry numbers."""
-    from tessera.functions.text import registry_ids
+    """One document for each node: its label and type, what it depends on and
+    what depends on it with their types, and the registry numbers of all of them.
 
-    named = nodes.select("domain", "id", "label")
-    needs = prerequisites(nodes, edges).groupBy("domain", "id").agg(F.array_join(in_order(F.col("label"), F.col("pos")), "; ").alias("needs"))
-    back = edges.join(named.withColumnRenamed("id", "src"), ["domain", "src"]).groupBy("domain", F.col("dst").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("label")), "; ").alias("needed"))
-    ids = F.array_join(registry_ids(F.col("label")), ", ")
+    Columns: document_id, domain, kind, node_id, label, taxonomy_ids, nct_ids,
+    text.  Prerequisites stand in stored order, dependents by id.  A node's
+    document names all its dependents, so a hub's document is as long as its
+    list; nothing else of a hub is gathered.
+    """
+    named = _checked(edges, nodes)
+    typed = lambda end: F.concat(F.col(f"{end}_label"), F.lit(" ["), F.col(f"{end}_type"), F.lit("]"))
+    numbers = lambda end: F.array_distinct(F.flatten(F.collect_list(registry_ids(F.col(f"{end}_label")))))
+    needs = named.groupBy("domain", F.col("src").alias("id")).agg(F.array_join(in_order(typed("dst"), F.col("pos")), "; ").alias("needs"), numbers("dst").alias("n1"))
+    back = named.groupBy("domain", F.col("dst").alias("id")).agg(F.array_join(in_order(typed("src"), F.col("src"), F.col("pos")), "; ").alias("needed"), numbers("src").alias("n2"))
+    none = F.array().cast("array<string>")
     out = nodes.join(needs, ["domain", "id"], "left").join(back, ["domain", "id"], "left")
-    body = F.concat_ws("\n", F.concat(F.lit("Concept: "), "label"), F.concat(F.lit("Type: "), "taxonomy_id"), F.concat(F.lit("Prerequisites: "), F.coalesce("needs", F.lit("none"))), F.concat(F.lit("Dependents: "), F.coalesce("needed", F.lit("none"))), F.when(ids != "", F.concat(F.lit("Registry: "), ids)))
-    return out.select(F.concat_ws(":", "domain", F.lit("node"), F.col("id").cast("string")).alias("document_id"), "domain", F.lit("node").alias("kind"), "id", body.alias("text"))
+    out = out.withColumn("nct_ids", F.array_sort(F.array_distinct(F.concat(registry_ids(F.col("label")), F.coalesce("n1", none), F.coalesce("n2", none)))))
+    text = _lines(
+        F.lit("Document kind: graph node"), _told("Domain", F.col("domain")), _told("Node label", F.col("label")), _told("Node type", F.col("taxonomy_id")),
+        _told("Direct prerequisites (outgoing depends_on targets)", F.coalesce("needs", F.lit("none"))),
+        _told("Direct dependents (incoming depends_on sources)", F.coalesce("needed", F.lit("none"))),
+        F.when(F.size("nct_ids") > 0, _told("NCT/source identifiers present in this graph neighborhood", F.array_join("nct_ids", ", "))),
+    )
+    name = F.concat_ws(":", "domain", F.lit("node"), F.col("id").cast("string")).alias("document_id")
+    return out.select(name, "domain", F.lit("node").alias("kind"), F.col("id").alias("node_id"), "label", F.array("taxonomy_id").alias("taxonomy_ids"), "nct_ids", text.alias("text"))
 
 
 def edge_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One text for each dependency."""
-    end = lambda name: nodes.select("domain", F.col("id").alias(name), F.col("label").alias(f"{name}_label"), F.col("taxonomy_id").alias(f"{name}_type"))
-    out = edges.join(end("src"), ["domain", "src"]).join(end("dst"), ["domain", "dst"])
-    body = F.concat(F.col("src_label"), F.lit(" ["), "src_type", F.lit("] depends on "), "dst_label", F.lit(" ["), "dst_type", F.lit("]."))
-    return out.select(F.concat_ws(":", "domain", F.lit("edge"), F.col("src").cast("string"), F.col("dst").cast("string")).alias("document_id"), "domain", F.lit("edge").alias("kind"), "src", "dst", body.alias("text"))
+    """One document for each dependency: both ends with their types and registry numbers.
+
+    Columns: document_id, domain, kind, source_node_id, target_node_id, label,
+    taxonomy_ids, nct_ids, text.
+    """
+    out = _checked(edges, nodes).withColumn("nct_ids", registry_ids(F.col("src_label"), F.col("dst_label")))
+    label = F.concat("src_label", F.lit(" depends_on "), "dst_label")
+    end = lambda e: F.concat(F.col(f"{e}_label"), F.lit(" ["), F.col(f"{e}_type"), F.lit("]"))
+    text = _lines(
+        F.lit("Document kind: typed graph edge"), _told("Domain", F.col("domain")), _told("Typed edge", label), _told("Source node", end("src")), _told("Target node", end("dst")),
+        F.when(F.size("nct_ids") > 0, _told("NCT/source identifiers present on this edge", F.array_join("nct_ids", ", "))),
+    )
+    name = F.concat_ws(":", "domain", F.lit("edge"), F.col("src").cast("string"), F.col("dst").cast("string")).alias("document_id")
+    kinds = F.array_sort(F.array_distinct(F.array("src_type", "dst_type"))).alias("taxonomy_ids")
+    return out.select(name, "domain", F.lit("edge").alias("kind"), F.col("src").alias("source_node_id"), F.col("dst").alias("target_node_id"), label.alias("label"), kinds, "nct_ids", text.alias("text"))
+
+
+def document_totals(documents: DataFrame) -> DataFrame:
+    """domain, kind, n: documents by domain and kind; the domain is null in the totals over all."""
+    return documents.groupingSets([("domain", "kind"), ("kind",)], "domain", "kind").agg(F.count("*").alias("n"))

@@ -65,18 +65,58 @@ def type_balance(rows: DataFrame, per_type: int) -> DataFrame:
 def ungrounded(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Questions whose stored answer the graph does not give: id, reason.
 
-    T2: the prerequisites' labels in order; T3: every step of the path is a
-    dependency; T4: the category's members in order; T5: the pair is an edge.
+    T1: the concept's category; T2: the prerequisites' labels, as a set; T3: the
+    labels of the path, in order, and every step a dependency; T4: the
+    category's labels, as a set; T5: the pair is a dependency and its labels
+    stand in order.  Labels are compared in canonical form; a question about an
+    id that is no node is ungrounded.
     """
+    from tessera.functions.text import canonical_label
     from tessera.operators.graph import in_order, prerequisites
 
-    needs = prerequisites(nodes, edges).groupBy("domain", F.col("id").alias("concept_id")).agg(in_order(F.col("label"), F.col("pos")).alias("_now"))
-    t2 = questions.where("type = 'T2_dependency'").join(needs, ["domain", "concept_id"], "left").where(~F.col("_now").eqNullSafe(F.col("ground_truth"))).select("id", F.lit("prerequisites").alias("reason"))
+    plain = lambda c: F.transform(c, canonical_label)
+    none = F.array().cast("array<string>")
+    as_set = lambda c: F.array_sort(F.array_distinct(F.filter(plain(F.coalesce(c, none)), lambda x: x != "")))
+    of = lambda kind: questions.where(F.col("type") == kind)
+    wrong = lambda df, same, reason: df.where(~F.coalesce(same, F.lit(False))).select("id", F.lit(reason).alias("reason"))
+    named = lambda end, label="_l": nodes.select("domain", F.col("id").alias(end), F.col("label").alias(label))
+
+    own = nodes.select("domain", F.col("id").alias("concept_id"), F.col("taxonomy_id").alias("_code"))
+    t1 = wrong(of("T1_entity").join(own, ["domain", "concept_id"], "left"), F.col("_code") == F.element_at("ground_truth", -1), "category")
+
+    needs = prerequisites(nodes, edges).groupBy("domain", F.col("id").alias("concept_id")).agg(F.collect_set("label").alias("_now"))
+    t2 = wrong(of("T2_dependency").join(needs, ["domain", "concept_id"], "left"), as_set(F.col("_now")) == as_set(F.col("ground_truth")), "prerequisites")
+
+    paths = of("T3_path").select("id", "domain", "path_ids", "ground_truth")
+    steps = paths.select("id", "domain", F.posexplode("path_ids").alias("_p", "member")).join(named("member"), ["domain", "member"], "left")
+    told = steps.groupBy("id", "domain").agg(in_order(F.coalesce("_l", F.lit("")), F.col("_p")).alias("_now"))
+    t3 = wrong(paths.join(told, ["id", "domain"], "left"), plain(F.col("_now")) == plain(F.col("ground_truth")), "path labels")
     n = F.greatest(F.size("path_ids") - 1, F.lit(0))
     hops = F.zip_with(F.slice("path_ids", F.lit(1), n), F.slice("path_ids", F.lit(2), n), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
-    t3 = questions.where("type = 'T3_path'").select("id", "domain", F.explode(hops).alias("h")).select("id", "domain", "h.*").join(edges, ["domain", "src", "dst"], "left_anti").select("id", F.lit("path").alias("reason")).distinct()
-    own = nodes.groupBy("domain", "taxonomy_id").agg(in_order(F.col("label"), F.col("ord")).alias("_now"))
-    t4 = questions.where("type = 'T4_aggregate'").join(own, ["domain", "taxonomy_id"], "left").where(~F.col("_now").eqNullSafe(F.col("ground_truth"))).select("id", F.lit("members").alias("reason"))
-    pairs = edges.select("domain", F.col("src").alias("concept_id_a"), F.col("dst").alias("concept_id_b"))
-    t5 = questions.where("type = 'T5_cross_concept'").join(pairs, ["domain", "concept_id_a", "concept_id_b"], "left_anti").select("id", F.lit("edge").alias("reason"))
-    return t2.unionAll(t3).unionAll(t4).unionAll(t5)
+    t3_steps = paths.select("id", "domain", F.explode(hops).alias("h")).select("id", "domain", "h.*").join(edges, ["domain", "src", "dst"], "left_anti").select("id", F.lit("path").alias("reason")).distinct()
+
+    kinds = nodes.groupBy("domain", "taxonomy_id").agg(F.collect_set("label").alias("_now"))
+    t4 = wrong(of("T4_aggregate").join(kinds, ["domain", "taxonomy_id"], "left"), as_set(F.col("_now")) == as_set(F.col("ground_truth")), "members")
+
+    pairs = edges.select("domain", F.col("src").alias("concept_id_a"), F.col("dst").alias("concept_id_b")).distinct()
+    t5 = of("T5_cross_concept")
+    t5_edge = t5.join(pairs, ["domain", "concept_id_a", "concept_id_b"], "left_anti").select("id", F.lit("edge").alias("reason"))
+    ends = t5.join(named("concept_id_a", "_a"), ["domain", "concept_id_a"], "left").join(named("concept_id_b", "_b"), ["domain", "concept_id_b"], "left")
+    t5_labels = wrong(ends, plain(F.array("_a", "_b")) == plain(F.slice("ground_truth", 1, 2)), "labels")
+    out = t1
+    for part in (t2, t3, t3_steps, t4, t5_edge, t5_labels):
+        out = out.unionAll(part)
+    return out
+
+
+def leaked(rows: DataFrame, forbidden: Sequence[str] = ("ground_truth", "hop_depth", "concept_id", "path_ids", "concept_id_a", "concept_id_b")) -> DataFrame:
+    """key, n: the keys among ``forbidden`` that documents (text, JSON objects as text) or columns hold; none should."""
+    held = [c for c in forbidden if c in rows.columns]
+    counts = [F.count(F.col(c)).alias(c) for c in held]
+    if "document" in rows.columns:
+        keys = F.json_object_keys("document")
+        counts += [F.count_if(F.array_contains(keys, c)).alias(c) for c in forbidden if c not in held]
+    found = rows.agg(*counts) if counts else rows.sparkSession.createDataFrame([(0,)], "_none long")
+    names = [c for c in found.columns if c != "_none"]
+    each = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in names]) if names else F.array().cast("array<struct<key:string,n:bigint>>")
+    return found.select(F.explode(each).alias("x")).select("x.*").where("n > 0")

@@ -14,44 +14,98 @@ from tessera.functions.text import registry_ids, tokens
 from tessera.storage import stored
 
 
-def windows(docs: DataFrame, size: int = 512, overlap: int = 50, least: int = 20, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
-    """source, start_token, n_tokens, text: overlapping token windows of each text.
+def pieces(text: Column) -> Column:
+    """A text cut into words, each with the blanks before it; joined they are the text again, but for its last blanks."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\s*\S+"), F.lit(0))
 
-    ``docs``: source, text.  Windows of fewer than ``least`` tokens are left
-    out; the last window is the first one that reaches the end.
+
+def windows(docs: DataFrame, size: int = 512, overlap: int = 50, least: int = 20, tokenize: Callable[[Column], Column] = pieces) -> DataFrame:
+    """source, start_token, n_tokens, text: overlapping windows of each text, as it was written.
+
+    ``docs``: source, text and any others, which are kept.  ``tokenize`` cuts a
+    text into parts that, joined, are the text.  Windows of fewer than
+    ``least`` tokens are left out; the last window is the first one that
+    reaches the end.
     """
     step = size - overlap
-    each = docs.select("source", tokenize(F.col("text")).alias("_t")).withColumn("_n", F.size("_t")).where("_n > 0")
+    each = docs.withColumn("_t", tokenize(F.col("text"))).drop("text").withColumn("_n", F.size("_t")).where("_n > 0")
     starts = each.withColumn("start_token", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(step))))
     kept = starts.where((F.col("start_token") == 0) | (F.col("start_token") - step + size < F.col("_n")))
     part = F.slice("_t", F.col("start_token") + 1, F.lit(size))
-    return kept.select("source", "start_token", F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("text")).where(F.col("n_tokens") >= least)
+    rest = [c for c in docs.columns if c != "text"]
+    return kept.select(*rest, "start_token", F.size(part).alias("n_tokens"), F.array_join(part, "").alias("text")).where(F.col("n_tokens") >= least)
+
+
+def bpe_windows(docs: DataFrame, ranks: str, pattern: str, size: int = 512, overlap: int = 50, least: int = 20) -> DataFrame:
+    """``windows`` by the tokens of a byte-pair encoding; bytes cut apart at a border read as U+FFFD.
+
+    ``docs``: source, text.  ``ranks``: the content of a tiktoken vocabulary
+    file, which goes out to the workers with the function.
+    """
+    step = size - overlap
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+
+        import tiktoken
+
+        listed = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value.splitlines() if line)}
+        encoding = tiktoken.Encoding("windows", pat_str=pattern, mergeable_ranks=listed, special_tokens={})
+        for batch in batches:
+            out: list[tuple] = []
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encoding.encode_ordinary(text or "")
+                for start in range(0, max(len(ids) - overlap, min(len(ids), 1)), step):
+                    part = ids[start : start + size]
+                    if len(part) >= least:
+                        out.append((source, start, len(part), encoding.decode(part)))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["source", "start_token", "n_tokens", "text"])
+
+    kind = docs.schema["source"].dataType.simpleString()
+    return docs.select("source", "text").mapInArrow(run, f"source {kind}, start_token int, n_tokens int, text string")
+
+
+def prose_documents(found: DataFrame) -> DataFrame:
+    """Documents of ``windows`` of a corpus (domain, source, start_token, text): their ids, numbers and texts."""
+    name = F.concat_ws(":", "domain", F.lit("prose"), "source", F.col("start_token").cast("string"))
+    none = F.array().cast("array<string>").alias("taxonomy_ids")
+    return found.select(name.alias("document_id"), "domain", F.lit("prose_chunk").alias("kind"), F.col("source").cast("string").alias("source"), registry_ids(F.col("text")).alias("nct_ids"), none, "text")
 
 
 def postings(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
-    """doc, term, tf."""
-    return docs.select("doc", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    """doc, term, tf, and the other columns of ``docs`` but its text."""
+    rest = [c for c in docs.columns if c not in ("text", "term", "tf")]
+    return docs.select(*rest, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*rest, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, doc, score of the documents that share a term with the query.
 
-    ``queries``: query, text; ``docs``: doc, text.  A term counts as often as
-    the query repeats it.  Statistics are those of all of ``docs``.  The
-    weighted postings meet the grouped query terms in one equi-join; only rows
-    of asked terms are joined and the score is summed map-side first.
+    ``queries``: query, text; ``docs``: doc, text.  With a column ``domain`` on
+    both sides every domain is a corpus of its own: its statistics are those of
+    its documents, and its queries see no others.  A term counts as often as
+    the query repeats it.  The weighted postings meet the grouped query terms
+    in one equi-join; only rows of asked terms are joined, a frequent term's
+    rows may be split by adaptive joins, and scores are summed map-side first.
     """
-    index = stored(postings(docs), "postings")
-    lengths = index.groupBy("doc").agg(F.sum("tf").alias("length"))
-    corpus = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("length").alias("total")))  # one row each
-    wanted = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    asked = wanted.join(df, "term").crossJoin(corpus)
+    by = ["domain"] if "domain" in queries.columns and "domain" in docs.columns else []
+    one = docs.select("doc", "text", *by)
+    index = stored(postings(one), "postings")
+    lengths = index.groupBy(*by, "doc").agg(F.sum("tf").alias("length"))
+    some = lambda df: df.withColumn("_all", F.lit(1)) if not by else df
+    on = by or ["_all"]
+    corpus = some(one).groupBy(*on).agg(F.count("*").alias("n")).join(some(lengths).groupBy(*on).agg(F.sum("length").alias("total")), on)  # one row a domain
+    wanted = queries.select("query", *by, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", *by, "term").agg(F.count("*").alias("times"))
+    df = index.join(wanted.select(*by, "term").distinct(), [*by, "term"], "left_semi").groupBy(*by, "term").agg(F.count("*").alias("df"))
+    asked = some(wanted.join(df, [*by, "term"])).join(corpus, on)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.select("query", "term", (F.col("times") * idf).alias("weight"), (F.col("total") / F.col("n")).alias("mean"))
+    asked = asked.select("query", *by, "term", (F.col("times") * idf).alias("weight"), (F.col("total") / F.col("n")).alias("mean"))
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return index.join(asked, "term").join(lengths, "doc").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    return index.join(asked, [*by, "term"]).join(lengths, [*by, "doc"]).groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
 def top(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -62,35 +116,53 @@ def top(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
 
 def with_silent(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """``scores`` and, since documents without a score rank too, the first k
-    documents by id with score 0; no ranking of k can hold others."""
-    few = docs.select("doc").orderBy("doc").limit(k)
-    zeros = queries.select("query").distinct().crossJoin(F.broadcast(few)).withColumn("score", F.lit(0.0))  # k rows are broadcast
-    rest = zeros.join(scores.select("query", "doc"), ["query", "doc"], "left_anti")
-    return scores.select("query", "doc", "score").unionByName(rest)
+    documents of the query's corpus by id with score 0; no ranking of k can hold others.
+
+    The scores are stored, as both parts read them.
+    """
+    by = ["domain"] if "domain" in queries.columns and "domain" in docs.columns else []
+    scores = stored(scores.select("query", "doc", "score"), "scores")
+    if by:
+        first = F.row_number().over(Window.partitionBy("domain").orderBy("doc"))
+        zeros = queries.select("query", "domain").distinct().join(docs.select("domain", "doc").withColumn("_k", first).where(F.col("_k") <= k), "domain").select("query", "doc")
+    else:
+        few = docs.select("doc").orderBy("doc").limit(k)
+        zeros = queries.select("query").distinct().crossJoin(F.broadcast(few))  # k rows are broadcast
+    rest = zeros.withColumn("score", F.lit(0.0)).join(scores.select("query", "doc"), ["query", "doc"], "left_anti")
+    return scores.unionByName(rest)
 
 
 def _packed(vectors: DataFrame, size: int) -> DataFrame:
-    """One row for each ``size`` vectors: keys and values as binaries."""
+    """domain and one row for each ``size`` vectors of it: keys and values as binaries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, size):
-                part = batch.slice(a, size)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([flat.tobytes()])], names=["keys", "flat"])
+            domain = batch.column(0).to_pylist()
+            cuts = [i for i in range(len(domain)) if not i or domain[i] != domain[i - 1]]
+            for begin, end in zip(cuts, [*cuts[1:], len(domain)], strict=True):
+                for a in range(begin, end, size):
+                    part = batch.slice(a, min(size, end - a))
+                    flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([domain[a]], pa.string()), pa.array([part.column(1).to_numpy().tobytes()]), pa.array([flat.tobytes()])], names=["domain", "keys", "flat"])
 
-    return vectors.mapInArrow(run, "keys binary, flat binary")
+    return vectors.mapInArrow(run, "domain string, keys binary, flat binary")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, size: int = 4096) -> DataFrame:
     """query, doc, score, rank: the k largest inner products by a flat scan.
 
     ``queries``: query, vector; ``vectors``: doc, vector, all of one length and
-    without nulls.  The stated query set meets all vectors block by block; a
-    task holds one block of each and hands on k rows for each of its queries.
+    without nulls.  With a column ``domain`` on both sides a query meets the
+    blocks of its own domain alone, in an equi-join.  Else the stated query set
+    meets all vectors block by block; a task holds one block of each and hands
+    on k rows for each of its queries.
     """
-    ask = _packed(queries.select(F.col("query").cast("long"), "vector"), 1024).toDF("q_keys", "q_flat")
-    index = stored(_packed(vectors.select(F.col("doc").cast("long"), "vector"), size), "vectors")
+    by = "domain" in queries.columns and "domain" in vectors.columns
+    own = F.col("domain").cast("string") if by else F.lit(None).cast("string").alias("domain")
+    sorted_ = lambda df: df.repartition("domain").sortWithinPartitions("domain") if by else df
+    ask = _packed(sorted_(queries.select(own, F.col("query").cast("long"), "vector")), 1024).toDF("domain", "q_keys", "q_flat")
+    index = stored(_packed(sorted_(vectors.select(own, F.col("doc").cast("long"), "vector")), size), "vectors")
+    pairs = ask.join(index, "domain").drop("domain") if by else ask.drop("domain").crossJoin(index.drop("domain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +172,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, size: int = 4096) ->
                 best = [np.lexsort((d, -s))[:k] for s in score]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, [len(x) for x in best])), pa.array(np.concatenate([d[x] for x in best])), pa.array(np.concatenate([s[x] for s, x in zip(score, best, strict=True)]))], names=["query", "doc", "score"])
 
-    return top(ask.crossJoin(index).mapInArrow(run, "query long, doc long, score double"), k)
+    return top(pairs.mapInArrow(run, "query long, doc long, score double"), k)
 
 
 def fuse(rankings: DataFrame, limit: int, k: int = 60) -> DataFrame:

@@ -44,6 +44,18 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue(spark, sf_dir).unionAll(status).unionAll(phase).unionAll(trial)
 
 
+#: An id that is no node.
+ABSENT = 99
+
+
+def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trials`` as hand-made files have them: some nodes repeat a dependency and name a node that is not there."""
+    nodes = trials(spark, sf_dir)
+    some = (F.col("id") % 3 != 2) & F.col("taxonomy_id").isin("SPON", "TRIAL")
+    more = F.concat("dependencies", F.array(F.lit(ABSENT).cast("long"), F.element_at("dependencies", 1)))
+    return nodes.withColumn("dependencies", F.when(some, more).otherwise(F.col("dependencies")))
+
+
 _CATALOGUE = """
   SELECT 1::BIGINT AS id, 'Trade landscape' AS label, CAST([] AS BIGINT[]) AS deps, 'AREA' AS tax
   UNION ALL SELECT 10 + r_regionkey, r_name || ' region', [1::BIGINT], 'FRAME' FROM region
@@ -59,3 +71,7 @@ _EDGES = ", e AS (SELECT id AS src, unnest(deps) AS dst, CAST(unnest(range(0, le
 #: CTEs ``n`` (id, label, deps, tax) and ``e`` (src, dst, pos).
 CATALOGUE_SQL = f"n AS ({_CATALOGUE}){_EDGES}"
 TRIALS_SQL = f"n AS ({_CATALOGUE}{_TRIALS}){_EDGES}"
+#: Also ``k``, the edges between nodes.
+FLAWED_SQL = f"""t AS ({_CATALOGUE}{_TRIALS}),
+n AS (SELECT id, label, CASE WHEN id % 3 <> 2 AND tax IN ('SPON', 'TRIAL') THEN deps || [{ABSENT}::BIGINT, deps[1]] ELSE deps END AS deps, tax FROM t){_EDGES},
+k AS (SELECT src, dst, pos FROM e WHERE dst IN (SELECT id FROM n))"""

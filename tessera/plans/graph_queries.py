@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
 from tessera.operators import graph as g
-from tessera.plans.catalog import CATALOGUE_SQL, DOMAIN, TRIALS_SQL, catalogue, trials
+from tessera.plans.catalog import CATALOGUE_SQL, DOMAIN, FLAWED_SQL, TRIALS_SQL, catalogue, flawed, trials
 from tessera.plans.registry import Book
 
 BOOK = Book()
@@ -30,44 +30,51 @@ def graph_prerequisites(spark, sf_dir):
     return g.prerequisites(*_graph(spark, sf_dir)).drop("domain")
 
 
-@BOOK.add(f"""WITH {TRIALS_SQL} SELECT dst AS id, row_number() OVER (PARTITION BY dst ORDER BY src) AS place, src AS dependent
-FROM e QUALIFY place <= 5""")
+@BOOK.add(f"""WITH {FLAWED_SQL} SELECT dst AS id, row_number() OVER (PARTITION BY dst ORDER BY src) AS place, src AS dependent
+FROM (SELECT DISTINCT src, dst FROM k) QUALIFY place <= 5""")
 def graph_dependents(spark, sf_dir):
     """The first five dependents in file order."""
-    return g.dependents(*_graph(spark, sf_dir)).drop("domain")
+    return g.dependents(*_graph(spark, sf_dir, flawed)).drop("domain")
 
 
-@BOOK.add(f"""WITH {TRIALS_SQL}, b AS (
+@BOOK.add(f"WITH {FLAWED_SQL} SELECT src, dst, pos FROM e WHERE dst NOT IN (SELECT id FROM n)")
+def graph_dangling(spark, sf_dir):
+    """Dependencies on nodes that are not there."""
+    nodes, edges = _graph(spark, sf_dir, flawed)
+    return g.dangling(edges, nodes).select("src", "dst", "pos")
+
+
+@BOOK.add(f"""WITH {FLAWED_SQL}, b AS (
   SELECT id, 0 AS branch, 0::BIGINT AS place, id AS member FROM n
-  UNION ALL SELECT src, 1, pos, dst FROM e JOIN n ON dst = n.id
-  UNION ALL SELECT * FROM (SELECT dst, 2, row_number() OVER (PARTITION BY dst ORDER BY src) AS place, src FROM e) WHERE place <= 5)
+  UNION ALL SELECT src, 1, pos, dst FROM k
+  UNION ALL SELECT * FROM (SELECT dst, 2, row_number() OVER (PARTITION BY dst ORDER BY src) AS place, src FROM (SELECT DISTINCT src, dst FROM k)) WHERE place <= 5)
 SELECT id, branch, place, member FROM b QUALIFY row_number() OVER (PARTITION BY id, member ORDER BY branch, place) = 1""")
 def graph_neighbourhood(spark, sf_dir):
     """A node with its prerequisites and first dependents, first mention kept."""
-    return g.neighbourhood(*_graph(spark, sf_dir)).drop("domain")
+    return g.neighbourhood(*_graph(spark, sf_dir, flawed)).drop("domain")
 
 
 _WALK = """, w AS (
   SELECT id AS start, id AS node, 0 AS depth, [id] AS path, CAST([] AS BIGINT[]) AS key FROM n
-  UNION ALL SELECT start, dst, depth + 1, list_append(path, dst), list_append(key, pos) FROM w JOIN e ON w.node = e.src WHERE depth < 8)
+  UNION ALL SELECT start, dst, depth + 1, list_append(path, dst), list_append(key, pos) FROM w JOIN k ON w.node = k.src WHERE depth < 8)
 , f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY depth, key) = 1)"""
 
 
-@BOOK.add(f"WITH RECURSIVE {TRIALS_SQL}{_WALK} SELECT start, node, depth, array_to_string(key, '.') AS visit_order FROM f")
+@BOOK.add(f"WITH RECURSIVE {FLAWED_SQL}{_WALK} SELECT start, node, depth, array_to_string(key, '.') AS visit_order FROM f")
 def graph_ancestors(spark, sf_dir):
     """Everything a node rests on, in the order of a breadth-first search."""
-    nodes, edges = _graph(spark, sf_dir)
-    found = g.walk(nodes.select("domain", F.col("id").alias("start")), edges)
+    nodes, edges = _graph(spark, sf_dir, flawed)
+    found = g.ancestors(nodes.select("domain", F.col("id").alias("start")), edges, nodes)
     return found.select("start", "node", "depth", F.array_join(F.transform("key", lambda x: x.cast("string")), ".").alias("visit_order"))
 
 
-@BOOK.add(f"""WITH RECURSIVE {TRIALS_SQL}{_WALK}
+@BOOK.add(f"""WITH RECURSIVE {FLAWED_SQL}{_WALK}
 SELECT n.id AS start, 1::BIGINT AS "end", array_to_string(path, '>') AS path FROM n LEFT JOIN f ON f.start = n.id AND node = 1""")
 def graph_directed_paths(spark, sf_dir):
     """The shortest way from every node to the root, first-listed dependency first."""
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir, flawed)
     pairs = nodes.select("domain", F.col("id").alias("start"), F.lit(1).cast("long").alias("end"))
-    return g.directed_paths(pairs, edges).select("start", "end", _ids("path"))
+    return g.directed_paths(pairs, edges, nodes).select("start", "end", _ids("path"))
 
 
 def _ids(name: str):
@@ -84,7 +91,14 @@ def _supplier_pairs(nodes: DataFrame) -> DataFrame:
     return some.select("domain", F.col("id").alias("a")).join(following, ["domain", "a"])
 
 
-_UNDIRECTED = f"""WITH RECURSIVE {CATALOGUE_SQL}, u AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), {_PAIRS},
+# the orders of a trial lead nowhere shorter than the nation and region above two suppliers, so the search stays among the rest
+def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The flawed graph without its trials."""
+    nodes = flawed(spark, sf_dir).where("taxonomy_id <> 'TRIAL'")
+    return nodes, g.edges_of(nodes)
+
+
+_UNDIRECTED = f"""WITH RECURSIVE {FLAWED_SQL}, u AS (SELECT src AS x, dst AS y FROM k WHERE src < 10000000 UNION SELECT dst, src FROM k WHERE src < 10000000), {_PAIRS},
 w AS (SELECT DISTINCT a AS start, a AS node, [a] AS path FROM p WHERE b IS NOT NULL
   UNION ALL SELECT start, y, list_append(path, y) FROM w JOIN u ON node = x WHERE NOT list_contains(path, y) AND len(path) < 9),
 s AS (SELECT a, b, coalesce(path, [a, b]) AS path FROM p LEFT JOIN w ON w.start = a AND w.node = b WHERE b IS NOT NULL
@@ -94,21 +108,21 @@ s AS (SELECT a, b, coalesce(path, [a, b]) AS path FROM p LEFT JOIN w ON w.start
 @BOOK.add(_UNDIRECTED + " SELECT a AS start, b AS \"end\", array_to_string(path, '>') AS path FROM s")
 def graph_undirected_paths(spark, sf_dir):
     """Shortest undirected paths between consecutive suppliers."""
-    nodes, edges = _graph(spark, sf_dir, catalogue)
+    nodes, edges = _catalogue(spark, sf_dir)
     pairs = _supplier_pairs(nodes).select("domain", F.col("a").alias("start"), F.col("b").alias("end"))
-    return g.undirected_paths(pairs, edges).select("start", "end", _ids("path"))
+    return g.undirected_paths(pairs, edges, nodes).select("start", "end", _ids("path"))
 
 
 @BOOK.add(_UNDIRECTED + """, b AS (
   SELECT a, b, 0 AS branch, unnest(path) AS member, unnest(range(0, len(path))) AS place FROM s
-  UNION ALL SELECT s.a, s.b, 1, x.dst, x.pos FROM s JOIN e x ON x.src = s.a JOIN e y ON y.src = s.b AND y.dst = x.dst
-  UNION ALL SELECT s.a, s.b, 2, x.dst, x.pos FROM s JOIN e x ON x.src = s.a AND x.pos < 3
-  UNION ALL SELECT s.a, s.b, 3, x.dst, x.pos FROM s JOIN e x ON x.src = s.b AND x.pos < 3)
+  UNION ALL SELECT s.a, s.b, 1, x.dst, x.pos FROM s JOIN k x ON x.src = s.a JOIN k y ON y.src = s.b AND y.dst = x.dst
+  UNION ALL SELECT s.a, s.b, 2, x.dst, x.pos FROM s JOIN k x ON x.src = s.a AND x.pos < 3
+  UNION ALL SELECT s.a, s.b, 3, x.dst, x.pos FROM s JOIN k x ON x.src = s.b AND x.pos < 3)
 SELECT a, b, branch, CAST(place AS BIGINT) AS place, member FROM b QUALIFY row_number() OVER (PARTITION BY a, b, member ORDER BY branch, place) = 1""")
 def graph_path_neighbourhood(spark, sf_dir):
     """G7, G8."""
-    nodes, edges = _graph(spark, sf_dir, catalogue)
-    return g.path_neighbourhood(_supplier_pairs(nodes), edges).drop("domain")
+    nodes, edges = _catalogue(spark, sf_dir)
+    return g.path_neighbourhood(_supplier_pairs(nodes), edges, nodes).drop("domain")
 
 
 @BOOK.add(f"""WITH {TRIALS_SQL}, t(tag) AS (VALUES ('spon'), ('TRI'), ('S'), (''), ('none')),
@@ -152,24 +166,41 @@ def graph_shared_dependents(spark, sf_dir):
     return g.shared(edges, a.join(b, "domain"), False).drop("domain")
 
 
-_IDS = r"array_to_string(list_sort(list_distinct(regexp_extract_all(upper(label), '\bNCT\d{8}\b'))), ', ')"
+_NCT = r"list_sort(list_distinct(regexp_extract_all(upper({0}), '\bNCT\d{{8}}\b')))"
 
 
-@BOOK.add(f"""WITH {CATALOGUE_SQL}, d AS (SELECT src AS id, string_agg(label, '; ' ORDER BY pos) AS needs FROM e JOIN n ON dst = n.id GROUP BY 1),
-r AS (SELECT dst AS id, string_agg(label, '; ' ORDER BY label) AS needed FROM e JOIN n ON src = n.id GROUP BY 1)
-SELECT 'trade:node:' || id AS document_id, 'Concept: ' || label || chr(10) || 'Type: ' || tax || chr(10) || 'Prerequisites: ' || coalesce(needs, 'none') || chr(10) || 'Dependents: ' || coalesce(needed, 'none')
-  || CASE WHEN {_IDS} <> '' THEN chr(10) || 'Registry: ' || {_IDS} ELSE '' END AS text
-FROM n LEFT JOIN d USING (id) LEFT JOIN r USING (id)""")
+@BOOK.add(f"""WITH {TRIALS_SQL}, d AS (SELECT src AS id, string_agg(label || ' [' || tax || ']', '; ' ORDER BY pos) AS needs, string_agg(label, ' ') AS l FROM e JOIN n ON dst = n.id GROUP BY 1),
+r AS (SELECT dst AS id, string_agg(label || ' [' || tax || ']', '; ' ORDER BY src, pos) AS needed, string_agg(label, ' ') AS l FROM e JOIN n ON src = n.id GROUP BY 1),
+x AS (SELECT n.*, needs, needed, array_to_string({_NCT.format("concat_ws(' ', label, d.l, r.l)")}, ', ') AS ids FROM n LEFT JOIN d USING (id) LEFT JOIN r USING (id))
+SELECT 'trade:node:' || id AS document_id, 'trade' AS domain, 'node' AS kind, id AS node_id, label, tax AS taxonomy_ids, ids AS nct_ids,
+  'Document kind: graph node' || chr(10) || 'Domain: trade' || chr(10) || 'Node label: ' || label || chr(10) || 'Node type: ' || tax || chr(10) || 'Direct prerequisites (outgoing depends_on targets): ' || coalesce(needs, 'none')
+  || chr(10) || 'Direct dependents (incoming depends_on sources): ' || coalesce(needed, 'none') || CASE WHEN ids <> '' THEN chr(10) || 'NCT/source identifiers present in this graph neighborhood: ' || ids ELSE '' END AS text FROM x""")
 def graph_node_documents(spark, sf_dir):
-    """P20, G15, P9."""
-    return g.node_documents(*_graph(spark, sf_dir, catalogue)).select("document_id", "text")
+    """The node documents of the whole graph."""
+    return _flat(g.node_documents(*_graph(spark, sf_dir)))
 
 
-@BOOK.add(f"""WITH {TRIALS_SQL} SELECT 'trade:edge:' || src || ':' || dst AS document_id, a.label || ' [' || a.tax || '] depends on ' || b.label || ' [' || b.tax || '].' AS text
-FROM e JOIN n a ON src = a.id JOIN n b ON dst = b.id""")
+@BOOK.add(f"""WITH {TRIALS_SQL}, x AS (SELECT src, dst, a.label AS al, b.label AS bl, a.tax AS sx, b.tax AS tx, array_to_string({_NCT.format("a.label || ' ' || b.label")}, ', ') AS ids FROM e JOIN n a ON src = a.id JOIN n b ON dst = b.id)
+SELECT 'trade:edge:' || src || ':' || dst AS document_id, 'trade' AS domain, 'edge' AS kind, src AS source_node_id, dst AS target_node_id, al || ' depends_on ' || bl AS label,
+  CASE WHEN sx = tx THEN sx ELSE least(sx, tx) || ', ' || greatest(sx, tx) END AS taxonomy_ids, ids AS nct_ids,
+  'Document kind: typed graph edge' || chr(10) || 'Domain: trade' || chr(10) || 'Typed edge: ' || al || ' depends_on ' || bl || chr(10) || 'Source node: ' || al || ' [' || sx || ']' || chr(10) || 'Target node: ' || bl || ' [' || tx || ']'
+  || CASE WHEN ids <> '' THEN chr(10) || 'NCT/source identifiers present on this edge: ' || ids ELSE '' END AS text FROM x""")
 def graph_edge_documents(spark, sf_dir):
-    """P21."""
-    return g.edge_documents(*_graph(spark, sf_dir)).select("document_id", "text")
+    """The edge documents of the whole graph."""
+    return _flat(g.edge_documents(*_graph(spark, sf_dir)))
+
+
+def _flat(documents: DataFrame) -> DataFrame:
+    lists = {c: F.array_join(c, ", ") for c in ("taxonomy_ids", "nct_ids")}
+    return documents.withColumns(lists)
+
+
+@BOOK.add(f"""WITH {TRIALS_SQL}, d AS (SELECT 'node' AS kind FROM n UNION ALL SELECT 'edge' FROM e)
+SELECT 'trade' AS domain, kind, count(*) AS n FROM d GROUP BY kind UNION ALL SELECT NULL, kind, count(*) FROM d GROUP BY kind""")
+def graph_document_totals(spark, sf_dir):
+    """Documents by domain and kind."""
+    nodes, edges = _graph(spark, sf_dir)
+    return g.document_totals(g.node_documents(nodes, edges).select("domain", "kind").unionAll(g.edge_documents(nodes, edges).select("domain", "kind")))
 
 
 _LABEL_CASES = "CASE id % 4 WHEN 0 THEN upper(label) WHEN 1 THEN 'about ' || label || ' today' WHEN 2 THEN substr(label, 1, length(label) - 2) ELSE label END"

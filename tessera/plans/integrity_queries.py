@@ -61,14 +61,31 @@ def type_balance(spark, sf_dir):
     return i.type_balance(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("type")), 3000)
 
 
-@BOOK.add(f"""WITH {CATALOGUE_SQL} SELECT 'trade_T2_' || id AS id, 'prerequisites' AS reason FROM n WHERE id % 3 = 0 AND len(deps) > 0
-UNION ALL SELECT 'trade_T5_' || src || '_' || dst, 'edge' FROM e WHERE src % 4 = 0""")
+@BOOK.add(f"""WITH {CATALOGUE_SQL} SELECT 'trade_T1_' || id AS id, 'category' AS reason FROM n WHERE id % 5 = 0
+UNION ALL SELECT 'trade_T2_' || id, 'prerequisites' FROM n WHERE id % 3 = 0 AND len(deps) > 0
+UNION ALL SELECT 'trade_T3_1_' || id, 'path labels' FROM n WHERE id % 6 = 1 AND (tax = 'SPON' OR tax = 'COND' AND id NOT IN (SELECT dst FROM e))
+UNION ALL SELECT 'trade_T5_' || src || '_' || dst, x FROM e, (VALUES ('edge'), ('labels')) v(x) WHERE src % 4 = 0
+UNION ALL SELECT 'trade_T5_' || src || '_' || dst, 'labels' FROM e WHERE src % 4 = 1""")
 def ungrounded_answers(spark, sf_dir):
-    """Damaged answers are found, sound ones pass."""
+    """Damaged answers are found; sound ones, also in other orders and cases, pass."""
     nodes = catalogue(spark, sf_dir)
     edges = g.edges_of(nodes)
     asked = q.generate(nodes, edges)
-    t2 = (F.col("type") == "T2_dependency") & (F.col("concept_id") % 3 == 0)
-    t5 = (F.col("type") == "T5_cross_concept") & (F.col("concept_id_a") % 4 == 0)
-    damaged = asked.withColumns({"ground_truth": F.when(t2, F.array(F.lit("wrong"))).otherwise(F.col("ground_truth")), "concept_id_b": F.when(t5, F.lit(-1)).otherwise(F.col("concept_id_b"))})
+    kind, truth = F.col("type"), F.col("ground_truth")
+    t1 = (kind == "T1_entity") & (F.col("concept_id") % 5 == 0)
+    t2 = (kind == "T2_dependency") & (F.col("concept_id") % 3 == 0)
+    t3 = (kind == "T3_path") & (F.col("concept_id") % 6 == 1)
+    t5 = kind == "T5_cross_concept"
+    said = F.when(t1 | t2, F.array(F.lit("wrong"))).when(t3, F.reverse(truth)).when(kind == "T4_aggregate", F.reverse(truth)).when(kind == "T2_dependency", F.transform(truth, F.upper))
+    said = said.when(t5 & (F.col("concept_id_a") % 4 == 1), F.reverse(truth)).otherwise(truth)
+    lost = t5 & (F.col("concept_id_a") % 4 == 0)
+    damaged = asked.withColumns({"ground_truth": said, "concept_id_b": F.when(lost, F.lit(-1)).otherwise(F.col("concept_id_b"))})
     return i.ungrounded(damaged, nodes, edges)
+
+
+@BOOK.add(f"""WITH {CATALOGUE_SQL} SELECT 'hop_depth' AS key, count(*) AS n FROM n WHERE id % 3 = 0 UNION ALL SELECT 'ground_truth', count(*) FROM n WHERE id % 4 = 0""")
+def leaked_keys(spark, sf_dir):
+    """H9: documents that hold what only the answer key may."""
+    k = F.col("id")
+    text = F.to_json(F.struct("label", F.when(k % 3 == 0, F.lit(1)).alias("hop_depth"), F.when(k % 4 == 0, F.array("label")).alias("ground_truth")))
+    return i.leaked(catalogue(spark, sf_dir).select(text.alias("document")))

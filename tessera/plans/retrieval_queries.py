@@ -21,13 +21,15 @@ def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
-@BOOK.add(f"""WITH t AS (SELECT doc_id AS source, {_TOKENS.format('text')} AS t FROM documents),
-s AS (SELECT source, t, unnest(range(0, len(t), 462)) AS start FROM t),
-c AS (SELECT source, start, list_slice(t, start + 1, start + 512) AS w FROM s WHERE start = 0 OR start - 462 + 512 < len(t))
-SELECT source, CAST(start AS INTEGER) AS start_token, CAST(len(w) AS INTEGER) AS n_tokens, array_to_string(w, ' ') AS text FROM c WHERE len(w) >= 20""")
+@BOOK.add(r"""WITH t AS (SELECT doc_id AS source, coalesce(lang, 'none') AS domain, regexp_extract_all(coalesce(text, ''), '[\s\x0b]*[^\s\x0b]+') AS t FROM documents),
+s AS (SELECT source, domain, t, unnest(range(0, len(t), 462)) AS start FROM t),
+c AS (SELECT source, domain, start, list_slice(t, start + 1, start + 512) AS w FROM s WHERE start = 0 OR start - 462 + 512 < len(t))
+SELECT domain || ':prose:' || source || ':' || start AS document_id, domain, 'prose_chunk' AS kind, CAST(source AS VARCHAR) AS source,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(upper(array_to_string(w, '')), '\bNCT\d{8}\b'))), ' ') AS nct_ids, array_to_string(w, '') AS text FROM c WHERE len(w) >= 20""")
 def token_windows(spark, sf_dir):
-    """Overlapping windows of every document."""
-    return r.windows(_docs(spark, sf_dir).select(F.col("doc").alias("source"), "text"))
+    """Overlapping windows of every document, as written; languages stand for domains."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.coalesce("lang", F.lit("none")).alias("domain"), "text")
+    return r.prose_documents(r.windows(docs)).withColumn("nct_ids", F.array_join("nct_ids", " ")).drop("taxonomy_ids")
 
 
 _BM25 = f"""d AS (SELECT doc_id AS doc, unnest({_TOKENS.format('text')}) AS term FROM documents),
@@ -55,6 +57,22 @@ def bm25_top(spark, sf_dir):
     return _lexical(spark, sf_dir).select("query", "doc", "rank", F.round("score", 6).alias("score"))
 
 
+@BOOK.add(f"""WITH o AS (SELECT o_orderkey AS doc, o_orderstatus AS domain, o_orderpriority || ' ' || o_custkey AS text FROM orders),
+a AS (SELECT doc AS query, domain, text FROM o WHERE doc % 50 = 0),
+p AS (SELECT domain, doc, term, count(*) AS tf FROM (SELECT domain, doc, unnest({_TOKENS.format('text')}) AS term FROM o) GROUP BY 1, 2, 3),
+l AS (SELECT domain, doc, sum(tf) AS len FROM p GROUP BY 1, 2), n AS (SELECT domain, count(*) AS n FROM o GROUP BY 1), m AS (SELECT domain, sum(len) AS total FROM l GROUP BY 1),
+f AS (SELECT domain, term, count(*) AS df FROM p GROUP BY 1, 2), q AS (SELECT query, domain, term, count(*) AS times FROM (SELECT query, domain, unnest({_TOKENS.format('text')}) AS term FROM a) GROUP BY 1, 2, 3),
+s AS (SELECT query, doc, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (total / n)))) AS score
+  FROM q JOIN f USING (domain, term) JOIN p USING (domain, term) JOIN l USING (domain, doc) JOIN n USING (domain) JOIN m USING (domain) GROUP BY 1, 2)
+SELECT query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def bm25_by_domain(spark, sf_dir):
+    """Every status a corpus of its own, with its own statistics."""
+    orders = table(spark, sf_dir, "orders")
+    docs = orders.select(F.col("o_orderkey").alias("doc"), F.col("o_orderstatus").alias("domain"), F.concat_ws(" ", "o_orderpriority", F.col("o_custkey").cast("string")).alias("text"))
+    asked = docs.where("doc % 50 = 0").withColumnRenamed("doc", "query")
+    return r.top(r.bm25(asked, docs), 5).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 _DENSE = """v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
 g AS (SELECT q.vec_id AS query, d.vec_id AS doc, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 9) AS score
   FROM v q, v d WHERE q.vec_id % 50 = 0)"""
@@ -73,9 +91,19 @@ def dense_top(spark, sf_dir):
     return r.nearest(*_vectors(spark, sf_dir), 5).select("query", "doc", "rank", F.round("score", 6).alias("score"))
 
 
-_HYBRID = f"""{_DENSE}, {_BM25},
+@BOOK.add("""WITH v AS (SELECT vec_id, vec_id % 7 AS domain, embedding FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT q.vec_id AS query, d.vec_id AS doc, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 9) AS score FROM v q JOIN v d USING (domain) WHERE q.vec_id % 50 = 0)
+SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank, round(score, 6) AS score FROM g QUALIFY rank <= 5""")
+def dense_by_domain(spark, sf_dir):
+    """A query meets the vectors of its domain only."""
+    ask, vectors = _vectors(spark, sf_dir)
+    return r.nearest(ask.withColumn("domain", F.col("query") % 7), vectors.withColumn("domain", F.col("doc") % 7), 5).select("query", "doc", "rank", F.round("score", 6).alias("score"))
+
+
+# every item's vector is a query, so that each item has both rankings
+_HYBRID = f"""{_DENSE.replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)")}, {_BM25},
 y AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM g QUALIFY rank <= 40),
-u AS (SELECT query, doc, rank FROM b UNION ALL SELECT query, doc, rank FROM y WHERE query IN (SELECT item_id FROM benchmark)),
+u AS (SELECT query, doc, rank FROM b UNION ALL SELECT query, doc, rank FROM y),
 r AS (SELECT query, doc, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY 1, 2),
 c AS (SELECT query, doc, score FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) <= 40),
 o AS (SELECT c.query, c.doc, c.score, CAST(len(list_filter({_TOKENS.format('benchmark.text')}, lambda x: list_contains({_TOKENS.format('documents.text')}, x))) AS DOUBLE) AS s
@@ -86,8 +114,9 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, round(sco
 def _hybrid(spark, sf_dir):
     asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
     lexical = stored(_lexical(spark, sf_dir), "lexical")
-    ask, vectors = _vectors(spark, sf_dir)
-    dense = stored(r.nearest(ask, vectors, 40).join(asked.select("query"), "query", "left_semi"), "dense")
+    _, vectors = _vectors(spark, sf_dir)
+    ask = vectors.withColumnRenamed("doc", "query").join(asked.select("query").distinct(), "query", "left_semi")
+    dense = stored(r.nearest(ask, vectors, 40), "dense")
     fused = r.fuse(lexical.select("query", "doc", "rank").unionAll(dense.select("query", "doc", "rank")), 40)
     return r.rerank(fused, asked, docs), lexical, dense, docs
 

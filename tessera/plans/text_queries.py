@@ -11,6 +11,18 @@ from tessera.plans.registry import Book
 from tessera.plans.scoring_queries import _LABEL, _canonical, _normal
 
 BOOK = Book()
+#: White space of Unicode in DuckDB's pattern language.
+_BLANKS = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Documents some of which have other blanks than the plain one, and a bullet.
+_ODD = "(SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN translate(text, ' ', chr(160)) WHEN 1 THEN '* ' || replace(text, ' ', chr(8195) || ' ') WHEN 2 THEN replace(text, 'a', 'a' || chr(12288)) ELSE text END AS text FROM documents) AS odd"
+
+
+def _odd(spark, sf_dir):
+    k, x = F.col("doc_id") % 4, F.col("text")
+    text = F.when(k == 0, F.translate(x, " ", "\u00a0")).when(k == 1, F.concat(F.lit("* "), F.replace(x, F.lit(" "), F.lit("\u2003 ")))).when(k == 2, F.replace(x, F.lit("a"), F.lit("a\u3000"))).otherwise(x)
+    return table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
+
+
 _TOKENS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9]+(?:[_-][A-Za-z0-9]+)*'), lambda x: lower(x))"
 
 
@@ -34,38 +46,56 @@ def text_strip_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.strip_markup(F.col("html")).alias("lossy"), t.strip_markup_carefully(F.col("html")).alias("careful"))
 
 
-@BOOK.add(f"""SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS INTEGER) AS n_blank_tokens, substr(text, 1, 200) || '...' AS preview FROM documents""")
+@BOOK.add(f"""SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_BLANKS}]+')) AS INTEGER) AS n_blank_tokens, substr(text, 1, 200) || '...' AS preview FROM {_ODD}""")
 def text_tokens(spark, sf_dir):
     """P8, P33, P36."""
     x = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(t.tokens(x), " ").alias("tokens"), t.n_blank_tokens(x).alias("n_blank_tokens"), t.preview(x).alias("preview"))
+    return _odd(spark, sf_dir).select("doc_id", F.array_join(t.tokens(x), " ").alias("tokens"), t.n_blank_tokens(x).alias("n_blank_tokens"), t.preview(x).alias("preview"))
+
+
+_CLEAN = f"trim(regexp_replace(coalesce(text, ''), '[{_BLANKS}]+', ' ', 'g'))"
 
 
-_SQUEEZE = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
-_CLEAN = _SQUEEZE.format("text")
-_BARE = rf"trim(regexp_replace({_CLEAN}, '^[*-]\s+', ''), ' .;:,')"
+def _stripped(x: str) -> str:
+    return f"trim(regexp_replace({x}, '^[*-] ', ''), ' .;:,')"
 
 
-@BOOK.add(rf"""SELECT doc_id, CASE WHEN length({_BARE}) > 120 THEN rtrim(substr({_BARE}, 1, 117)) || '...' ELSE {_BARE} END AS label,
+_BARE = _stripped(_CLEAN)
+_SENTENCE = _stripped(f"CASE WHEN regexp_extract({_CLEAN}, '^(.*?[.!?]) ', 1) = '' THEN {_CLEAN} ELSE regexp_extract({_CLEAN}, '^(.*?[.!?]) ', 1) END")
+
+
+def _limited(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN rtrim(substr({x}, 1, {n - 3}), ' .;:,') || '...' ELSE {x} END"
+
+
+@BOOK.add(rf"""SELECT doc_id, {_limited(_BARE, 120)} AS label,
 CASE WHEN length({_CLEAN}) > 2200 THEN rtrim(substr({_CLEAN}, 1, 2197)) || '...' ELSE {_CLEAN} END AS body,
-CASE WHEN regexp_extract({_CLEAN}, '(?s)^(.*?[.!?])\s+.*', 1) = '' THEN {_CLEAN} ELSE regexp_extract({_CLEAN}, '(?s)^(.*?[.!?])\s+.*', 1) END AS sentence,
-CASE WHEN trim(regexp_replace(lower(coalesce(source, '')), '[^a-zA-Z0-9]+', '-', 'g'), '-') = '' THEN 'item' ELSE trim(regexp_replace(lower(coalesce(source, '')), '[^a-zA-Z0-9]+', '-', 'g'), '-') END AS slug FROM documents""")
+{_limited(_SENTENCE, 140)} AS sentence,
+CASE WHEN trim(regexp_replace(lower(coalesce(source, '')), '[^a-zA-Z0-9]+', '-', 'g'), '-') = '' THEN 'item' ELSE trim(regexp_replace(lower(coalesce(source, '')), '[^a-zA-Z0-9]+', '-', 'g'), '-') END AS slug FROM {_ODD}""")
 def text_labels(spark, sf_dir):
     """P13, P14, P15, P16, P17."""
     x = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.clean_label(x).alias("label"), t.truncate(x).alias("body"), t.first_sentence(x).alias("sentence"), t.slugify(F.col("source")).alias("slug"))
+    return _odd(spark, sf_dir).select("doc_id", t.clean_label(x).alias("label"), t.truncate(x).alias("body"), t.first_sentence(x).alias("sentence"), t.slugify(F.col("source")).alias("slug"))
+
+
+_FORMS = """a AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN props || ' as asked' WHEN 3 THEN 'no ' || substr(props, 1, 3)
+  WHEN 4 THEN props || ' ' || props WHEN 5 THEN replace(props, '"', chr(39)) WHEN 6 THEN props || ' trailing }' WHEN 7 THEN '[' || props || ']' ELSE ' {"labels": ["' || event_type || '", "b"], "k": 1} ' END AS answer FROM events)"""
 
 
-@BOOK.add("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN props END AS object,
-CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN props END AS strict, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""")
+@BOOK.add(f"""WITH {_FORMS}, b AS (SELECT event_id, answer, trim(regexp_replace(trim(answer), '^```json\\s*(\\{{.*\\}})\\s*```$', '\\1', 's')) AS whole, regexp_extract(answer, '(?s)\\{{.*\\}}') AS span FROM a),
+c AS (SELECT event_id, CASE WHEN json_valid(whole) THEN CASE WHEN starts_with(whole, '{{') THEN whole END WHEN span <> '' AND json_valid(span) THEN span END AS o, json_valid(whole) AND starts_with(whole, '{{') AS s FROM b)
+SELECT event_id, o IS NOT NULL AS extractable, s AS strict, CAST(json_extract(o, '$.k') AS INTEGER) AS k, coalesce(array_to_string(CAST(json_extract(o, '$.labels') AS VARCHAR[]), '|'), '') AS labels FROM c""")
 def json_answers(spark, sf_dir):
-    """An object bare, fenced, followed by prose, and broken."""
-    fence = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    k = F.col("event_id") % 4
-    answer = F.when(k == 0, F.col("props")).when(k == 1, fence).when(k == 2, F.concat("props", F.lit(" as asked"))).otherwise(F.concat(F.lit("no "), F.substring("props", 1, 3)))
+    """An object bare, fenced, before prose, broken, twice, in single quotes, before a stray brace, in a list, with labels."""
+    props, k = F.col("props"), F.col("event_id") % 9
+    forms = [
+        props, F.concat(F.lit("```json\n"), props, F.lit("\n```")), F.concat(props, F.lit(" as asked")), F.concat(F.lit("no "), F.substring(props, 1, 3)), F.concat(props, F.lit(" "), props),
+        F.replace(props, F.lit('"'), F.lit("'")), F.concat(props, F.lit(" trailing }")), F.concat(F.lit("["), props, F.lit("]")), F.concat(F.lit(' {"labels": ["'), "event_type", F.lit('", "b"], "k": 1} ')),
+    ]
+    answer = F.element_at(F.array(*forms), (k + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", answer.alias("answer"))
-    obj = t.json_object(F.col("answer"))
-    return rows.select("event_id", obj.alias("object"), t.strict_json_object(F.col("answer")).alias("strict"), F.get_json_object(obj, "$.k").cast("int").alias("k"))
+    rows = rows.select("event_id", t.json_object("answer").alias("object"), t.strict_json_object("answer").alias("strict"))
+    return rows.select("event_id", F.col("object").isNotNull().alias("extractable"), F.col("strict").isNotNull().alias("strict"), F.get_json_object("object", "$.k").cast("int").alias("k"), F.array_join(t.json_labels(F.col("object")), "|").alias("labels"))
 
 
 _KINDS = "['T1_entity','T2_dependency','T3_path','T4_aggregate','T5_cross_concept'][1 + CAST(o_orderkey % 5 AS INT)]"

@@ -31,7 +31,8 @@ def dependency_list(cell: Column, strict: bool = False) -> Column:
 def read_graphs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """The node table (graph.NODE_SCHEMA) of CSV files, one folder a domain.
 
-    A file without a TaxonomyID column gives ``GEN`` unless ``strict``.  Of rows
+    A file without a TaxonomyID column gives ``GEN`` unless ``strict``; a blank
+    cell stays empty.  Of rows
     that repeat an id the last gives the values, the first the place.  A
     file's order is that of its lines: files are read whole, one task each.
     """
@@ -41,7 +42,7 @@ def read_graphs(spark: SparkSession, path: str, strict: bool = False) -> DataFra
         raise ValueError("no TaxonomyID column")
     rows = raw.select(
         domain_of(F.col("_metadata.file_path")).alias("domain"), F.trim("ConceptID").cast("long").alias("id"), F.trim("ConceptLabel").alias("label"),
-        dependency_list(F.col("Dependencies"), strict).alias("dependencies"), F.coalesce(F.nullif(F.trim(code), F.lit("")), F.lit("GEN")).alias("taxonomy_id"), F.monotonically_increasing_id().alias("ord"),
+        dependency_list(F.col("Dependencies"), strict).alias("dependencies"), F.coalesce(F.trim(code), F.lit("")).alias("taxonomy_id"), F.monotonically_increasing_id().alias("ord"),
     )
     last = F.max_by(F.struct("label", "dependencies", "taxonomy_id"), "ord")
     return rows.groupBy("domain", "id").agg(last.alias("x"), F.min("ord").alias("ord")).select("domain", "id", "x.label", "x.dependencies", "x.taxonomy_id", "ord")
@@ -94,4 +95,4 @@ def select_domains(manifest: DataFrame, ids: list[str] | None = None) -> DataFra
     lost = [r["id"] for r in wanted.join(manifest, "id", "left_anti").orderBy("id").limit(10).collect()]
     if lost:
         raise ValueError(f"unknown domains: {lost}")
-    return manifest.join(F.broadcast(wanted), "id", "left_semi")
+    return manifest.join(wanted, "id", "left_semi")

@@ -30,7 +30,11 @@ def one(spark, column, **values):
         (t.clean_label, "x" * 130, "x" * 117 + "..."),
         (t.slugify, "A b/C", "a-b-c"),
         (t.slugify, "!!", "item"),
-        (t.first_sentence, "One. Two. Three", "One."),
+        (t.first_sentence, "One. Two. Three", "One"),
+        (t.first_sentence, "z" * 150 + "! b", "z" * 137 + "..."),
+        (t.clean_text, "a\u00a0\u2003b\u3000", "a b"),
+        (t.n_blank_tokens, "a\u00a0b", 2),
+        (t.clean_label, "x" * 116 + " ; yyyy", "x" * 116 + "..."),
         (t.first_sentence, "no stop", "no stop"),
         (t.truncate, "y" * 2300, "y" * 2197 + "..."),
         (t.n_blank_tokens, " a\n b  c ", 3),
@@ -38,6 +42,10 @@ def one(spark, column, **values):
         (t.json_object, '```json\n{"a": 1}\n```', '{"a": 1}'),
         (t.json_object, 'sure: {"a": 1} done', '{"a": 1}'),
         (t.json_object, "none", None),
+        (t.json_object, '{"a": 1} {"b": 2}', None),
+        (t.json_object, "{'a': 1}", None),
+        (t.json_object, '[{"a": 1}]', None),
+        (t.strict_json_object, '{"a": 1} trailing }', None),
         (t.strict_json_object, '```json\n{"a": 1}\n```', '{"a": 1}'),
         (t.strict_json_object, '{"a": 1} done', None),
     ],

@@ -34,17 +34,30 @@ def test_breadth_first_order(spark, nodes, edges):
     assert got[1]["path"] == [5, 2, 1]
 
 
-def test_paths(spark, edges):
-    got = {(r["start"], r["end"]): r["path"] for r in g.undirected_paths(pairs(spark, (2, 3), (5, 5), (6, 1), (3, 5)), edges).collect()}
+def test_paths(spark, nodes, edges):
+    got = {(r["start"], r["end"]): r["path"] for r in g.undirected_paths(pairs(spark, (2, 3), (5, 5), (6, 1), (3, 5)), edges, nodes).collect()}
     assert got == {(2, 3): [2, 1, 3], (5, 5): [5], (6, 1): [6, 1], (3, 5): [3, 4, 5]}
-    one = {(r["start"], r["end"]): r["path"] for r in g.directed_paths(pairs(spark, (5, 3), (1, 5)), edges).collect()}
+    one = {(r["start"], r["end"]): r["path"] for r in g.directed_paths(pairs(spark, (5, 3), (1, 5)), edges, nodes).collect()}
     assert one == {(5, 3): [5, 4, 3], (1, 5): None}
 
 
-def test_endless_walk_is_an_error(spark):
-    loop = spark.createDataFrame([("d", i, i + 1, 0) for i in range(6)], "domain string, src long, dst long, pos long")
-    with pytest.raises(ValueError, match="more than 3"):
-        g.walk(spark.createDataFrame([("d", 0)], "domain string, start long"), loop, max_depth=3)
+def test_long_chains_and_cycles_end(spark):
+    chain = spark.createDataFrame([("d", i, i + 1, 0) for i in range(36)] + [("d", 36, 30, 0)], "domain string, src long, dst long, pos long")
+    got = {r["node"]: r["depth"] for r in g.walk(spark.createDataFrame([("d", 0)], "domain string, start long"), chain).collect()}
+    assert got == {i: i for i in range(37)}
+
+
+def test_absent_nodes_and_repeated_dependencies(spark):
+    rows = [("d", 1, "One", [99, 3], "X", 1), ("d", 2, "Two", [99], "X", 2), ("d", 3, "Three", [], "X", 3), ("d", 4, "Four", [3, 3, 99], "X", 4), ("d", 5, "Five", [3], "X", 5)]
+    flawed = spark.createDataFrame(rows, g.NODE_SCHEMA)
+    edges = g.edges_of(flawed)
+    assert [r["path"] for r in g.undirected_paths(pairs(spark, (1, 2)), edges, flawed).collect()] == [[1, 2]]
+    first = {(r["id"], r["place"]): r["dependent"] for r in g.dependents(flawed, edges, 2).collect()}
+    assert first == {(3, 1): 1, (3, 2): 4}
+    up = g.ancestors(spark.createDataFrame([("d", 1)], "domain string, start long"), edges, flawed).collect()
+    assert sorted(r["node"] for r in up) == [1, 3]
+    with pytest.raises(Exception, match="missing node 99"):
+        g.node_documents(flawed, edges).collect()
 
 
 def test_resolution_tiers(spark, nodes):
@@ -59,7 +72,7 @@ def test_neighbourhoods(spark, nodes, edges):
         got[r["id"]].append(r["member"])
     assert got[2] == [2, 1, 4] and got[4] == [4, 2, 3, 5] and got[6] == [6]
     ab = spark.createDataFrame([("d", 5, 4)], "domain string, a long, b long")
-    t5 = [r["member"] for r in g.path_neighbourhood(ab, edges).orderBy("branch", "place").collect()]
+    t5 = [r["member"] for r in g.path_neighbourhood(ab, edges, nodes).orderBy("branch", "place").collect()]
     assert t5 == [5, 4, 2, 3]
     assert [r["common"] for r in g.shared(edges, spark.createDataFrame([("d", 2, 3)], "domain string, a long, b long"), False).collect()] == [4]
 
@@ -70,10 +83,33 @@ def test_dangling_and_degrees(spark, nodes, edges):
     assert got[5] == (2, 0, False, True) and got[1] == (0, 2, True, False) and got[6] == (0, 0, True, True)
 
 
-def test_documents(nodes, edges):
-    texts = {r["document_id"]: r["text"] for r in g.node_documents(nodes, edges).collect()}
-    assert texts["d:node:4"] == "Concept: Deep left\nType: COND\nPrerequisites: Left; Right\nDependents: Leaf"
+def test_documents(spark, nodes, edges):
+    docs = {r["document_id"]: r for r in g.node_documents(nodes, edges).collect()}
+    assert docs["d:node:4"]["text"].split("\n") == [
+        "Document kind: graph node", "Domain: d", "Node label: Deep left", "Node type: COND",
+        "Direct prerequisites (outgoing depends_on targets): Left [FRAME]; Right [FRAME]", "Direct dependents (incoming depends_on sources): Leaf [INTR]",
+    ]
+    assert docs["d:node:6"]["text"].endswith("targets): none\nDirect dependents (incoming depends_on sources): none")
     assert g.edge_documents(nodes, edges).count() == 6
+    named = spark.createDataFrame([("d", 1, "NCT00000002 b", [], "TRIAL", 1), ("d", 2, "nct00000001 a", [1], "COND", 2)], g.NODE_SCHEMA)
+    node = g.node_documents(named, g.edges_of(named)).orderBy("node_id").first()
+    assert node["nct_ids"] == ["NCT00000001", "NCT00000002"] and node["taxonomy_ids"] == ["TRIAL"]
+    edge = g.edge_documents(named, g.edges_of(named)).first()
+    assert (edge["document_id"], edge["label"], edge["taxonomy_ids"]) == ("d:edge:2:1", "nct00000001 a depends_on NCT00000002 b", ["COND", "TRIAL"])
+    assert edge["text"].endswith("NCT/source identifiers present on this edge: NCT00000001, NCT00000002")
+
+
+def test_windows_hold_the_text(spark):
+    import public_tokenizers
+
+    text = "L'Île d'été,\n  2.5 mg  " + "mot " * 30
+    docs = spark.createDataFrame([("s", text)], "source string, text string")
+    assert retrieval.windows(docs).first()["text"] == text.rstrip()
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as f:
+        ranks = f.read()
+    got = retrieval.bpe_windows(docs, ranks, public_tokenizers.PATTERN, size=30, overlap=5, least=3).orderBy("start_token").collect()
+    assert got[0]["text"] == text[: len(got[0]["text"])] and got[0]["n_tokens"] == 30 and [r["start_token"] for r in got] == [25 * i for i in range(len(got))]
+    assert text.endswith(got[-1]["text"]) and got[-1]["start_token"] + 30 >= got[-1]["start_token"] + got[-1]["n_tokens"] > 3
 
 
 @pytest.mark.parametrize(("n", "expected"), [(19, []), (20, [0]), (512, [0]), (513, [0, 462]), (974, [0, 462]), (975, [0, 462, 924])])
@@ -161,6 +197,20 @@ def _plain_graph(trials, label, most=b.MAX_CONCEPTS):
     return nodes
 
 
+def test_equal_clean_labels_are_one_node(spark):
+    schema = ", ".join(["seq long", *[c for c in b.TRIAL_SCHEMA.split(", ") if c.split(" ")[0] in ("nct_id", "url", "title", "conditions", "phases", "status", "sponsor", "source_hash")], "interventions array<struct<name:string,type:string,description:string>>", "primary_outcomes array<struct<measure:string,description:string>>", "secondary_outcomes array<struct<measure:string,description:string>>"])
+    trial = lambda i, c: (i, f"N{i}", f"u{i}", "T", c, [], "S", "Sp", f"h{i}", [], [], [])
+    trials = spark.createDataFrame([trial(1, ["Pain", "Pain."]), trial(2, ["Pain."])], schema)
+    nodes = b.build_graph(spark, trials, "d", "D").cache()
+    assert [r["label"] for r in nodes.where("taxonomy_id = 'COND'").collect()] == ["Pain"]
+    pain = nodes.where("taxonomy_id = 'COND'").first()["id"]
+    assert all(r["dependencies"][0] == pain for r in nodes.where("taxonomy_id = 'TRIAL'").collect())
+    sources = {r["label"]: [s["url"] for s in r["sources"]] for r in b.node_sources(nodes, trials).collect()}
+    assert sources["Pain"] == ["u1"] and sources["N2 T"] == ["u2"] and sources["Condition landscape"] == [] and sources["S"] == ["u1", "u2"]
+    whole = b.graph_summary(b.node_sources(nodes, trials)).where("taxonomy_id is null").first()
+    assert whole["nodes"] == nodes.count() and 0 < whole["source_coverage"] < 1
+
+
 @pytest.mark.parametrize("most", [b.MAX_CONCEPTS, 20])
 def test_built_graph(spark, most):
     from tessera.plans.build_queries import order_trials

@@ -16,7 +16,7 @@ def test_graph_files(spark, tmp_path):
     (tmp_path / "d1/learning-graph.csv").write_text('ConceptID,ConceptLabel,Dependencies,TaxonomyID\n1,Root,,AREA\n2," A, ""b"" ",1|x| 3|,COND\n3,C,1,\n2,Again,1,INTR\n')
     got = {r["id"]: r for r in files.read_graphs(spark, f"{tmp_path}/*/learning-graph.csv").collect()}
     assert got[2]["label"] == "Again" and got[2]["dependencies"] == [1] and got[2]["domain"] == "d1"
-    assert got[3]["taxonomy_id"] == "GEN" and [i for i, _ in sorted(got.items(), key=lambda x: x[1]["ord"])] == [1, 2, 3]
+    assert got[3]["taxonomy_id"] == "" and [i for i, _ in sorted(got.items(), key=lambda x: x[1]["ord"])] == [1, 2, 3]
     lists = spark.createDataFrame([("1|x| 3|",)], "c string")
     assert lists.select(files.dependency_list(F.col("c"))).first()[0] == [1, 3]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
@@ -26,8 +26,9 @@ def test_graph_files(spark, tmp_path):
 def test_graph_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("a", 1, "x, y", [], "AREA", 1), ("a", 2, 'q"t"', [1, 1], "COND", 2), ("b", 1, "z", [], "AREA", 1)], g.NODE_SCHEMA)
     sinks.write_graph(nodes, f"{tmp_path}/g")
-    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/g")
-    assert {(r["domain"], r["ConceptID"], r["ConceptLabel"], r["Dependencies"]) for r in back.collect()} == {("a", "1", "x, y", None), ("a", "2", 'q"t"', "1"), ("b", "1", "z", None)}
+    back = files.read_graphs(spark, f"{tmp_path}/g/*/learning-graph.csv")
+    assert {(r["domain"], r["id"], r["label"], tuple(r["dependencies"]), r["taxonomy_id"]) for r in back.collect()} == {("a", 1, "x, y", (), "AREA"), ("a", 2, 'q"t"', (1,), "COND"), ("b", 1, "z", (), "AREA")}
+    assert sorted(p.name for p in (tmp_path / "g").iterdir()) == ["a", "b"]
 
 
 def test_rows(spark, tmp_path):
@@ -91,9 +92,22 @@ def test_streams(spark, tmp_path):
 def test_documents_and_chapters(spark, tmp_path):
     sinks.write_document(spark, {"b": 1, "a": [2]}, f"{tmp_path}/doc")
     assert files.read_document(spark, f"{tmp_path}/doc", "a array<int>, b int").first().asDict() == {"a": [2], "b": 1}
-    trial = ("N1", "T", "s.", ["c"], [("n", "D", "")], [("m", "")], [], "S", "Sp", ["x", "y"])
-    schema = "nct_id string, title string, brief_summary string, conditions array<string>, interventions array<struct<name:string,type:string,description:string>>, primary_outcomes array<struct<measure:string,description:string>>, secondary_outcomes array<struct<measure:string,description:string>>, status string, sponsor string, search_terms array<string>"
-    rows = sinks.chapters(spark.createDataFrame([trial], schema), "d")
-    assert sorted(r["term"] for r in rows.collect()) == ["x", "y"] and rows.first()["markdown"].startswith("## N1: T\n\n### Summary\ns.")
-    sinks.write_chapters(rows, f"{tmp_path}/md")
-    assert spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/md", wholetext=True).count() == 2
+    payload = {"protocolSection": {
+        "identificationModule": {"nctId": "NCT00000007", "briefTitle": "T", "officialTitle": "Long T"}, "descriptionModule": {"briefSummary": "s " * 150, "detailedDescription": "d."},
+        "armsInterventionsModule": {"interventions": [{"name": "- n.", "type": "DRUG"}]}, "outcomesModule": {"primaryOutcomes": [{"description": "described only"}, {"timeFrame": "1"}]},
+        "designModule": {"phases": ["PHASE2"], "enrollmentInfo": {"count": 7}}, "eligibilityModule": {"eligibilityCriteria": "Adults"},
+    }}
+    raw = spark.createDataFrame([(json.dumps(payload),)], "payload string")
+    from tessera.operators import build
+
+    trials = build.extract_trials(raw, F.lit("a term"), "u/")
+    one = trials.first()
+    assert (one["url"], one["official_title"], one["detailed_description"], one["enrollment"]) == ("u/NCT00000007", "Long T", "d.", "7")
+    assert [x["measure"] for x in one["primary_outcomes"]] == ["described only"] and [tuple(x) for x in one["interventions"]] == [("n", "DRUG", "")]
+    domain = {"id": "area-y", "label": "Y", "rationale": "r", "queries": [{"field": "cond", "term": "A term"}, {"field": "cond", "term": "a term"}]}
+    assert sinks.write_chapters(trials, domain, f"{tmp_path}/md") == 2
+    got = {r["source"]: r["text"] for r in files.read_markdown(spark, f"{tmp_path}/md", least=0).collect()}
+    assert sorted(got) == ["chapters/01-a-term/index.md", "chapters/02-a-term/index.md", "course-description.md"]
+    assert got["chapters/01-a-term/index.md"] == "# Y: A term\n\nSource: ClinicalTrials.gov API v2, cond=A term\nTrial count in this chapter: 0"
+    assert got["chapters/02-a-term/index.md"].startswith("# Y: a term\n\nSource: ClinicalTrials.gov API v2, cond=a term\nTrial count in this chapter: 1\n\n## NCT00000007: T\n\nClinicalTrials.gov: u/NCT00000007\n\nMatched search terms: a term\n\nStatus:  | Phase: PHASE2 | Enrollment: 7 | Sponsor: ")
+    assert got["course-description.md"].endswith("Search terms:\n- cond=A term\n- cond=a term")
