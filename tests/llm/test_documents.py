@@ -371,7 +371,8 @@ def test_shards_read_back(spark, docs, rows, no_docs):
     import public_tokenizers as P
 
     path, length, per_shard, end = P.path("byte_bpe_50k.tiktoken"), 64, 16, 50256
-    slotted, total = token_shards.with_slots(token_shards.sequences(docs, path, P.PATTERN, length))
+    slotted, total = token_shards.with_slots(token_shards.sequences(docs, path, P.PATTERN, length, group_bytes=30_000))
+    assert slotted.select("group").distinct().count() > 1
     from tessera.llm.common import fresh_path
 
     folder = fresh_path(spark, "test-shards")
@@ -380,7 +381,7 @@ def test_shards_read_back(spark, docs, rows, no_docs):
     at = {s * per_shard + r["record"]: r["ids"] for s in range(-(-total // per_shard)) for r in token_shards.read_shard(spark, folder, s, 0, length).collect()}
     assert sorted(at) == list(range(total))
     # sequences in the order of their numbers hold the texts one after another
-    placed = slotted.orderBy("split", "place").collect()
+    placed = slotted.orderBy("group", "place").collect()
     assert [r["slot"] for r in placed] == token_shards.feistel(np.arange(total), total).tolist()
     stream = [x for r in placed for x in at[r["slot"]][: r["n_tokens"]]]
     texts, now = Counter(), []
@@ -391,7 +392,7 @@ def test_shards_read_back(spark, docs, rows, no_docs):
             now = []
     assert not now and texts == Counter((*enc.encode_ordinary(r[1] or ""), end) for r in rows)
     assert all(at[r["slot"]][r["n_tokens"] :] == [end] * (length - r["n_tokens"]) for r in placed)
-    assert sum(r["n_tokens"] < length for r in placed) <= len({r["split"] for r in placed})
+    assert sum(r["n_tokens"] < length for r in placed) <= len({r["group"] for r in placed})
     by_id = {r[0]: enc.encode_ordinary(r[1] or "") for r in rows}
     assert {i for r in placed for i in r["doc_ids"]} == set(by_id)
     for r in placed:  # a sequence inside one text is a part of it
@@ -400,5 +401,12 @@ def test_shards_read_back(spark, docs, rows, no_docs):
             assert any(whole[k : k + length] == part for k in range(len(whole) - length + 1))
     rest = token_shards.read_shard(spark, folder, 0, 5, length).orderBy("record").collect()
     assert [r["ids"] for r in rest] == [at[k] for k in range(5, 5 + len(rest))]
+    said = token_shards.manifest(spark, folder)
+    assert (said["total"], said["length"], said["per_shard"], said["stride"]) == (total, length, per_shard, 2 * length + 2)
+    for start in (0, 5, per_shard + 3, total - 1, total):  # resumed anywhere
+        assert [(k, x.tolist()) for k, x in token_shards.records_from(spark, folder, start, 7)] == [(k, at[k]) for k in range(start, total)]
+    # the order is that of the rows and the key, whatever the splits
+    again, _ = token_shards.with_slots(token_shards.sequences(docs.orderBy("text").repartition(5), path, P.PATTERN, length, group_bytes=30_000))
+    assert Counter((r["slot"], bytes(r["ids"])) for r in again.collect()) == Counter((r["slot"], bytes(r["ids"])) for r in slotted.collect())
     none, n = token_shards.with_slots(token_shards.sequences(no_docs, path, P.PATTERN, length))
     assert n == 0 and none.count() == 0
