@@ -145,7 +145,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, en
     rows = rows.withColumns({"h": F.xxhash64("doc_id", "text"), "g": F.hash("text")})
     rows = rows.withColumn("group", F.pmod("h", F.lit(groups)).cast("int"))
     rows = rows.repartition("group").sortWithinPartitions("group", "h", "g", "doc_id").select("doc_id", "text", "group")
-    return stored(rows.mapInArrow(_sequences(path, pattern, length, end), "group int, place long, doc_ids array<long>, n_tokens int, ids binary"), "sequences", level=9)
+    return stored(rows.mapInArrow(_sequences(path, pattern, length, end), "group int, place long, doc_ids array<long>, n_tokens int, ids binary"), "sequences", level=5)
 
 
 def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -170,7 +170,7 @@ def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
 def _deal(length: int, per_shard: int, pad: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One compressed blob for each shard that a batch has sequences of."""
-        squeeze = zstandard.ZstdCompressor(level=9)
+        squeeze = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             if not batch.num_rows:
                 continue
