@@ -11,8 +11,13 @@ histogram of vote patterns: at most ``3 ** len(RULES)`` rows reach the driver,
 however many documents there are, and the estimate is that of all documents.
 
 Defined results: a null or empty text has no words and fails the base test;
-repeated rows each get their own result; an empty table gives an empty result;
-columns other than the id and the text are ignored, whatever their names.
+a very long text is one row like others; repeated rows each get their own
+result; an empty table gives an empty result; columns other than the id and the
+text are ignored, whatever their names.
+
+The prior is held to 0.5 or more, as most documents of a corpus worth filtering
+are taken to be good; where most are bad, the posterior is too kind, and only
+the base test and strong votes reject.
 """
 
 from __future__ import annotations
@@ -48,14 +53,15 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(bind(windows, covered))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of counts for each document; no shuffle, one pass over the text."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row of counts for each document, with the columns of ``keep``; no shuffle, one pass over the text."""
     t = F.col("_t")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *keep)
     counted = base.select(
         "_id",
+        *keep,
         bind(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"))).alias("_w"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         without(SYMBOLS).cast("long").alias("n_symbols"),
@@ -63,7 +69,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
         without(".,;:!?").cast("long").alias("n_marks"),
     )
-    return counted.select(F.col("_id").alias(id_col), F.col("_w.n_words"), "word_chars", "n_symbols", F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"), F.col("_l.n_lines"), "n_upper", "n_marks")
+    return counted.select(F.col("_id").alias(id_col), F.col("_w.n_words"), "word_chars", "n_symbols", F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"), F.col("_l.n_lines"), "n_upper", "n_marks", *keep)
 
 
 @dataclass(frozen=True)
@@ -163,11 +169,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go.
 
-    Verdicts meet the texts again by a hash of id and text, so rows that share
-    or lack an id are judged each by its own text.
+    Rows are stored once beside their counts; the model reads the counts alone
+    and every row is judged where it is, so no text is shuffled.
     """
     del spark, sf_dir
-    key = F.xxhash64("doc_id", "text")
-    counted = stored(features(docs.select(key.alias("key"), "text"), "key"), "quality-features")
-    rejected = judge(counted, fit_rules(counted)).where("not kept").select(F.col("key").alias("_rejected")).distinct()
-    return docs.join(rejected, F.xxhash64(docs["doc_id"], docs["text"]) == rejected["_rejected"], "left_anti")
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])  # whatever the names, none clashes
+    name = dict(zip(docs.columns, plain.columns, strict=True))
+    counted = features(plain.withColumn("_key", F.lit(0)), "_key", name["text"], plain.columns)
+    counted = stored(counted, "quality-rows")
+    kept = judge(counted, fit_rules(counted)).where("kept")
+    return kept.select(*[F.col(name[c]).alias(c) for c in docs.columns])
