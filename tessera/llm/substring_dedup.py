@@ -1,28 +1,33 @@
 """Removal of word windows that occur more than once in the corpus.
 
-Level-wise doubling.  The first level has windows of half the asked length
-(18 words for 35).  Windows repeated at that length alone are extended to
-twice the length, clipped to the asked one, and only those are counted there.
-Longer windows are unions of windows of the asked length, so no level beyond it
-can change a verdict and the levels end.
+Level-wise doubling.  The levels are window lengths, each twice the one before,
+clipped to the asked length: 9, 18 and 35 words for 35.  Windows repeated at one
+length alone are extended to the next, and only those are counted there, until
+no candidate survives or the asked length is reached.  Longer windows are unions
+of windows of the asked length, so no level beyond it can change a verdict.
 
-The first level need not count every window: each long window chooses, by the
-least hash, one half-length window inside it.  Equal long windows choose
-alike, so a long window can only recur if its choice does.  About one word in
-nine starts a chosen window.
+A level need not count every window: each window chooses, by the least hash, one
+window of the level below inside it.  Equal windows choose alike, so a window
+can only recur if its choice does.  About one word in nine starts a chosen
+window of 18 words, and fewer start one of 9.
 
 Equal windows met by one task are settled there: the task hands on one row for
 them all, so a passage that a third of all documents share sends as many rows
-to one place as there are tasks and not documents.
+to one place as there are tasks and not documents.  Texts with a candidate at
+the first level are stored once; the other texts are not read again.
 
-Windows are told apart by 64-bit hashes; rows by xxhash64 of id and text, so
+Windows are told apart by 64-bit hashes, another one at every level: two
+different windows pass for equal only if they agree at the last level, both
+being repeated at every level below; among ``c`` candidates there, about
+``c * c / 2**65`` pairs do.  Rows are told apart by 96 bits of id and text, so
 rows that repeat an id are separate documents unless their texts are equal too,
 when each makes the other's windows repeated.
 
 Defined results: null, empty and shorter texts than a window lose nothing;
-identical texts of a window or more lose all their words; an empty table gives
-an empty result; only the id and the text are read, so other columns cannot
-clash; a null id is a name like any other.
+identical texts of a window or more lose all their words; very long texts are
+read whole, one at a time; an empty table gives an empty result; only the id and
+the text are read, so other columns cannot clash; a null id is a name like any
+other.
 """
 
 from __future__ import annotations
@@ -36,13 +41,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACE_RUN, SPACES, ship, stored, table, words
+from tessera.llm.common import SPACE_RUN, SPACES, drop, ship, stored, table, words
 from tessera.llm.superminhash import mix, word_hashes
 
 #: Windows that a task holds before it settles and hands on what it has.
 HELD = 500_000
 _BASE = 0x9E3779B97F4A7C15
-_RUNS = "h long, row long, start int, n int"
+#: Windows of a task: hash, the two keys of the row, first start and number of starts.
+_RUNS = "h long, row long, row2 int, start int, n int"
+KEYS = ["row", "row2"]
+#: No level has shorter windows.
+LEAST = 9
 
 
 def window_hashes(w: np.ndarray, length: int) -> np.ndarray:
@@ -54,86 +63,92 @@ def window_hashes(w: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-def choices(w: np.ndarray, length: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the half-length windows, and for each long window the start of its choice."""
-    g = window_hashes(w, half)
-    seen = np.lib.stride_tricks.sliding_window_view(g, length - half + 1)
-    return g, np.arange(len(seen)) + seen.argmin(axis=1)
+def levels(length: int, least: int = LEAST) -> list[int]:
+    """Window lengths, each at most twice the one before; the last is ``length``."""
+    out = [length]
+    while out[0] >= 2 * least - 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def choices(w: np.ndarray, sizes: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each level the starts of the windows that may count there; and, but for
+    the first level, for each of these the start of its choice on the level below."""
+    starts, picks = [np.arange(len(w) - sizes[-1] + 1)], []
+    for upper, lower in zip(sizes[:0:-1], sizes[-2::-1], strict=True):
+        g = window_hashes(w, lower)
+        seen = np.lib.stride_tricks.sliding_window_view(g, upper - lower + 1)
+        pick = (np.arange(len(seen)) + seen.argmin(axis=1))[starts[0]]
+        picks.insert(0, pick)
+        starts.insert(0, np.unique(pick))
+    return starts, picks
 
 
 class _Settler:
     """Gathers (hash, row, start) and settles equal hashes within the task.
 
-    Hands on: (h, row, start) of a hash met once; (h, null) once for a hash met
+    A row is known by two keys.  Hands on: (h, row, start) of a hash met once; (h, null) once for a hash met
     again; and, without h, runs (row, start, n) of windows known to be repeated.
     """
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, int, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, int, int, np.ndarray]] = []
         self.size = 0
 
-    def add(self, h: np.ndarray, row: int, start: np.ndarray) -> None:
+    def add(self, h: np.ndarray, row: int, row2: int, start: np.ndarray) -> None:
         if len(h):
-            self.parts.append((h, row, start))
+            self.parts.append((h, row, row2, start))
             self.size += len(h)
 
     def flush(self) -> pa.RecordBatch:
         h = np.concatenate([p[0] for p in self.parts]).view(np.int64)
-        row = np.repeat(np.array([p[1] for p in self.parts], dtype=np.int64), [len(p[0]) for p in self.parts])
-        start = np.concatenate([p[2] for p in self.parts]).astype(np.int32)
+        of = np.repeat(np.arange(len(self.parts)), [len(p[0]) for p in self.parts])
+        row = np.array([p[1] for p in self.parts], dtype=np.int64)
+        row2 = np.array([p[2] for p in self.parts], dtype=np.int32)
+        start = np.concatenate([p[3] for p in self.parts]).astype(np.int32)
         self.parts, self.size = [], 0
         value, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
         again = count[inverse] > 1
         once, known = ~again, value[count > 1]
-        row2, start2 = row[again], start[again]  # in the order of rows and starts
-        new = np.flatnonzero(np.r_[True, (row2[1:] != row2[:-1]) | (start2[1:] != start2[:-1] + 1)]) if len(row2) else np.empty(0, dtype=np.int64)
-        n2 = np.diff(np.r_[new, len(row2)])
+        of2, start2 = of[again], start[again]  # in the order of rows and starts
+        new = np.flatnonzero(np.r_[True, (of2[1:] != of2[:-1]) | (start2[1:] != start2[:-1] + 1)]) if len(of2) else np.empty(0, dtype=np.int64)
+        n2 = np.diff(np.r_[new, len(of2)])
         a, b, c = int(once.sum()), len(known), len(new)
         null = lambda *runs: np.concatenate([np.full(k, bool(v)) for k, v in runs])
         zero = lambda k: np.zeros(k, dtype=np.int64)
+        rows = lambda key: pa.array(np.concatenate([key[of[once]], np.zeros(b, dtype=key.dtype), key[of2[new]]]), mask=null((a, 0), (b, 1), (c, 0)))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([h[once], known, zero(c)]), mask=null((a + b, 0), (c, 1))),
-                pa.array(np.concatenate([row[once], zero(b), row2[new]]), mask=null((a, 0), (b, 1), (c, 0))),
+                rows(row),
+                rows(row2),
                 pa.array(np.concatenate([start[once], zero(b), start2[new]]).astype(np.int32)),
                 pa.array(np.concatenate([np.ones(a + b, dtype=np.int64), n2]).astype(np.int32)),
             ],
-            names=["h", "row", "start", "n"],
+            names=["h", "row", "row2", "start", "n"],
         )
 
 
-def _first_level(length: int, half: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Settler()
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = word_hashes(text, lower=False)
-                if len(w) >= length:
-                    g, chosen = choices(w, length, half)
-                    at = np.unique(chosen)
-                    held.add(g[at], row, at)
-                if held.size >= HELD:
-                    yield held.flush()
-        if held.size:
-            yield held.flush()
-
-    return run
-
+def _level(sizes: list[int], k: int):
+    """Settles the windows of level ``k``; above the first, of those whose choice below is in ``runs``."""
 
-def _last_level(length: int, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row, text, runs) where runs are the starts that survived."""
         held = _Settler()
         for batch in batches:
-            for row, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            runs = batch.column(3).to_pylist() if k else [None] * batch.num_rows
+            for row, row2, text, below in zip(*(batch.column(i).to_pylist() for i in range(3)), runs, strict=True):
                 w = word_hashes(text, lower=False)
-                _, chosen = choices(w, length, half)
-                survives = np.zeros(len(w), dtype=bool)
-                for r in runs:
-                    survives[r["start"] : r["start"] + r["n"]] = True
-                at = np.flatnonzero(survives[chosen])
+                if len(w) < sizes[-1]:
+                    continue
+                starts, picks = choices(w, sizes)
+                at = starts[k]
+                if below is not None:
+                    survives = np.zeros(len(w), dtype=bool)
+                    for r in below:
+                        survives[r["start"] : r["start"] + r["n"]] = True
+                    at = at[survives[picks[k - 1]]]
                 if len(at):
-                    held.add(window_hashes(w, length)[at], row, at)
+                    held.add(window_hashes(w, sizes[k])[at], row, row2, at)
                 if held.size >= HELD:
                     yield held.flush()
         if held.size:
@@ -143,11 +158,11 @@ def _last_level(length: int, half: int):
 
 
 def _repeated(settled: DataFrame) -> DataFrame:
-    """(row, runs): the repeated starts of each row, as arrays of (start, n)."""
+    """(row, row2, runs): the repeated starts of each row, as arrays of (start, n)."""
     open_ = settled.where("h is not null").withColumn("met", F.count("*").over(Window.partitionBy("h")))
-    found = open_.where("met > 1 and row is not null").select("row", "start", "n")
-    found = found.unionAll(settled.where("h is null").select("row", "start", "n"))
-    return found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    found = open_.where("met > 1 and row is not null").select(*KEYS, "start", "n")
+    found = found.unionAll(settled.where("h is null").select(*KEYS, "start", "n"))
+    return found.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def _gone(n: int, runs: list[dict], length: int) -> np.ndarray:
@@ -164,14 +179,14 @@ def _cut(length: int):
         """Words removed, digest of the kept words, and the text without the removed ones."""
         for batch in batches:
             out: list[list] = [[], [], []]
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = text.encode().split()
                 gone = _gone(len(found), runs, length)
                 kept = [x for x, g in zip(found, gone.tolist(), strict=True) if not g]
                 out[0].append(int(gone.sum()))
                 out[1].append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 out[2].append(_without(text, found, gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["row", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=[*KEYS, "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -188,38 +203,48 @@ def _without(text: str, found: list[bytes], gone: np.ndarray) -> str:
     return b"".join(out).decode()
 
 
-def marks(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, runs): the starts of the repeated windows of the rows that have any.
+def marks(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(row, row2, runs): the starts of the repeated windows of the rows that have any;
+    and (row, row2, text) of a few more rows than those, each once.
 
-    ``row`` is ``row_key`` of the input row.
+    ``row`` and ``row2`` are the ``row_keys`` of an input row.
     """
     ship(docs.sparkSession)
-    half = (length + 1) // 2
-    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where("text is not null")
-    first = stored(texts.mapInArrow(_first_level(length, half), _RUNS), "level")
-    candidates = texts.join(_repeated(first).hint("shuffle_hash"), "row").select("row", "text", "runs")
-    return _repeated(stored(candidates.mapInArrow(_last_level(length, half), _RUNS), "level"))
+    sizes = levels(length)
+    texts = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text")).where("text is not null")
+    settled = stored(texts.mapInArrow(_level(sizes, 0), _RUNS), "level")
+    found = stored(_repeated(settled), "runs")
+    some = texts.join(found.select(*KEYS).hint("shuffle_hash"), KEYS)
+    candidates = stored(some, "candidates")
+    for k in range(1, len(sizes)):
+        if found.isEmpty():  # no candidate survives
+            break
+        drop(settled)
+        settled = stored(candidates.join(found.hint("shuffle_hash"), KEYS).select(*KEYS, "text", "runs").mapInArrow(_level(sizes, k), _RUNS), "level")
+        last, found = found, stored(_repeated(settled), "runs")
+        drop(last)
+    return found, candidates
 
 
 def repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, n_removed, kept_sha256, kept_text) of the rows that lose words."""
-    found = marks(docs, length, id_col, text_col)
-    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where("text is not null")
-    marked = texts.join(found.hint("shuffle_hash"), "row").select("row", "text", "runs")
+    """(row, row2, n_removed, kept_sha256, kept_text) of the rows that lose words."""
+    found, candidates = marks(docs, length, id_col, text_col)
+    marked = candidates.join(found.hint("shuffle_hash"), KEYS).select(*KEYS, "text", "runs")
     # rows equal in id and text give equal results
-    return marked.mapInArrow(_cut(length), "row long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["row"])
+    return marked.mapInArrow(_cut(length), "row long, row2 int, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(KEYS)
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list:
+    """Two columns that tell rows apart by id and text, 96 bits together."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.hash(F.col(text_col), F.col(id_col)).alias("row2")]
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = repeats(docs).select("row", "n_removed", "kept_sha256")
+    lost = repeats(docs).select(*KEYS, "n_removed", "kept_sha256")
     plain = F.regexp_replace(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)), SPACE_RUN, " ")
-    whole = docs.select(row_key().alias("row"), "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.sha2(plain, 256).alias("_whole"))
-    out = whole.join(lost, "row", "left")
+    whole = docs.select(*row_keys(), "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.sha2(plain, 256).alias("_whole"))
+    out = whole.join(lost, KEYS, "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"))
 
 
@@ -249,8 +274,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     name = dict(zip(docs.columns, plain.columns, strict=True))
     text = name["text"]
-    keyed = plain.withColumn("row", row_key(name["doc_id"], text))
-    joined = keyed.join(marks(docs).hint("shuffle_hash"), "row", "left")
+    keyed = plain.select("*", *row_keys(name["doc_id"], text))
+    joined = keyed.join(marks(docs)[0].hint("shuffle_hash"), KEYS, "left")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
     out = joined.select(*plain.columns, "runs").mapInArrow(_cut_column(plain.columns.index(text), 35), kinds)
     new = {"n_chars": F.when(F.col(text).isNull(), F.col(name["n_chars"])).otherwise(F.length(text))} if "n_chars" in name else {}

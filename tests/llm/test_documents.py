@@ -80,7 +80,7 @@ def test_substring_removal(docs, rows, no_docs):
     sha = lambda w: hashlib.sha256(" ".join(w).encode()).hexdigest()
     expected = bag((r[0], len(gone[d]), sha([x for k, x in enumerate(w) if k not in gone[d]])) for d, (r, w) in enumerate(zip(rows, texts, strict=True)) if gone[d])
     lost = substring_dedup.repeats(docs)
-    joined = docs.select("doc_id", substring_dedup.row_key().alias("_key")).join(lost.withColumnRenamed("row", "_key"), "_key")
+    joined = docs.select("doc_id", *[c.alias(f"_k{i}") for i, c in enumerate(substring_dedup.row_keys())]).join(lost.toDF("_k0", "_k1", *lost.columns[2:]), ["_k0", "_k1"])
     assert bag(joined.select("doc_id", "n_removed", "kept_sha256").collect()) == expected
     for r in joined.collect():
         assert sha(words(r["kept_text"])) == r["kept_sha256"]
@@ -90,12 +90,31 @@ def test_substring_removal(docs, rows, no_docs):
 def test_substring_stage_keeps_columns(spark, docs):
     out = substring_dedup.cut_repeats(spark, docs, "")
     assert out.columns == docs.columns and out.count() == docs.count()
-    lost = {r["row"]: r["kept_text"] for r in substring_dedup.repeats(docs).collect()}
-    expected = Counter((r["doc_id"], lost.get(r["row"], r["text"])) for r in docs.withColumn("row", substring_dedup.row_key()).collect())
+    lost = {(r["row"], r["row2"]): r["kept_text"] for r in substring_dedup.repeats(docs).collect()}
+    keyed = docs.select("doc_id", "text", *[c.alias(f"_k{i}") for i, c in enumerate(substring_dedup.row_keys())])
+    expected = Counter((r["doc_id"], lost.get((r["_k0"], r["_k1"]), r["text"])) for r in keyed.collect())
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == expected
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
 
 
+def test_levels_and_choices():
+    assert substring_dedup.levels(35) == [9, 18, 35] and substring_dedup.levels(9) == [9] and substring_dedup.levels(100) == [13, 25, 50, 100]
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 1 << 60, 200, dtype=np.uint64)
+    w[120:160] = w[20:60]  # a passage that repeats
+    starts, picks = substring_dedup.choices(w, [9, 18, 35])
+    assert [len(p) for p in picks] == [len(starts[1]), len(starts[2])] and starts[2].tolist() == list(range(166))
+    for k, (upper, lower) in enumerate(((18, 9), (35, 18))):
+        assert ((picks[k] >= starts[k + 1]) & (picks[k] + lower <= starts[k + 1] + upper)).all() and set(picks[k]) == set(starts[k])
+    assert {x + 100 for x in picks[1][20:26].tolist()} == set(picks[1][120:126].tolist())  # equal windows choose alike
+    assert len(starts[0]) <= len(starts[1]) < 40
+
+
+def test_nothing_repeats(spark):
+    df = spark.createDataFrame([(i, " ".join(f"a{i}_{k}" for k in range(50))) for i in range(9)], "doc_id long, text string")
+    assert substring_dedup.repeats(df).count() == 0
+
+
 def _shingles(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORD.findall(w)
