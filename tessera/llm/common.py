@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import drop, fresh_path, stored
+from tessera.storage import drop, fresh_path, scratch, stored
 
-__all__ = ["drop", "fresh_path", "stored"]
+__all__ = ["drop", "fresh_path", "scratch", "stored"]
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"

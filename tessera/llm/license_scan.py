@@ -95,8 +95,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, percent: i
     lines; of a window the line it begins on), license, n_bigrams, n_shared,
     dice.
     """
-    sets = _sets(templates or TEMPLATES)
-    listed = templates or {**TEMPLATES, **TEXTS}
+    sets = _sets(TEMPLATES if templates is None else templates)
+    listed = {**TEMPLATES, **TEXTS} if templates is None else templates
     every = _sets(listed)
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), plain.alias("_plain"))
@@ -221,4 +221,4 @@ QUALIFY row_number() OVER (PARTITION BY rid, segment ORDER BY 2.0::DOUBLE * n_sh
 """
 
 
-ORACLE_SQL = _oracle().replace("", "")
+ORACLE_SQL = _oracle()
