@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import fresh_path, table
+from tessera.llm.common import fresh_path, scratch, table
 from tessera.llm.language_id import keep_identified
 from tessera.llm.near_duplicates import keep_one_of_each
 from tessera.llm.packing import pack_stage
@@ -23,15 +23,26 @@ STAGES = [
     ("packing", pack_stage),
 ]
 
-#: Expectation-maximisation and Viterbi are not for SQL; tests hold the pipeline against brute force.
+#: Expectation-maximisation and Viterbi are not for SQL; a test holds the stages against plain Python.
 ORACLE_SQL = None
 
 
+def run_stages(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Runs all stages over ``documents``; where each one's result lies, by name.
+
+    Results lie side by side in one folder of the shared folder; what a stage
+    stores on its way is removed when its result is written.
+    """
+    folder = fresh_path(spark, "pipeline")
+    docs, paths = table(spark, sf_dir, "documents"), {}
+    for i, (name, stage) in enumerate(STAGES, 1):
+        paths[name] = f"{folder}/{i}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(paths[name])
+        docs = spark.read.parquet(paths[name])
+    return paths
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result stored in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    """The last stage's rows; ``run_stages`` also says where the cleaned texts are."""
+    return spark.read.parquet(run_stages(spark, sf_dir)[STAGES[-1][0]])
