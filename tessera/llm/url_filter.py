@@ -6,7 +6,8 @@ variable-order Markov models are learned: the chance of a character given up
 to ORDER characters before it, smoothed at every order towards the next lower
 one in proportion to how often new characters followed (Witten and Bell).  A
 URL without a rule is judged by the difference of its log-likelihoods under
-the models per character, against a threshold calibrated on the examples: the
+the models per character, against a threshold calibrated on examples that the
+models have not learned from (those whose MD5 begins with 0 to 3, a quarter): the
 point at equal numbers of standard deviations from both class means.
 
 The counts come from all URLs.  Each character gives one row (gram); counting
@@ -17,7 +18,9 @@ that nearly every URL holds are skew that adaptive joins split.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no
 rule, and is judged like any text, by its end mark alone; where either class
-has no example, every URL without a rule is allowed; equal scores and
+has no example apart from those learned from, all examples calibrate; where it
+has none at all, every URL without a rule is allowed; very long URLs give a row
+a character; equal scores and
 thresholds allow; repeated rows each get a result and each count as an
 example; an empty table gives an empty result; only the id and the URL are read.
 """
@@ -37,6 +40,8 @@ PAD, END = "\x02", "\x03"
 #: The chance of a character that no order knows.
 FLOOR = 1 / 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: First digits of the MD5 of the examples that calibrate.
+HELD_OUT = ("0", "1", "2", "3")
 #: (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -87,27 +92,37 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: st
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumns({"_host": host, "_path": path})
     rows = rows.select("_id", "_host", "_path", _fitting(rules, lambda v, r: F.lit(r)).alias("_rule"), _fitting(rules, lambda v, r: F.lit(v)).alias("_verdict"))
     # equal host and path give equal results, so the models see each once, with its number
-    texts = stored(rows.groupBy("_host", "_path", "_rule", "_verdict").agg(F.count("*").alias("_n")), "urls")
+    held = F.substring(F.md5(F.concat("_host", "_path")), 1, 1).isin(*HELD_OUT).alias("_held")
+    texts = stored(rows.groupBy("_host", "_path", "_rule", "_verdict").agg(F.count("*").alias("_n")).select("*", held), "urls")
+    # a row becomes one for each of its characters, so rows are spread over tasks first
+    spread = texts.repartition(max(pages.sparkSession.sparkContext.defaultParallelism, texts.count() // 50_000 + 1))
     padded = F.concat(F.lit(PAD * ORDER), "_host", "_path", F.lit(END))
-    each = texts.withColumns({"_all": padded, "_len": F.length(F.concat("_host", "_path")) + 1})
-    spots = each.select("_host", "_path", "_verdict", "_n", "_len", F.col("_all"), F.explode(F.sequence(F.lit(1), F.col("_len"))).alias("_i")).select("_host", "_path", "_verdict", "_n", "_len", F.substr("_all", F.col("_i"), F.lit(ORDER + 1)).alias("gram"))
-    of = lambda v: F.sum(F.when(F.col("_verdict") == v, F.col("_n")).otherwise(0))
+    each = spread.withColumns({"_all": padded, "_len": F.length(F.concat("_host", "_path")) + 1})
+    spots = each.select("_host", "_path", "_verdict", "_held", "_n", "_len", F.col("_all"), F.explode(F.sequence(F.lit(1), F.col("_len"))).alias("_i")).select("_host", "_path", "_verdict", "_held", "_n", "_len", F.substr("_all", F.col("_i"), F.lit(ORDER + 1)).alias("gram"))
+    of = lambda v: F.sum(F.when((F.col("_verdict") == v) & ~F.col("_held"), F.col("_n")).otherwise(0))
     counts = stored(spots.groupBy("gram").agg(of("allow").alias("na"), of("block").alias("nb")), "grams")
     learned = model(counts).select("gram", (F.col("a") - F.col("b")).alias("d"))
     scores = stored(spots.select("_host", "_path", "_len", "gram").join(learned.hint("merge"), "gram").groupBy("_host", "_path").agg((F.sum("d") / F.first("_len")).alias("score")), "scores")
     known = texts.where("_verdict is not null").join(scores.hint("merge"), ["_host", "_path"])
-    stats = {r["_verdict"]: r for r in known.groupBy("_verdict").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("score")).alias("s"), F.sum(F.col("_n") * F.col("score") * F.col("score")).alias("q")).collect()}
-    threshold = calibrated(*[(stats[v]["n"], stats[v]["s"], stats[v]["q"]) if v in stats else None for v in ("allow", "block")])
+    sums = [F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("score")).alias("s"), F.sum(F.col("_n") * F.col("score") * F.col("score")).alias("q")]
+    threshold = calibrated([tuple(r) for r in known.groupBy("_verdict", "_held").agg(*sums).collect()])
     out = rows.join(scores.hint("merge"), ["_host", "_path"], "left")
     by_model = F.lit("allow") if threshold is None else F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", by_model).alias("verdict"), "score")
 
 
-def calibrated(allow: tuple | None, block: tuple | None) -> float | None:
-    """The threshold from each class's number, sum and sum of squares of scores."""
-    if not allow or not block:
-        return None
-    (ma, sa), (mb, sb) = [(s / n, max(q / n - (s / n) ** 2, 0.0) ** 0.5) for n, s, q in (allow, block)]
+def calibrated(sums: Sequence[tuple]) -> float | None:
+    """The threshold from (verdict, held out, number, sum and sum of squares of scores) of the examples."""
+    fresh = [x for x in sums if x[1]]
+    if {x[0] for x in fresh} != {"allow", "block"}:
+        fresh = list(sums)
+    at = []
+    for verdict in ("allow", "block"):
+        n, s, q = (sum(x[i] for x in fresh if x[0] == verdict) for i in (2, 3, 4))
+        if not n:
+            return None
+        at.append((s / n, max(q / n - (s / n) ** 2, 0.0) ** 0.5))
+    (ma, sa), (mb, sb) = at
     return (ma + mb) / 2 if sa + sb == 0 else (ma * sb + mb * sa) / (sa + sb)
 
 
@@ -134,14 +149,16 @@ p{k} AS (SELECT g, {mix("a")}, {mix("b")} FROM (SELECT l.g, na, nb, ca, cb, ta,
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 r0 AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-r AS (SELECT *, {case(1)} AS rule, {case(2)} AS known, row_number() OVER () AS rid FROM r0),
-t AS (SELECT rid, known, repeat(chr(2), {ORDER}) || host || path || chr(3) AS x, length(host || path) + 1 AS n FROM r),
-i AS (SELECT rid, known, x, n, unnest(range(1, n + 1)) AS i FROM t),
-g AS (SELECT rid, known, n, substr(x, i, {ORDER + 1}) AS gram FROM i),
-c AS (SELECT gram, CAST(count(*) FILTER (known = 'allow') AS DOUBLE) AS na, CAST(count(*) FILTER (known = 'block') AS DOUBLE) AS nb FROM g GROUP BY 1),{levels}
-q AS (SELECT rid, any_value(known) AS known, sum(ln(pa) - ln(pb)) / any_value(n) AS score FROM g JOIN p{ORDER} ON gram = p{ORDER}.g GROUP BY rid),
+r AS (SELECT *, {case(1)} AS rule, {case(2)} AS known, substr(md5(host || path), 1, 1) IN {HELD_OUT} AS held, row_number() OVER () AS rid FROM r0),
+t AS (SELECT rid, known, held, repeat(chr(2), {ORDER}) || host || path || chr(3) AS x, length(host || path) + 1 AS n FROM r),
+i AS (SELECT rid, known, held, x, n, unnest(range(1, n + 1)) AS i FROM t),
+g AS (SELECT rid, known, held, n, substr(x, i, {ORDER + 1}) AS gram FROM i),
+c AS (SELECT gram, CAST(count(*) FILTER (known = 'allow' AND NOT held) AS DOUBLE) AS na, CAST(count(*) FILTER (known = 'block' AND NOT held) AS DOUBLE) AS nb FROM g GROUP BY 1),{levels}
+q AS (SELECT rid, any_value(known) AS known, any_value(held) AS held, sum(ln(pa) - ln(pb)) / any_value(n) AS score FROM g JOIN p{ORDER} ON gram = p{ORDER}.g GROUP BY rid),
+o AS (SELECT count(*) FILTER (known = 'allow' AND held) > 0 AND count(*) FILTER (known = 'block' AND held) > 0 AS fresh FROM q),
+u2 AS (SELECT known, score FROM q, o WHERE known IS NOT NULL AND (held OR NOT fresh)),
 m AS (SELECT avg(score) FILTER (known = 'allow') AS ma, avg(score) FILTER (known = 'block') AS mb,
-  stddev_pop(score) FILTER (known = 'allow') AS sa, stddev_pop(score) FILTER (known = 'block') AS sb FROM q),
+  stddev_pop(score) FILTER (known = 'allow') AS sa, stddev_pop(score) FILTER (known = 'block') AS sb FROM u2),
 z AS (SELECT CASE WHEN ma IS NULL OR mb IS NULL THEN NULL WHEN sa + sb = 0 THEN (ma + mb) / 2 ELSE (ma * sb + mb * sa) / (sa + sb) END AS t FROM m)
 SELECT page_id, host, path, rule, coalesce(r.known, CASE WHEN t IS NULL OR score >= t THEN 'allow' ELSE 'block' END) AS verdict
 FROM r JOIN q USING (rid), z

@@ -1,5 +1,6 @@
 """URL filter, nearest neighbours, the registered SQL and the pipeline."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -39,8 +40,9 @@ def _plain_judge(urls):
         s = url_filter.PAD * k + host + path + url_filter.END
         return [(s[i - k : i], s[i]) for i in range(k, len(s))]
 
+    held = lambda host, path: hashlib.md5((host + path).encode()).hexdigest()[0] in "0123"
     for host, path, _, v in rows:
-        if v:
+        if v and not held(host, path):
             for ctx, c in spots(host, path):
                 for j in range(k + 1):
                     count[v][j][ctx[k - j :]][c] += 1
@@ -58,7 +60,8 @@ def _plain_judge(urls):
         return sum(math.log(chance("allow", x, c)) - math.log(chance("block", x, c)) for x, c in at) / len(at)
 
     scores = [score(h, p) for h, p, _, _ in rows]
-    by = {v: np.array([s for s, r in zip(scores, rows, strict=True) if r[3] == v]) for v in ("allow", "block")}
+    fresh = {r[3] for r in rows if r[3] and held(*r[:2])} == {"allow", "block"}
+    by = {v: np.array([s for s, r in zip(scores, rows, strict=True) if r[3] == v and (not fresh or held(*r[:2]))]) for v in ("allow", "block")}
     if not len(by["allow"]) or not len(by["block"]):
         return [(h, p, r, v or "allow") for h, p, r, v in rows]
     (ma, sa), (mb, sb) = [(by[v].mean(), by[v].std()) for v in ("allow", "block")]
