@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,7 +20,9 @@ class PagedReader(DataSourceReader):
 
     def __init__(self, options):
         self.terms = json.loads(options["terms"])
-        self.page_size = int(options.get("pageSize", "100"))
+        self.field = options.get("field", "query.term")
+        self.page_size = max(1, min(int(options.get("pageSize", "100")), 100))
+        self.pause = float(options.get("pause", "0"))
         most = int(options.get("maxRecords", "1000"))
         self.limit = -(-most // max(1, len(self.terms)))
         self.pages = json.loads(options["pages"]) if "pages" in options else None
@@ -35,7 +38,7 @@ class PagedReader(DataSourceReader):
         from urllib.parse import urlencode
         from urllib.request import urlopen
 
-        query = {"query.term": term, "pageSize": size} | ({"pageToken": token} if token else {})
+        query = {self.field: term, "format": "json", "pageSize": size} | ({"pageToken": token} if token else {})
         with urlopen(f"{self.url}?{urlencode(query)}", timeout=60) as answer:
             return json.loads(answer.read())
 
@@ -44,17 +47,19 @@ class PagedReader(DataSourceReader):
         while seen < partition.limit:
             size = min(self.page_size, partition.limit - seen)
             page = self.fetch(partition.term, size, token)
-            studies = page.get("studies", [])[:size]
+            found = page.get("studies")
+            studies = found[:size] if isinstance(found, list) else []
             for s in studies:
                 yield partition.term, seen, json.dumps(s, sort_keys=True)
                 seen += 1
             token = page.get("nextPageToken")
             if not token or len(studies) < size:
                 return
+            time.sleep(self.pause)
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged_json")``; options: terms (JSON list), maxRecords, pageSize, url, or pages (canned, JSON)."""
+    """``spark.read.format("paged_json")``; options: terms (JSON list), field, maxRecords, pageSize (1 to 100), pause (seconds between pages), url, or pages (canned, JSON)."""
 
     @classmethod
     def name(cls) -> str:
