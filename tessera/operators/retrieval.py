@@ -132,6 +132,12 @@ def with_silent(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int)
     return scores.unionByName(rest)
 
 
+def first_chunks(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """query, doc, score, rank: a dry run of retrieval, the first k documents by id with score 0 for every query."""
+    few = docs.select("doc").orderBy("doc").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("doc")))
+    return queries.select("query").crossJoin(F.broadcast(few)).select("query", "doc", F.lit(0.0).alias("score"), "rank")  # k rows are broadcast
+
+
 def _packed(vectors: DataFrame, size: int) -> DataFrame:
     """domain and one row for each ``size`` vectors of it: keys and values as binaries."""
 

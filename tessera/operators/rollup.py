@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import COMPLETION_PRICE, PROMPT_PRICE
+
 
 def summary(rows: DataFrame, digits: int = 6) -> DataFrame:
     """system, type, domain (null: all), n and the means of the scores.
@@ -35,6 +37,31 @@ def older_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def new_spend(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """system (null: all), new_api_spend_usd; the router's rows are others' rows again and do not count in the total.
+
+    ``rows``: system, new_api_spend_usd (null: nothing spent).
+    """
+    spent = F.coalesce("new_api_spend_usd", F.lit(0.0))
+    both = rows.select("system", spent.alias("own"), F.when(F.col("system") == "router", 0.0).otherwise(spent).alias("counted"))
+    amount = F.when(F.grouping("system") == 0, F.sum("own")).otherwise(F.sum("counted"))
+    return both.groupingSets([["system"], []], "system").agg(F.round(amount, digits).alias("new_api_spend_usd"))
+
+
+def recomputed(rows: DataFrame) -> DataFrame:
+    """n, macro_f1, mean_tokens, cost of rows whose cost is told anew from their tokens.
+
+    ``rows``: f1, prompt_tokens, completion_tokens.
+    """
+    prompt, completion = F.coalesce("prompt_tokens", F.lit(0)), F.coalesce("completion_tokens", F.lit(0))
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("f1"), 6).alias("macro_f1"),
+        F.round(F.avg(prompt + completion), 3).alias("mean_tokens"),
+        F.round(F.sum(prompt) * PROMPT_PRICE + F.sum(completion) * COMPLETION_PRICE, 6).alias("cost"),
+    )
+
+
 def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     """id, l, r of two score tables (id, value); an id that one side lacks is an error."""
     both = left.select("id", F.col("value").alias("l"), F.lit(True).alias("_l")).join(right.select("id", F.col("value").alias("r"), F.lit(True).alias("_r")), "id", "full_outer")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
+from tessera.operators import answering
 from tessera.operators import graph as g
 from tessera.plans.catalog import CATALOGUE_SQL, DOMAIN, FLAWED_SQL, TRIALS_SQL, catalogue, flawed, trials
 from tessera.plans.registry import Book
@@ -217,6 +218,36 @@ def graph_resolution(spark, sf_dir):
     return g.resolve(nodes.select("domain", F.col("id").alias("key"), cases.alias("text")), nodes).select("key", "node", "tier")
 
 
+_ASKED = "['T1_entity','T2_dependency','T3_path','T4_aggregate','T9'][1 + CAST(id % 5 AS INT)]"
+
+
+@BOOK.add(f"""WITH RECURSIVE {TRIALS_SQL}, q AS (SELECT *, {_ASKED} AS type FROM n),
+c AS (SELECT id AS start, id AS node, CAST([] AS BIGINT[]) AS key FROM q WHERE type = 'T3_path' AND id % 2 = 1 UNION ALL SELECT start, dst, key || [pos] FROM c JOIN e ON src = node),
+w AS (SELECT start, node, row_number() OVER (PARTITION BY start ORDER BY len(key), key) - 1 AS place FROM (SELECT DISTINCT ON (start, node) start, node, key FROM c ORDER BY start, node, len(key), key)),
+b AS (SELECT dst AS id, src AS member, row_number() OVER (PARTITION BY dst ORDER BY src) AS place FROM e QUALIFY place <= 5),
+m AS (SELECT id, 0 AS branch, 0 AS place, id AS member FROM q WHERE type IN ('T1_entity', 'T2_dependency')
+  UNION ALL SELECT src, 1, pos, dst FROM e JOIN q ON id = src WHERE type IN ('T1_entity', 'T2_dependency')
+  UNION ALL SELECT id, 2, place, member FROM b JOIN q USING (id) WHERE type = 'T1_entity'
+  UNION ALL SELECT id, 0, unnest([0, 1]), unnest([id, coalesce(deps[1], id)]) FROM q WHERE type = 'T3_path' AND id % 2 = 0
+  UNION ALL SELECT start, 0, place, node FROM w
+  UNION ALL SELECT q.id, 0, n.id, n.id FROM q JOIN n ON n.tax = 'FRAME' WHERE type = 'T4_aggregate' AND q.id % 2 = 0
+  UNION ALL SELECT id, 0, unnest([0, 2]), id FROM q WHERE type = 'T4_aggregate' AND id % 2 = 1)
+SELECT id, CAST(branch AS INTEGER) AS branch, CAST(place AS BIGINT) AS place, CAST(member AS BIGINT) AS member FROM m""")
+def annotated_members(spark, sf_dir):
+    """The nodes of questions by their annotations, by labels where those are missing."""
+    nodes, edges = _graph(spark, sf_dir)
+    even, kind = F.col("id") % 2 == 0, F.col("id") % 5
+    kinds = F.array(*[F.lit(x) for x in ("T1_entity", "T2_dependency", "T3_path", "T4_aggregate", "T9")])
+    path = F.array("id", F.coalesce(F.get("dependencies", F.lit(0)), F.col("id")))
+    asked = nodes.select(
+        "domain", "id", F.element_at(kinds, (kind + 1).cast("int")).alias("type"), F.concat(F.lit("What are the prerequisites for "), "label", F.lit("?")).alias("query"),
+        F.when(kind < 2, F.array("label")).when((kind == 3) & ~even, F.array("label", F.lit("nobody here"), F.upper("label"))).alias("ground_truth"),
+        F.when(even | (kind == 2), F.col("id")).alias("concept_id"), F.when((kind == 2) & even, path).alias("path_ids"), F.when((kind == 3) & even, "FRAME").alias("taxonomy_id"),
+        F.lit(None).cast("long").alias("concept_id_a"), F.lit(None).cast("long").alias("concept_id_b"),
+    )
+    return answering.annotated(asked, nodes, edges).select("id", "branch", "place", "member")
+
+
 HEADER = "Relevant concepts:"
 
 

@@ -73,6 +73,13 @@ def bm25_by_domain(spark, sf_dir):
     return r.top(r.bm25(asked, docs), 5).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+@BOOK.add("""WITH k AS (SELECT doc_id AS doc, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank FROM documents ORDER BY doc_id LIMIT 5)
+SELECT item_id AS query, doc, 0.0::DOUBLE AS score, rank FROM benchmark, k""")
+def dry_run_chunks(spark, sf_dir):
+    """What a dry run shows in place of ranked documents."""
+    return r.first_chunks(_asked(spark, sf_dir), _docs(spark, sf_dir))
+
+
 _DENSE = """v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
 g AS (SELECT q.vec_id AS query, d.vec_id AS doc, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 9) AS score
   FROM v q, v d WHERE q.vec_id % 50 = 0)"""

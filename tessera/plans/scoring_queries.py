@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as s
 from tessera.functions import text as t
-from tessera.operators import rollup
+from tessera.operators import answering, rollup
 from tessera.plans.catalog import table
 from tessera.plans.registry import Book
 
@@ -146,6 +146,35 @@ def rollup_older_summary(spark, sf_dir):
     return rollup.older_summary(rows)
 
 
+_SYSTEM = "['graph','passages','router'][1 + CAST(id % 3 AS INT)]"
+
+
+@BOOK.add(f"""WITH {_ROWS}, s AS (SELECT {_SYSTEM} AS system, CASE WHEN id % 4 = 0 THEN NULL ELSE cost END AS spent FROM a)
+SELECT system, round(coalesce(sum(spent), 0), 6) AS new_api_spend_usd FROM s GROUP BY 1
+UNION ALL SELECT NULL, round(coalesce(sum(spent) FILTER (system <> 'router'), 0), 6) FROM s""")
+def rollup_new_spend(spark, sf_dir):
+    """A4: what a run spent anew, the router left out of the total."""
+    kinds = F.array(*[F.lit(x) for x in ("graph", "passages", "router")])
+    rows = _rows(spark, sf_dir).withColumns({"system": F.element_at(kinds, (F.col("id") % 3 + 1).cast("int")), "new_api_spend_usd": F.when(F.col("id") % 4 != 0, F.col("cost"))})
+    return rollup.new_spend(rows)
+
+
+@BOOK.add(f"""WITH {_ROWS} SELECT count(*) AS n, round(avg(f1), 6) AS macro_f1, round(avg(prompt + completion), 3) AS mean_tokens,
+round(sum(prompt) * 1e-6::DOUBLE + sum(completion) * 5e-6::DOUBLE, 6) AS cost FROM a""")
+def rollup_recomputed(spark, sf_dir):
+    """A5: totals with the cost told anew from the tokens."""
+    return rollup.recomputed(_rows(spark, sf_dir).withColumnsRenamed({"prompt": "prompt_tokens", "completion": "completion_tokens"}))
+
+
+@BOOK.add("""SELECT o_orderkey AS id, 'ckg' AS system, o_orderpriority AS type, '4' AS harness_version, 'new' AS run_id, '3' AS source_harness_version, 'r' || o_orderkey % 5 AS source_run_id,
+'reused_integrity_v3_annotation_blind_ckg' AS retrieval_mode, 'reused_integrity_v3_raw_output' AS generation_status, 0.0::DOUBLE AS new_api_spend_usd,
+sha256('{"harness_version":"3","id":' || o_orderkey || ',"run_id":"r' || o_orderkey % 5 || '","system":"graph","type":"' || o_orderpriority || '"}') AS source_row_sha256 FROM orders""")
+def reused_rows(spark, sf_dir):
+    """Rows of an earlier run with their provenance."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("graph").alias("system"), F.col("o_orderpriority").alias("type"), F.lit("3").alias("harness_version"), F.concat(F.lit("r"), (F.col("o_orderkey") % 5).cast("string")).alias("run_id"))
+    return answering.reused(rows, "4", "new")
+
+
 def _sides(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     side = lambda m, q: rows.withColumns({"value": (F.col("id") % m) / float(m), "tokens": F.col("id") % q, "cost": (F.col("id") % q) / 1000.0})

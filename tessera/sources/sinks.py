@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_rows(rows: DataFrame, path: str, by: Sequence[str] = ("system", "domain"), replace: bool = False) -> None:
+def write_rows(rows: DataFrame, path: str, by: Sequence[str] = ("system", "domain"), replace: bool = False, order: str | None = None) -> None:
     """JSON lines, keys in alphabetical order, a folder for each system and domain.
 
     Refuses a folder that exists unless ``replace``, which swaps the
-    partitions that ``rows`` has and keeps the others.
+    partitions that ``rows`` has and keeps the others.  With ``order`` the files
+    of a folder, by name, hold its rows sorted by that column.
     """
     ordered = rows.select(*sorted(c for c in rows.columns if c not in by), *by)
+    if order:
+        ordered = ordered.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
     writer = ordered.write.partitionBy(*by)
     if replace:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")

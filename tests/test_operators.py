@@ -267,6 +267,42 @@ def test_contexts_of_all_types(spark, nodes, edges):
     assert told["2"].split("\n")[1:] == ["  [COND] Deep left | prerequisites: Left, Right", "  [FRAME] Left | prerequisites: Root", "  [FRAME] Right | prerequisites: Root"]
 
 
+def test_annotations_name_the_nodes(spark, nodes, edges):
+    from tessera.operators import answering
+
+    blank = dict.fromkeys(("ground_truth", "concept_id", "path_ids", "taxonomy_id", "concept_id_a", "concept_id_b"))
+    rows = [
+        ("1", "T1_entity", {"concept_id": 2}), ("1b", "T1_entity", {"ground_truth": ["left"]}), ("2", "T2_dependency", {}), ("3", "T3_path", {"path_ids": [5, 2, 1]}),
+        ("3b", "T3_path", {"ground_truth": ["Leaf", "zzz", "Root"]}), ("3c", "T3_path", {"ground_truth": ["zzz"], "concept_id": 4, "path_ids": []}), ("4", "T4_aggregate", {"taxonomy_id": "FRAME"}),
+        ("4b", "T4_aggregate", {"taxonomy_id": "", "ground_truth": ["Right", "Left"]}), ("4c", "T4_aggregate", {"taxonomy_id": "fram"}), ("5", "T5_cross_concept", {"concept_id_a": 5, "concept_id_b": 4}),
+        ("5b", "T5_cross_concept", {"concept_id_a": 5, "concept_id_b": 77}), ("6", "T1_entity", {"concept_id": 77, "ground_truth": ["nobody"]}), ("7", "T8", {}),
+    ]
+    kinds = "id string, domain string, type string, query string, ground_truth array<string>, concept_id long, path_ids array<long>, taxonomy_id string, concept_id_a long, concept_id_b long"
+    asked = spark.createDataFrame([{"id": i, "domain": "d", "type": k, "query": "What are the prerequisites for Deep left?", **blank, **more} for i, k, more in rows], kinds)
+    ids = {}
+    for r in answering.annotated(asked, nodes, edges).orderBy("id", "branch", "place").collect():
+        ids.setdefault(r["id"], []).append(r["member"])
+    assert ids == {"1": [2, 1, 4, 5], "1b": [2, 1, 4, 5], "2": [4, 2, 3], "3": [5, 2, 1], "3b": [5, 1], "3c": [4, 2, 3, 1], "4": [2, 3], "4b": [3, 2], "5": [5, 4, 2, 3]}
+    told = {r["id"]: r["context"] for r in answering.contexts(asked, nodes, edges, by_annotation=True).collect()}
+    assert told["4c"] == told["5b"] == answering.HEADER and told["6"] == answering.NOTHING and told["7"] == answering.NO_TYPE
+
+
+def test_a_failing_model_is_asked_again(spark, tmp_path):
+    import pandas as pd
+
+    from tessera.operators import answering
+
+    def model(prompts):
+        tries = tmp_path / "tries"
+        tries.write_text((tries.read_text() if tries.exists() else "") + "x")
+        if len(tries.read_text()) < 3:
+            raise ConnectionError
+        return pd.Series(["yes"] * len(prompts))
+
+    rows = spark.createDataFrame([("1", "p")], "id string, prompt string").coalesce(1)
+    assert [r["answer"] for r in answering.answers(rows, model, pause=0.0).collect()] == ["yes"]
+
+
 def test_answers_are_scored(spark):
     import pandas as pd
 
