@@ -31,14 +31,6 @@ def test_graph_round_trip(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "g").iterdir()) == ["a", "b"]
 
 
-def test_rows_in_order(spark, tmp_path):
-    rows = spark.range(2000).selectExpr("lpad(cast(pmod(id * 7919, 2000) as string), 5, '0') as id", "'s' as system", "if(id % 3 = 0, 'd', 'e') as domain")
-    sinks.write_rows(rows, f"{tmp_path}/out", order="id")
-    for domain, n in (("d", 667), ("e", 1333)):
-        lines = [line for f in sorted((tmp_path / "out/system=s" / f"domain={domain}").glob("part-*")) for line in f.read_text().splitlines()]
-        assert len(lines) == n and lines == sorted(lines)
-
-
 def test_rows(spark, tmp_path):
     p = tmp_path / "r.jsonl"
     p.write_text('{"id": "1", "query_type": "T1_entity"}\n\n{"id": "2", "type": "T2_dependency"}\n')
