@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import registry_ids
-from tessera.storage import stored
+from tessera.storage import joined_by, stored
 
 NODE_SCHEMA = "domain string, id long, label string, dependencies array<long>, taxonomy_id string, ord long"
 
@@ -23,18 +23,23 @@ def edges_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("domain", F.col("id").alias("src"), F.posexplode("dependencies").alias("pos", "dst")).select("domain", "src", "dst", F.col("pos").cast("long").alias("pos"))
 
 
+def _lost(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """domain, dst: the targets that are no node, looked up once each, so a target of many edges is one row."""
+    known = nodes.select("domain", F.col("id").alias("dst"))
+    return joined_by(edges.select("domain", "dst").where("dst is not null").distinct().join(known, ["domain", "dst"], "left_anti"), "lost")
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose target is no node."""
-    known = nodes.select("domain", F.col("id").alias("dst"))
-    return edges.join(known, ["domain", "dst"], "left_anti")
+    found = edges.join(_lost(edges, nodes).withColumn("_lost", F.lit(True)), ["domain", "dst"], "left")
+    return found.where("_lost or dst is null").select(*edges.columns)
 
 
 def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges between nodes; those with an end that is no node drop out."""
-    known = nodes.select("domain", F.col("id").alias("_known"))
-    for end in ("src", "dst"):
-        edges = edges.join(known.withColumnRenamed("_known", end), ["domain", end], "left_semi")
-    return edges.select("domain", "src", "dst", "pos")
+    edges = edges.where("dst is not null")
+    known = nodes.select("domain", F.col("id").alias("src"))
+    return edges.join(_lost(edges, nodes), ["domain", "dst"], "left_anti").join(known, ["domain", "src"], "left_semi").select("domain", "src", "dst", "pos")
 
 
 def in_order(value: Column, *order: Column) -> Column:
@@ -124,7 +129,7 @@ def walk(starts: DataFrame, edges: DataFrame, ends: DataFrame | None = None, bac
     further.  ``back``: every edge can be walked both ways, so that new nodes
     need be told only from those of the last two levels.
     """
-    step = stored(edges.select("domain", F.col("src").alias("node"), F.col("dst").alias("next"), "pos"), "steps")  # read by every level
+    step = stored(edges.select("domain", F.col("src").alias("node"), F.col("dst").alias("next"), "pos"), "steps").hint("merge")  # read by every level
     empty = F.array().cast("array<long>")
     keys = ["domain", "start", "node"]
     levels = [stored(starts.select("domain", "start").distinct().select("domain", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), empty.alias("key")), "walk")]
@@ -137,7 +142,7 @@ def walk(starts: DataFrame, edges: DataFrame, ends: DataFrame | None = None, bac
         out = now.join(step, ["domain", "node"]).select("domain", "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("key", F.array("pos")).alias("key"))
         best = out.groupBy(*keys).agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key"))
         for earlier in levels[-2:] if back else levels:
-            best = best.join(earlier.select(*keys), keys, "left_anti")
+            best = best.join(earlier.select(*keys).hint("merge"), keys, "left_anti")
         levels.append(stored(best.select(*keys, F.lit(len(levels)).alias("depth"), "path", "key"), "walk"))
     seen = levels[0]
     for level in levels[1:]:
@@ -151,21 +156,97 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.unionAll(edges.select("domain", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("src").alias("pos"))).distinct()
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """domain, node, to: the nodes with one neighbour, and that one; ``edges`` go both ways."""
+    each = edges.where("src <> dst").groupBy("domain", F.col("src").alias("node")).agg(F.min("dst").alias("to"), F.max("dst").alias("_other"))
+    return each.where(F.col("to") == F.col("_other")).select("domain", "node", "to")
+
+
 def undirected_paths(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """domain, start, end, path: shortest undirected paths over nodes; ``[start, end]`` where there is none."""
-    found = walk(pairs, both_ways(among(edges, nodes)), pairs, True).select("domain", "start", F.col("node").alias("end"), "path")
-    return pairs.join(found, ["domain", "start", "end"], "left").select("domain", "start", "end", F.coalesce("path", F.array("start", "end")).alias("path"))
+    """domain, start, end, path: shortest undirected paths over nodes; ``[start, end]`` where there is none.
+
+    A node with one neighbour stands on a path only as its end, and the path
+    goes on from that neighbour.  So such nodes are left out of the search, and
+    pairs that go on from the same two neighbours share it: the many of a hub
+    are not walked from each other.
+    """
+    both = stored(both_ways(among(edges, nodes)), "both")
+    ends = stored(_ends(both), "ends")
+    own = pairs.select("domain", "start", "end").distinct()
+    for side in ("start", "end"):
+        own = own.join(ends.select("domain", F.col("node").alias(side), F.col("to").alias(f"_{side}")).hint("merge"), ["domain", side], "left")
+    alone = F.col("start").eqNullSafe(F.col("end")) | F.coalesce((F.col("_start") == F.col("end")) & (F.col("_end") == F.col("start")), F.lit(False))
+    own = stored(own.select("domain", "start", "end", alone.alias("alone"), *[F.coalesce(f"_{x}", x).alias(f"_{x}") for x in ("start", "end")]), "pairs")
+    rest = own.where("not alone").select("domain", F.col("_start").alias("start"), F.col("_end").alias("end")).distinct()
+    core = both
+    for end in ("src", "dst"):
+        core = core.join(ends.select("domain", F.col("node").alias(end)).hint("merge"), ["domain", end], "left_anti")
+    found = walk(rest, core, rest, True).select("domain", F.col("start").alias("_start"), F.col("node").alias("_end"), F.col("path").alias("_path"))
+    found = rest.select("domain", F.col("start").alias("_start"), F.col("end").alias("_end")).join(found, ["domain", "_start", "_end"])
+    none = F.array().cast("array<long>")
+    before, after = (F.when(F.col(x) != F.col(f"_{x}"), F.array(x)).otherwise(none) for x in ("start", "end"))
+    way = F.when(F.col("start") == F.col("end"), F.array("start")).when(F.col("alone"), F.array("start", "end")).when(F.col("_path").isNotNull(), F.concat(before, "_path", after))
+    path = own.join(joined_by(found, "found"), ["domain", "_start", "_end"], "left").select("domain", "start", "end", way.alias("path"))
+    return pairs.join(path.hint("merge"), ["domain", "start", "end"], "left").select("domain", "start", "end", F.coalesce("path", F.array("start", "end")).alias("path"))
+
+
+def _back(ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """domain, start, end, path: the paths that ``walk`` finds, from every node that leads to an end.
+
+    The search runs from the ends against the edges; a node's path is that of
+    the first of its edges, by ``pos``, that leads one level down.  A level
+    goes on from the nodes that something depends on, which may be few.
+    """
+    keys = ["domain", "end", "node"]
+    step = stored(edges.select("domain", "src", "dst", "pos"), "steps")  # read by every level
+    target = joined_by(step.select("domain", F.col("dst").alias("node")).distinct(), "targets")
+    levels = [stored(ends.select("domain", "end").distinct().select("domain", "end", F.col("end").alias("node"), F.array("end").alias("path")), "back")]
+    while not levels[-1].isEmpty():
+        front = joined_by(levels[-1].join(target, ["domain", "node"], "left_semi").withColumnRenamed("node", "dst"), "front")
+        out = step.join(front, ["domain", "dst"]).select("domain", "end", F.col("src").alias("node"), "pos", F.concat(F.array("src"), "path").alias("path"))
+        best = out.groupBy(*keys).agg(F.min_by("path", F.struct("pos", "path")).alias("path"))
+        for earlier in levels:
+            best = best.join(earlier.select(*keys).hint("merge"), keys, "left_anti")
+        levels.append(stored(best, "back"))
+    seen = levels[0]
+    for level in levels[1:]:
+        seen = seen.unionByName(level)
+    return seen.select("domain", F.col("node").alias("start"), "end", "path")
 
 
 def directed_paths(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """domain, start, end, path: shortest paths over nodes along dependencies, null where there is none."""
-    found = walk(pairs, among(edges, nodes), pairs).select("domain", "start", F.col("node").alias("end"), "path")
-    return pairs.join(found, ["domain", "start", "end"], "left").select("domain", "start", "end", "path")
+    """domain, start, end, path: shortest paths over nodes along dependencies, null where there is none.
+
+    The search begins at the side of the pairs with fewer nodes.
+    """
+    edges = among(edges, nodes)
+    some = pairs.agg(F.count_distinct("domain", "start").alias("starts"), F.count_distinct("domain", "end").alias("ends")).first()
+    if some["ends"] < some["starts"]:
+        found = _back(pairs, edges)
+    else:
+        found = walk(pairs, edges, pairs).select("domain", "start", F.col("node").alias("end"), "path")
+    return pairs.join(found.hint("merge"), ["domain", "start", "end"], "left").select("domain", "start", "end", "path")
 
 
 def ancestors(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``walk`` over nodes: a dependency that is no node is not visited."""
-    return walk(starts, among(edges, nodes))
+    """``walk`` over nodes: a dependency that is no node is not visited.
+
+    Where the starts depend directly on fewer nodes than they are, those are
+    walked from once, and a start takes the best of what its edges lead to.
+    """
+    edges = among(edges, nodes)
+    own = starts.select("domain", "start").distinct()
+    first = edges.withColumnRenamed("src", "start").join(own, ["domain", "start"], "left_semi")
+    target = stored(first.select("domain", F.col("dst").alias("start")).distinct(), "targets")
+    if target.count() >= own.count():
+        return walk(own, edges)
+    below = joined_by(walk(target, edges).withColumnsRenamed({"start": "dst", "path": "_path", "key": "_key"}), "below")
+    # dealt by start once: its rows stay together until they are settled
+    reached = first.repartition("domain", "start").join(below, ["domain", "dst"]).where("node <> start")
+    reached = reached.select("domain", "start", "node", F.struct((F.col("depth") + 1).alias("depth"), F.concat(F.array("pos"), "_key").alias("key"), F.concat(F.array("start"), "_path").alias("path")).alias("w"))
+    best = reached.groupBy("domain", "start", "node").agg(F.min("w").alias("w")).select("domain", "start", "node", "w.depth", "w.path", "w.key")
+    empty = F.array().cast("array<long>")
+    return own.select("domain", "start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), empty.alias("key")).unionByName(best)
 
 
 def members(nodes: DataFrame, tags: DataFrame) -> DataFrame:

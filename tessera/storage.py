@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths made by this process and not yet removed, oldest first.
 _MADE: list[str] = []
@@ -49,6 +50,20 @@ def stored(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     return out
 
 
+#: Rows up to which a stored table may be sent to every task.
+FEW = 100_000
+
+
+def joined_by(df: DataFrame, label: str) -> DataFrame:
+    """``df`` stored, with the hint for joins that its rows ask for: broadcast if they are few, else merge.
+
+    Without a hint the engine goes by the size on disk, which says little about
+    ids that compress well.
+    """
+    out = stored(df, label)
+    return F.broadcast(out) if out.count() <= FEW else out.hint("merge")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder of any file system that Spark reaches."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
