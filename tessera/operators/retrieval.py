@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import registry_ids, tokens
-from tessera.storage import stored
+from tessera.storage import joined_by, stored
 
 
 def pieces(text: Column) -> Column:
@@ -81,31 +81,69 @@ def postings(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens) ->
     return docs.select(*rest, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*rest, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query, doc, score of the documents that share a term with the query.
-
-    ``queries``: query, text; ``docs``: doc, text.  With a column ``domain`` on
-    both sides every domain is a corpus of its own: its statistics are those of
-    its documents, and its queries see no others.  A term counts as often as
-    the query repeats it.  The weighted postings meet the grouped query terms
-    in one equi-join; only rows of asked terms are joined, a frequent term's
-    rows may be split by adaptive joins, and scores are summed map-side first.
-    """
+def _weighted(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The postings of asked terms (doc, length, term, tf), dealt by document;
+    the terms of each query (query, term, times, df, weight, mean); the columns of a corpus."""
     by = ["domain"] if "domain" in queries.columns and "domain" in docs.columns else []
     one = docs.select("doc", "text", *by)
-    index = stored(postings(one), "postings")
-    lengths = index.groupBy(*by, "doc").agg(F.sum("tf").alias("length"))
+    lengths = stored(one.select("doc", *by, F.size(tokens(F.col("text"))).alias("n")).groupBy(*by, "doc").agg(F.sum("n").cast("long").alias("length"), F.count("*").alias("rows")), "lengths")
+    wanted = stored(queries.select("query", *by, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", *by, "term").agg(F.count("*").alias("times")), "wanted")
+    terms = joined_by(wanted.select(*by, "term").distinct(), "terms")
+    each = one.select("doc", *by, F.explode(tokens(F.col("text"))).alias("term")).join(terms, [*by, "term"], "left_semi")
+    found = each.groupBy(*by, "doc", "term").agg(F.count("*").alias("tf"))
+    index = stored(found.join(lengths.drop("rows").hint("merge"), [*by, "doc"]), "postings")
     some = lambda df: df.withColumn("_all", F.lit(1)) if not by else df
     on = by or ["_all"]
-    corpus = some(one).groupBy(*on).agg(F.count("*").alias("n")).join(some(lengths).groupBy(*on).agg(F.sum("length").alias("total")), on)  # one row a domain
-    wanted = queries.select("query", *by, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", *by, "term").agg(F.count("*").alias("times"))
-    df = index.join(wanted.select(*by, "term").distinct(), [*by, "term"], "left_semi").groupBy(*by, "term").agg(F.count("*").alias("df"))
-    asked = some(wanted.join(df, [*by, "term"])).join(corpus, on)
+    corpus = some(lengths).groupBy(*on).agg(F.sum("rows").alias("n"), F.sum("length").alias("total"))  # one row a domain
+    df = index.groupBy(*by, "term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.select("query", *by, "term", (F.col("times") * idf).alias("weight"), (F.col("total") / F.col("n")).alias("mean"))
+    asked = some(wanted.join(df, [*by, "term"])).join(corpus, on)
+    return index, asked.select("query", *by, "term", "times", "df", (F.col("times") * idf).alias("weight"), (F.col("total") / F.col("n")).alias("mean")), by
+
+
+def _summed(pairs: DataFrame, by: list[str], k1: float, b: float) -> DataFrame:
+    """query, doc, score of postings that stand beside the query terms they answer."""
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return index.join(asked, [*by, "term"]).join(lengths, [*by, "doc"]).groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    return pairs.groupBy(*by, "query", "doc").agg(F.sum(part).alias("score")).drop(*by)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query, doc, score of the documents that share a term with the query.
+
+    ``queries``: query, text; ``docs``: doc, text.  With a column ``domain`` on
+    both sides every domain is a corpus of its own: its statistics are those of
+    its documents, and its queries see no others.  A term counts as often as
+    the query repeats it.  The postings of asked terms are dealt by document
+    once, with its length; where the query terms are few they go to every task,
+    so a document's scores are summed where its postings lie.
+    """
+    index, asked, by = _weighted(queries, docs)
+    pairs = index.repartition(*by, "doc").join(joined_by(asked.drop("times", "df"), "asked"), [*by, "term"])
+    return _summed(pairs, by, k1, b)
+
+
+def bm25_best(queries: DataFrame, docs: DataFrame, k: int, often: int = 1000, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The scores of ``bm25`` that the k best of each query are among, without those of all pairs.
+
+    A term is common if more than ``often`` documents hold it.  A document with
+    none of a query's other terms scores what the common ones give; of those
+    only the k best by the common terms can be among the k best, as every term
+    adds to a score.  Queries that ask the same common terms share that
+    ranking.  Documents with one of the other terms are all scored.
+    """
+    index, asked, by = _weighted(queries, docs)
+    asked = stored(asked, "asked")
+    common = asked.where(F.col("df") > often)
+    sets = stored(common.groupBy(*by, "query").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("set")), "sets")
+    first = sets.groupBy(*by, "set").agg(F.min("query").alias("first"))
+    like = sets.join(first, [*by, "set"]).select(*by, "query", "first")
+    shared = common.join(first.select(*by, F.col("first").alias("query")), [*by, "query"], "left_semi").drop("times", "df")
+    ranked = top(_summed(index.join(joined_by(shared, "shared"), [*by, "term"]), by, k1, b), k).select(F.col("query").alias("first"), "doc")
+    rare = index.join(asked.where(F.col("df") <= often).select("query", *by, "term").hint("merge"), [*by, "term"]).select(*by, "query", "doc")
+    chosen = like.join(joined_by(ranked, "ranked"), "first").select(*by, "query", "doc").unionByName(rare).distinct()
+    terms = chosen.join(asked.drop("times", "df").hint("merge"), [*by, "query"])
+    return _summed(terms.join(index.hint("merge"), [*by, "doc", "term"]), by, k1, b)
 
 
 def top(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -115,21 +153,23 @@ def top(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
 
 
 def with_silent(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``scores`` and, since documents without a score rank too, the first k
-    documents of the query's corpus by id with score 0; no ranking of k can hold others.
-
-    The scores are stored, as both parts read them.
+    """The k best ``scores`` of each query and, since documents without a score
+    rank too, the first k documents of the query's corpus by id, with score 0
+    where they have none; no ranking of k can hold others.
     """
     by = ["domain"] if "domain" in queries.columns and "domain" in docs.columns else []
-    scores = stored(scores.select("query", "doc", "score"), "scores")
     if by:
         first = F.row_number().over(Window.partitionBy("domain").orderBy("doc"))
         zeros = queries.select("query", "domain").distinct().join(docs.select("domain", "doc").withColumn("_k", first).where(F.col("_k") <= k), "domain").select("query", "doc")
     else:
         few = docs.select("doc").orderBy("doc").limit(k)
         zeros = queries.select("query").distinct().crossJoin(F.broadcast(few))  # k rows are broadcast
-    rest = zeros.withColumn("score", F.lit(0.0)).join(scores.select("query", "doc"), ["query", "doc"], "left_anti")
-    return scores.unionByName(rest)
+    zeros = stored(zeros, "silent")
+    scores = scores.select("query", "doc", "score")
+    best = top(scores, k).drop("rank")
+    early = scores.join(F.broadcast(zeros.select("doc").distinct()), "doc", "left_semi").join(zeros, ["query", "doc"], "left_semi")  # k documents a corpus
+    rows = best.unionByName(early.select(*best.columns)).unionByName(zeros.withColumn("score", F.lit(0.0)))
+    return rows.groupBy("query", "doc").agg(F.max("score").alias("score"))
 
 
 def first_chunks(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
