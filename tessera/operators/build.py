@@ -183,9 +183,10 @@ def t_clean(label: str, limit: int = 120) -> str:
 
 def provenance(trials: DataFrame, cap: int = 50) -> DataFrame:
     """taxonomy_id, key, sources: the first ``cap`` distinct (url, hash) of each label."""
-    pairs = attribute_labels(trials).select("taxonomy_id", F.lower("label").alias("key"), "url", "source_hash").distinct()
-    place = F.row_number().over(Window.partitionBy("taxonomy_id", "key").orderBy("url", "source_hash"))
-    kept = pairs.withColumn("place", place).where(F.col("place") <= cap)
+    pairs = attribute_labels(trials).select("taxonomy_id", F.lower("label").alias("key"), "url", "source_hash")
+    # by dense rank, so that each task drops what lies beyond the cap before anything is shuffled
+    place = F.dense_rank().over(Window.partitionBy("taxonomy_id", "key").orderBy("url", "source_hash"))
+    kept = pairs.withColumn("place", place).where(F.col("place") <= cap).select("taxonomy_id", "key", "url", "source_hash").distinct()
     return kept.groupBy("taxonomy_id", "key").agg(F.array_sort(F.collect_list(F.struct("url", "source_hash"))).alias("sources"))
 
 
