@@ -201,18 +201,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, size: int = 4096) ->
     without nulls.  With a column ``domain`` on both sides a query meets the
     blocks of its own domain alone, in an equi-join.  Else the stated query set
     meets all vectors block by block; a task holds one block of each and hands
-    on k rows for each of its queries.
+    on k rows for each of its queries.  Batches are bounded in bytes
+    and read in place, one pair of blocks at a time.
     """
+    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     by = "domain" in queries.columns and "domain" in vectors.columns
     own = F.col("domain").cast("string") if by else F.lit(None).cast("string").alias("domain")
     sorted_ = lambda df: df.repartition("domain").sortWithinPartitions("domain") if by else df
-    ask = _packed(sorted_(queries.select(own, F.col("query").cast("long"), "vector")), 1024).toDF("domain", "q_keys", "q_flat")
+    ask = _packed(sorted_(queries.select(own, F.col("query").cast("long"), "vector")), 256).toDF("domain", "q_keys", "q_flat")
     index = stored(_packed(sorted_(vectors.select(own, F.col("doc").cast("long"), "vector")), size), "vectors")
     pairs = ask.join(index, "domain").drop("domain") if by else ask.drop("domain").crossJoin(index.drop("domain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qk, qf, dk, df in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in range(len(batch)):
+                qk, qf, dk, df = (batch.column(i)[row].as_buffer() for i in range(4))
                 q, d = np.frombuffer(qk, dtype=np.int64), np.frombuffer(dk, dtype=np.int64)
                 score = np.round(np.frombuffer(qf).reshape(len(q), -1) @ np.frombuffer(df).reshape(len(d), -1).T, 9)
                 best = [np.lexsort((d, -s))[:k] for s in score]
