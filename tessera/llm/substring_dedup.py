@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +58,31 @@ LEAST = 9
 def window_hashes(w: np.ndarray, length: int) -> np.ndarray:
     """Hash of the ``length`` words from each start."""
     n = len(w) - length + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    for i in range(length if n > 0 else 0):
-        out += w[i : n + i] * np.uint64(pow(_BASE, i, 1 << 64))
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out, done = w, 1  # sums of ``done`` words each, made longer bit by bit of ``length``
+    for bit in bin(length)[3:]:
+        out = out[:-done] + out[done:] * np.uint64(pow(_BASE, done, 1 << 64))
+        done *= 2
+        if bit == "1":
+            out = out[:-1] + w[done:] * np.uint64(pow(_BASE, done, 1 << 64))
+            done += 1
     return mix(out)
 
 
+def _least(g: np.ndarray, length: int) -> np.ndarray:
+    """Where the least of the ``length`` values from each start is, the first of equal ones."""
+    if len(g) < length:
+        return np.zeros(0, dtype=np.int64)
+    at, done = np.arange(len(g)), 1
+    while done < length:
+        step = min(done, length - done)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(g[right] < g[left], right, left)
+        done += step
+    return at
+
+
 def levels(length: int, least: int = LEAST) -> list[int]:
     """Window lengths, each at most twice the one before; the last is ``length``."""
     out = [length]
@@ -71,16 +91,19 @@ def levels(length: int, least: int = LEAST) -> list[int]:
     return out
 
 
-def choices(w: np.ndarray, sizes: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def choices(w: np.ndarray, sizes: list[int], sure: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each level the starts of the windows that may count there; and, but for
-    the first level, for each of these the start of its choice on the level below."""
-    starts, picks = [np.arange(len(w) - sizes[-1] + 1)], []
+    the first level, for each of these the start of its choice on the level below.
+
+    ``sure``: the starts of the windows of the last level, where ``w`` holds more texts than one.
+    """
+    starts, picks = [np.arange(len(w) - sizes[-1] + 1) if sure is None else sure], []
     for upper, lower in zip(sizes[:0:-1], sizes[-2::-1], strict=True):
-        g = window_hashes(w, lower)
-        seen = np.lib.stride_tricks.sliding_window_view(g, upper - lower + 1)
-        pick = (np.arange(len(seen)) + seen.argmin(axis=1))[starts[0]]
+        pick = _least(window_hashes(w, lower), upper - lower + 1)[starts[0]]
         picks.insert(0, pick)
-        starts.insert(0, np.unique(pick))
+        chosen = np.zeros(len(w), dtype=bool)
+        chosen[pick] = True
+        starts.insert(0, np.flatnonzero(chosen))
     return starts, picks
 
 
@@ -92,24 +115,32 @@ class _Settler:
     """
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, int, int, np.ndarray]] = []
-        self.size = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows: list[np.ndarray] = []
+        self.rows2: list[np.ndarray] = []
+        self.size = self.n_rows = 0
 
-    def add(self, h: np.ndarray, row: int, row2: int, start: np.ndarray) -> None:
+    def add(self, h: np.ndarray, of: np.ndarray, start: np.ndarray, row: np.ndarray, row2: np.ndarray) -> None:
+        """``of``: which of the rows ``row``, ``row2`` each window is of, in their order."""
         if len(h):
-            self.parts.append((h, row, row2, start))
+            self.parts.append((h, of + self.n_rows, start))
+            self.rows.append(row)
+            self.rows2.append(row2)
+            self.n_rows += len(row)
             self.size += len(h)
 
     def flush(self) -> pa.RecordBatch:
-        h = np.concatenate([p[0] for p in self.parts]).view(np.int64)
-        of = np.repeat(np.arange(len(self.parts)), [len(p[0]) for p in self.parts])
-        row = np.array([p[1] for p in self.parts], dtype=np.int64)
-        row2 = np.array([p[2] for p in self.parts], dtype=np.int32)
-        start = np.concatenate([p[3] for p in self.parts]).astype(np.int32)
-        self.parts, self.size = [], 0
-        value, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        again = count[inverse] > 1
-        once, known = ~again, value[count > 1]
+        h, of, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        row, row2 = np.concatenate(self.rows), np.concatenate(self.rows2)
+        h, start = h.view(np.int64), start.astype(np.int32)
+        self.__init__()
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        alone = new & np.r_[new[1:], True]
+        once = np.empty(len(h), dtype=bool)
+        once[order] = alone
+        again, known = ~once, ranked[new & ~alone]
         of2, start2 = of[again], start[again]  # in the order of rows and starts
         new = np.flatnonzero(np.r_[True, (of2[1:] != of2[:-1]) | (start2[1:] != start2[:-1] + 1)]) if len(of2) else np.empty(0, dtype=np.int64)
         n2 = np.diff(np.r_[new, len(of2)])
@@ -129,34 +160,72 @@ class _Settler:
         )
 
 
+#: Words of several texts that are worked on at once; a longer text is worked on alone.
+AT_ONCE = 50_000
+
+
+def _run_arrays(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which row each run is of, its start and its number of starts."""
+    flat = runs.flatten()  # null rows have none
+    of = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()) * ~np.asarray(runs.is_null()))
+    return of, flat.field("start").to_numpy(), flat.field("n").to_numpy()
+
+
+def _covered(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each of ``size`` places lies in one of the ranges."""
+    edge = np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1)
+    return np.cumsum(edge[:size]) > 0
+
+
 def _level(sizes: list[int], k: int):
     """Settles the windows of level ``k``; above the first, of those whose choice below is in ``runs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Settler()
         for batch in batches:
-            runs = batch.column(3).to_pylist() if k else [None] * batch.num_rows
-            for row, row2, text, below in zip(*(batch.column(i).to_pylist() for i in range(3)), runs, strict=True):
+            row, row2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            runs = _run_arrays(batch.column(3)) if k else None
+            found: list[np.ndarray] = []  # of neighbouring texts, about AT_ONCE words
+            first = size = 0
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 w = word_hashes(text, lower=False)
-                if len(w) < sizes[-1]:
-                    continue
-                starts, picks = choices(w, sizes)
-                at = starts[k]
-                if below is not None:
-                    survives = np.zeros(len(w), dtype=bool)
-                    for r in below:
-                        survives[r["start"] : r["start"] + r["n"]] = True
-                    at = at[survives[picks[k - 1]]]
-                if len(at):
-                    held.add(window_hashes(w, sizes[k])[at], row, row2, at)
-                if held.size >= HELD:
-                    yield held.flush()
+                if size and size + len(w) > AT_ONCE:
+                    _gather(held, found, first, row, row2, runs, sizes, k)
+                    found, first, size = [], i, 0
+                    if held.size >= HELD:
+                        yield held.flush()
+                found.append(w)
+                size += len(w)
+            if found:
+                _gather(held, found, first, row, row2, runs, sizes, k)
+            if held.size >= HELD:
+                yield held.flush()
         if held.size:
             yield held.flush()
 
     return run
 
 
+def _gather(held: _Settler, found: list[np.ndarray], first: int, row: np.ndarray, row2: np.ndarray, runs: tuple | None, sizes: list[int], k: int) -> None:
+    """Adds the windows of level ``k`` of the texts ``found``, rows ``first`` and on of their batch."""
+    lengths = np.array([len(w) for w in found])
+    ends = np.cumsum(lengths)
+    begins, w = ends - lengths, np.concatenate(found)
+    text = np.repeat(np.arange(len(found)), lengths)
+    places = np.arange(len(w))
+    starts, picks = choices(w, sizes, np.flatnonzero(places + sizes[-1] <= ends[text]))
+    at = starts[k]
+    if runs is not None:
+        low, high = np.searchsorted(runs[0], [first, first + len(found)])
+        of, begin, n = (x[low:high] for x in runs)
+        begin = begin + begins[of - first]
+        at = at[_covered(len(w), begin, begin + n)[picks[k - 1]]]
+    if len(at):
+        of = text[at]
+        last = first + len(found)
+        held.add(window_hashes(w, sizes[k])[at], of, at - begins[of], row[first:last].copy(), row2[first:last].copy())
+
+
 def _repeated(settled: DataFrame) -> DataFrame:
     """(row, row2, runs): the repeated starts of each row, as arrays of (start, n)."""
     open_ = settled.where("h is not null").withColumn("met", F.count("*").over(Window.partitionBy("h")))
@@ -165,13 +234,9 @@ def _repeated(settled: DataFrame) -> DataFrame:
     return found.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
-def _gone(n: int, runs: list[dict], length: int) -> np.ndarray:
+def _gone(n: int, start: np.ndarray, run: np.ndarray, length: int) -> np.ndarray:
     """Whether each of n words is covered by a window that starts in a run."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for r in runs:
-        edge[r["start"]] += 1
-        edge[min(r["start"] + r["n"] + length - 1, n)] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    return _covered(n, start, np.minimum(start + run + length - 1, n))
 
 
 def _cut(length: int):
@@ -179,28 +244,38 @@ def _cut(length: int):
         """Words removed, digest of the kept words, and the text without the removed ones."""
         for batch in batches:
             out: list[list] = [[], [], []]
-            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = text.encode().split()
-                gone = _gone(len(found), runs, length)
-                kept = [x for x, g in zip(found, gone.tolist(), strict=True) if not g]
+            of, start, n = _run_arrays(batch.column(3))
+            cuts = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                raw = text.encode()
+                found = raw.split()
+                gone = _gone(len(found), start[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]], length)
                 out[0].append(int(gone.sum()))
-                out[1].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                out[2].append(_without(text, found, gone))
+                out[1].append(hashlib.sha256(b" ".join(compress(found, (~gone).tolist()))).hexdigest())
+                out[2].append(_without(raw, gone))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=[*KEYS, "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
-def _without(text: str, found: list[bytes], gone: np.ndarray) -> str:
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(SPACES.encode())] = True
+
+
+def _without(raw: bytes, gone: np.ndarray) -> str:
     """The text without the removed words and the blanks before them."""
-    raw, at, out, lead = text.encode(), 0, [], True
-    for x, g in zip(found, gone.tolist(), strict=True):
-        begin = raw.index(x, at)
-        if not g:
-            out.append(raw[begin if lead else at : begin + len(x)])
-            lead = False
-        at = begin + len(x)
-    return b"".join(out).decode()
+    kept = np.flatnonzero(~gone)
+    if not len(kept):
+        return ""
+    letters = np.frombuffer(raw, dtype=np.uint8)
+    blank = _BLANK[letters]
+    ends = np.flatnonzero(np.r_[blank[1:], True] & ~blank) + 1
+    # each byte goes with the word that it is in or before; blanks before the first kept word and at the end go
+    stay = np.zeros(len(raw), dtype=bool)
+    stay[: ends[-1]] = np.repeat(~gone, np.diff(np.r_[0, ends]))
+    before = ends[kept[0] - 1] if kept[0] else 0
+    stay[before : before + int(np.argmin(blank[before:]))] = False
+    return letters[stay].tobytes().decode()
 
 
 def marks(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -253,10 +328,13 @@ def _cut_column(at: int, length: int):
         """The batch with column ``at`` cut by the runs in its last column, which goes."""
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if text is not None and runs:
-                    found = text.encode().split()
-                    text = _without(text, found, _gone(len(found), runs, length))
+            of, start, n = _run_arrays(batch.column(batch.num_columns - 1))
+            cuts = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                low, high = cuts[i], cuts[i + 1]
+                if text is not None and low < high:
+                    raw = text.encode()
+                    text = _without(raw, _gone(len(raw.split()), start[low:high], n[low:high], length))
                 out.append(text)
             kept = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(kept, names=batch.schema.names[:-1])

@@ -110,6 +110,27 @@ def test_levels_and_choices():
     assert len(starts[0]) <= len(starts[1]) < 40
 
 
+def test_windows_of_several_texts_at_once():
+    """op3: every text was hashed by itself, word by word of a window, and cut word by word."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 1 << 60, n, dtype=np.uint64) for n in (60, 3, 0, 35, 90, 34)]
+    w, ends = np.concatenate(texts), np.cumsum([len(x) for x in texts])
+    begins = ends - [len(x) for x in texts]
+    sure = np.concatenate([b + np.arange(max(len(x) - 34, 0)) for b, x in zip(begins, texts, strict=True)])
+    starts, picks = substring_dedup.choices(w, [9, 18, 35], sure)
+    alone = [substring_dedup.choices(x, [9, 18, 35]) for x in texts]
+    for k in range(3):
+        assert starts[k].tolist() == [b + i for b, (s, _) in zip(begins, alone, strict=True) for i in s[k]]
+    for k in range(2):
+        assert picks[k].tolist() == [b + i for b, (_, p) in zip(begins, alone, strict=True) for i in p[k]]
+    base = 0x9E3779B97F4A7C15
+    for n in (1, 2, 9, 18, 35):
+        plain = np.array([sum(int(x) * pow(base, j, 1 << 64) for j, x in enumerate(w[i : i + n])) % (1 << 64) for i in range(len(w) - n + 1)], dtype=np.uint64)
+        assert (substring_dedup.window_hashes(w, n) == substring_dedup.mix(plain)).all()
+    cut = lambda text, gone: substring_dedup._without(text.encode(), np.array(gone, dtype=bool))
+    assert cut(" \ta  b\n\nc\x85d e ", [0, 1, 0, 0]) == "a\n\nc\x85d e" and cut(" a  b c ", [1, 1, 0]) == "c" and cut("a b", [1, 1]) == "" and cut("a\n b ", [0, 0]) == "a\n b"
+
+
 def test_nothing_repeats(spark):
     df = spark.createDataFrame([(i, " ".join(f"a{i}_{k}" for k in range(50))) for i in range(9)], "doc_id long, text string")
     assert substring_dedup.repeats(df).count() == 0
