@@ -219,6 +219,11 @@ def trial_markdown(trials: DataFrame) -> DataFrame:
     drug = lambda x: F.when(said(x["type"]) != "", F.concat(x["type"], F.lit(": "), x["name"])).otherwise(x["name"])
     measures = lambda c: F.array_join(F.transform(c, lambda x: x["measure"]), "; ")
     status = F.concat(F.lit("Status: "), said(F.col("status")), F.lit(" | Phase: "), listed("phases"), F.lit(" | Enrollment: "), said(F.col("enrollment")), F.lit(" | Sponsor: "), said(F.col("sponsor")))
+    # step by step, as a text that is read in many places of one step is made anew in each
+    long_texts = ("brief_summary", "detailed_description", "eligibility_criteria")
+    trials = trials.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in long_texts})
+    trials = trials.withColumns({c: t.squeeze_long(c) for c in long_texts})
+    trials = trials.withColumns({c: t.cut(F.col(c)) for c in long_texts})
     parts = [
         F.concat(F.lit("## "), "nct_id", F.lit(": "), said(F.col("title"))),
         F.concat(F.lit("ClinicalTrials.gov: "), said(F.col("url"))),
@@ -228,9 +233,9 @@ def trial_markdown(trials: DataFrame) -> DataFrame:
         part("Interventions", F.array_join(F.transform("interventions", drug), "; ")),
         part("Primary outcomes", measures(F.col("primary_outcomes"))),
         part("Secondary outcomes", measures(F.slice("secondary_outcomes", 1, 8))),
-        part("Summary", t.truncate(F.col("brief_summary"))),
-        part("Detailed description", t.truncate(F.col("detailed_description"))),
-        part("Eligibility criteria", t.truncate(F.col("eligibility_criteria"))),
+        part("Summary", F.col("brief_summary")),
+        part("Detailed description", F.col("detailed_description")),
+        part("Eligibility criteria", F.col("eligibility_criteria")),
     ]
     return trials.select("nct_id", F.concat_ws("\n\n", *parts).alias("markdown"))
 
