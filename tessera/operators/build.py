@@ -95,15 +95,29 @@ def ranked_labels(labels: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     ``labels``: group columns, label, ord.  Labels that name nothing are left
     out.  Counting combines before the shuffle; only distinct labels are ranked.
     """
+    return counted_labels(labels, group).withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*_by_frequency())))
+
+
+def _by_frequency() -> tuple:
+    return F.desc("n"), "first", "label"
+
+
+def counted_labels(labels: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """``ranked_labels`` without the places."""
     named = labels.where(F.col("label").isNotNull() & (F.col("label") != "") & ~F.lower("label").isin(*NO_LABEL))
-    counts = named.groupBy(*group, "label").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "first", "label")))
+    return named.groupBy(*group, "label").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+
+
+#: What a mention tells of its trial.
+TOLD = ("nct_id", "url", "source_hash")
 
 
-def attribute_labels(trials: DataFrame) -> DataFrame:
+def attribute_labels(trials: DataFrame, told: Sequence[str] = TOLD) -> DataFrame:
     """taxonomy_id, label, ord, nct_id, url, source_hash: every mention of an attribute.
 
-    ``trials`` carries ``seq``, its file order; ``ord`` orders mentions.
+    ``trials`` carries ``seq``, its file order; ``ord`` orders mentions, by
+    trial and place in one number: the least of numbers is kept in place by a
+    hash aggregation, the least of structs asks for a sort of all mentions.
     """
     outcome = lambda x: F.when(F.coalesce(x["measure"], F.lit("")) != "", x["measure"]).otherwise(t.first_sentence(x["description"]))
     phases = F.when(F.size(F.coalesce("phases", F.array().cast("array<string>"))) > 0, F.col("phases")).otherwise(F.array(F.lit("Not Applicable")))
@@ -116,8 +130,11 @@ def attribute_labels(trials: DataFrame) -> DataFrame:
         "STATUS": F.array("status"),
     }
     tagged = F.flatten(F.array(*[_tagged(code, c) for code, c in lists.items()]))
-    each = trials.select("seq", "nct_id", "url", "source_hash", F.posexplode(tagged).alias("pos", "x"))
-    return each.select(F.col("x.taxonomy_id").alias("taxonomy_id"), F.col("x.label").alias("label"), F.struct("seq", "pos").alias("ord"), "nct_id", "url", "source_hash").where("label <> ''")
+    each = trials.select("seq", *told, F.posexplode(tagged).alias("pos", "x"))
+    # a trial without a number comes before all others
+    seq = F.coalesce(F.col("seq").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    ord_ = (seq * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
+    return each.select(F.col("x.taxonomy_id").alias("taxonomy_id"), F.col("x.label").alias("label"), ord_.alias("ord"), *told).where("label <> ''")
 
 
 def _tagged(code: str, c: Column) -> Column:
@@ -133,16 +150,16 @@ def build_graph(spark: SparkSession, trials: DataFrame, domain: str, domain_labe
     the driver settles the labels, of which each category sends as many as the
     limits add up to, and ``max_concepts`` trials are numbered.
     """
-    trials = stored(trials, "trials")
+    trials = stored(trials.select("seq", "nct_id", "title", "conditions", "interventions", "primary_outcomes", "secondary_outcomes", "phases", "status", "sponsor"), "trials")
     codes = {code: i for i, (code, _, _) in enumerate(RANKED)}
     frames = [f"{domain_label} clinical trial landscape", *[f for _, f, _ in RANKED]]
     # of labels that differ in case only the first counts; one beyond this place cannot get in, since the
     # labels skipped before it are those of frames and other categories
     most = sum(n for _, _, n in RANKED) + len(frames)
-    ranked = ranked_labels(attribute_labels(trials), ["taxonomy_id"])
-    ranked = ranked.groupBy("taxonomy_id", F.lower("label").alias("key")).agg(F.min_by("label", "place").alias("label"), F.min("place").alias("place"))
-    place = F.row_number().over(Window.partitionBy("taxonomy_id").orderBy("place"))
-    first = ranked.withColumn("place", place).where(F.col("place") <= most).collect()  # ``most`` rows a category
+    counted = counted_labels(attribute_labels(trials, ()), ["taxonomy_id"]).withColumn("key", F.lower("label"))
+    best_of = lambda rows, most, *group: rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*_by_frequency()))).where(F.col("place") <= most)
+    # each task drops what lies beyond the limit before a category meets in one task
+    first = best_of(best_of(counted, 1, "taxonomy_id", "key"), most, "taxonomy_id").collect()  # ``most`` rows a category
     fixed = [(1, t_clean(frames[0]), [], "AREA")] + [(i + 2, f, [1], "FRAME") for i, f in enumerate(frames[1:])]
     used, known, labelled, ids_of = {f.lower() for f in frames}, {}, [], []
     for code, _, n in RANKED:
