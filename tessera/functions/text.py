@@ -51,7 +51,8 @@ def squeeze_long(name: str) -> Column:
 
 def canonical(s: Column) -> Column:
     """Lower case, punctuation but the underscore a blank, blanks squeezed."""
-    return squeeze(F.regexp_replace(F.lower(s), NOT_WORD, " "))
+    # all white space is outside the class, so one pattern does both steps
+    return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", " "))
 
 
 def canonical_label(s: Column) -> Column:

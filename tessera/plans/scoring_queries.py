@@ -9,6 +9,7 @@ from tessera.functions import text as t
 from tessera.operators import answering, rollup
 from tessera.plans.catalog import table
 from tessera.plans.registry import Book
+from tessera.storage import stored
 
 BOOK = Book()
 _NOT_WORD = r"[^\p{L}\p{N}_\s]"
@@ -97,25 +98,47 @@ def score_by_type(spark, sf_dir):
 h AS (SELECT doc_id, count(*) AS k FROM d, b WHERE t <> '' AND contains(c, ' ' || t || ' ') GROUP BY 1)
 SELECT doc_id, round(coalesce(k, 0) / (SELECT count(*) FROM benchmark)::DOUBLE, 6) AS coverage FROM d LEFT JOIN h USING (doc_id)""")
 def score_coverage(spark, sf_dir):
-    """The share of benchmark texts that a document holds, by shared five-word runs and then exactly.
-
-    A held text's first five words stand in the document, so an equi-join on
-    word runs finds every pair to test.
-    """
+    """The share of benchmark texts that a document holds, by shared five-word runs and then exactly."""
     docs = table(spark, sf_dir, "documents").select("doc_id", t.canonical(F.coalesce("text", F.lit(""))).alias("c"))
     items = table(spark, sf_dir, "benchmark").select("item_id", t.canonical(F.col("text")).alias("t")).where("t <> ''")
-    w = F.split("t", " ")
-    keyed = items.withColumn("n", F.least(F.size(w), F.lit(5))).withColumn("run", F.array_join(F.slice(w, F.lit(1), F.col("n")), " "))
-    sizes = keyed.select("n").distinct()  # at most five
-    runs = docs.crossJoin(F.broadcast(sizes)).withColumn("w", F.split("c", " ")).where(F.size("w") >= F.col("n"))
-    runs = runs.select("doc_id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("run"))
-    near = runs.join(keyed, ["n", "run"]).select("doc_id", "item_id", "t")
-    held = near.join(docs, "doc_id").where(s.t.holds_term(F.col("c"), F.col("t"))).groupBy("doc_id").agg(F.count("*").alias("k"))
+    held = _held(docs, items).groupBy("doc_id").agg(F.count("*").alias("k"))
     total = items.sparkSession.createDataFrame([(table(spark, sf_dir, "benchmark").count(),)], "total long")
-    out = docs.join(held, "doc_id", "left").crossJoin(F.broadcast(total))
+    out = docs.select("doc_id").join(held, "doc_id", "left").crossJoin(F.broadcast(total))
     return out.select("doc_id", F.round(F.coalesce("k", F.lit(0)) / F.col("total"), 6).alias("coverage"))
 
 
+#: Bits of the map of the items' runs, however many items there are.
+BITS = 1 << 20
+
+
+def _held(docs, items):
+    """doc_id, item_id: the items (item_id, t) that each text (doc_id, c) holds, both canonical.
+
+    A held text's first five words stand in the document, so an equi-join on
+    word runs finds every pair to test.  Runs that cannot be an item's are left
+    out beside their text by a bitmap; only texts with a likely run are
+    multiplied, and they are tested where they meet the item.
+    """
+    words = lambda c: f"transform(split({c}, ' '), x -> xxhash64(x))"
+    run = lambda n, at: f"xxhash64({n}, {', '.join(f'w[{at} + {j}]' for j in range(n))})"
+    cases = " ".join(f"WHEN {n} THEN {run(n, 0)}" for n in range(1, 5))
+    keyed = items.withColumn("w", F.expr(words("t"))).withColumn("n", F.least(F.size("w"), F.lit(5)))
+    keyed = stored(keyed.withColumn("run", F.expr(f"CASE n {cases} ELSE {run(5, 0)} END")).select("item_id", "t", "n", "run"), "items")
+    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # at most five
+    if not sizes:
+        return docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
+    at, bit = f"CAST(shiftright(run & {BITS - 1}, 6) AS INT)", "shiftleft(1L, CAST(run & 63 AS INT))"
+    bits = ["0"] * (BITS // 64)
+    for r in keyed.groupBy(F.expr(at).alias("at")).agg(F.bit_or(F.expr(bit)).alias("bits")).collect():  # at most BITS / 64 rows
+        bits[r["at"]] = str(r["bits"])
+    bitmap = f"CAST(split('{','.join(bits)}', ',') AS array<bigint>)"  # a constant once the plan is made
+    runs = lambda n: f"CASE WHEN size(w) >= {n} THEN transform(sequence(0, size(w) - {n}), i -> {run(n, 'i')}) ELSE array() END"
+    every = runs(sizes[0]) if len(sizes) == 1 else f"concat({', '.join(runs(n) for n in sizes)})"
+    likely = docs.withColumn("w", F.expr(words("c"))).select("doc_id", "c", F.explode(F.expr(f"array_distinct(filter({every}, run -> ({bitmap}[{at}] & {bit}) <> 0))")).alias("run"))
+    inside = F.contains(F.concat(F.lit(" "), "c", F.lit(" ")), F.concat(F.lit(" "), "t", F.lit(" ")))
+    return likely.join(keyed, "run").where(inside).select("doc_id", "item_id")
+
+
 _ROWS = """r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'graph' ELSE 'passages' END AS system, o_orderpriority AS type, o_orderstatus AS domain,
   (o_orderkey % 101) / 100.0::DOUBLE AS f1, o_orderkey % 101 = 100 AS exact, (o_orderkey % 11) / 10.0::DOUBLE AS coverage, (o_orderkey % 13) / 12.0::DOUBLE AS token_f1,
   o_orderkey % 7 <> 0 AS extractable, o_orderkey % 5 <> 0 AS strict, o_orderkey % 1000 AS prompt, o_orderkey % 90 AS completion FROM orders),
