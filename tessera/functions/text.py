@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 ID_PATTERN = r"(?i)\bNCT\d{8}\b"
 TOKEN_PATTERN = r"[A-Za-z0-9]+(?:[_-][A-Za-z0-9]+)*"
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
+_BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 
 # Category codes and the words that name them.
 TAXONOMY_ALIASES: dict[str, tuple[str, ...]] = {
@@ -52,7 +53,12 @@ def squeeze_long(name: str) -> Column:
 def canonical(s: Column) -> Column:
     """Lower case, punctuation but the underscore a blank, blanks squeezed."""
     # all white space is outside the class, so one pattern does both steps
-    return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", " "))
+    return F.trim(F.regexp_replace(F.lower(s), _BETWEEN_WORDS, " "))
+
+
+def canonical_words(s: Column) -> Column:
+    """The words of the canonical form, read off the text at once; empty ones at an end that is no word."""
+    return F.split(F.lower(s), _BETWEEN_WORDS)
 
 
 def canonical_label(s: Column) -> Column:

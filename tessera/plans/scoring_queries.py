@@ -9,7 +9,7 @@ from tessera.functions import text as t
 from tessera.operators import answering, rollup
 from tessera.plans.catalog import table
 from tessera.plans.registry import Book
-from tessera.storage import stored
+from tessera.storage import joined_by
 
 BOOK = Book()
 _NOT_WORD = r"[^\p{L}\p{N}_\s]"
@@ -99,7 +99,7 @@ h AS (SELECT doc_id, count(*) AS k FROM d, b WHERE t <> '' AND contains(c, ' ' |
 SELECT doc_id, round(coalesce(k, 0) / (SELECT count(*) FROM benchmark)::DOUBLE, 6) AS coverage FROM d LEFT JOIN h USING (doc_id)""")
 def score_coverage(spark, sf_dir):
     """The share of benchmark texts that a document holds, by shared five-word runs and then exactly."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", t.canonical(F.coalesce("text", F.lit(""))).alias("c"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("c"))
     items = table(spark, sf_dir, "benchmark").select("item_id", t.canonical(F.col("text")).alias("t")).where("t <> ''")
     held = _held(docs, items).groupBy("doc_id").agg(F.count("*").alias("k"))
     total = items.sparkSession.createDataFrame([(table(spark, sf_dir, "benchmark").count(),)], "total long")
@@ -107,36 +107,37 @@ def score_coverage(spark, sf_dir):
     return out.select("doc_id", F.round(F.coalesce("k", F.lit(0)) / F.col("total"), 6).alias("coverage"))
 
 
-#: Bits of the map of the items' runs, however many items there are.
-BITS = 1 << 20
+#: Slots that the items' runs fall into, however many items there are.
+SLOTS = 1 << 20
 
 
 def _held(docs, items):
-    """doc_id, item_id: the items (item_id, t) that each text (doc_id, c) holds, both canonical.
+    """doc_id, item_id: the items (item_id, t), canonical, whose words each text (doc_id, c) holds in a row.
 
-    A held text's first five words stand in the document, so an equi-join on
-    word runs finds every pair to test.  Runs that cannot be an item's are left
-    out beside their text by a bitmap; only texts with a likely run are
-    multiplied, and they are tested where they meet the item.
+    A held text's first five words (all, if it has fewer) stand in the document,
+    so an equi-join on word runs finds every place to test.  Places whose run
+    cannot be an item's fall out at a table of slots, inside the loop over the
+    text's words and in compiled code; only the others take the words that
+    follow with them.  A place is tested by those words, not by the whole text.
     """
-    words = lambda c: f"transform(split({c}, ' '), x -> xxhash64(x))"
-    run = lambda n, at: f"xxhash64({n}, {', '.join(f'w[{at} + {j}]' for j in range(n))})"
-    cases = " ".join(f"WHEN {n} THEN {run(n, 0)}" for n in range(1, 5))
-    keyed = items.withColumn("w", F.expr(words("t"))).withColumn("n", F.least(F.size("w"), F.lit(5)))
-    keyed = stored(keyed.withColumn("run", F.expr(f"CASE n {cases} ELSE {run(5, 0)} END")).select("item_id", "t", "n", "run"), "items")
-    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # at most five
+    # what a shorter run lacks is null, which the hash passes over
+    run = lambda at: f"xxhash64(n, {', '.join(f'IF(n > {j}, get(w, {at} + {j}), NULL)' for j in range(5))})"
+    slot = f"run & {SLOTS - 1}"
+    keyed = items.withColumn("w", F.split("t", " ")).withColumn("n", F.least(F.size("w"), F.lit(5)))
+    keyed = keyed.select("item_id", "t", "n", F.size("w").alias("long"), F.expr(run(0)).alias("run"), F.monotonically_increasing_id().alias("item"))
+    keyed = joined_by(keyed, "items")
+    sizes = {r["n"]: r["long"] for r in keyed.groupBy("n").agg(F.max("long").alias("long")).collect()}  # at most five
     if not sizes:
         return docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
-    at, bit = f"CAST(shiftright(run & {BITS - 1}, 6) AS INT)", "shiftleft(1L, CAST(run & 63 AS INT))"
-    bits = ["0"] * (BITS // 64)
-    for r in keyed.groupBy(F.expr(at).alias("at")).agg(F.bit_or(F.expr(bit)).alias("bits")).collect():  # at most BITS / 64 rows
-        bits[r["at"]] = str(r["bits"])
-    bitmap = f"CAST(split('{','.join(bits)}', ',') AS array<bigint>)"  # a constant once the plan is made
-    runs = lambda n: f"CASE WHEN size(w) >= {n} THEN transform(sequence(0, size(w) - {n}), i -> {run(n, 'i')}) ELSE array() END"
-    every = runs(sizes[0]) if len(sizes) == 1 else f"concat({', '.join(runs(n) for n in sizes)})"
-    likely = docs.withColumn("w", F.expr(words("c"))).select("doc_id", "c", F.explode(F.expr(f"array_distinct(filter({every}, run -> ({bitmap}[{at}] & {bit}) <> 0))")).alias("run"))
-    inside = F.contains(F.concat(F.lit(" "), "c", F.lit(" ")), F.concat(F.lit(" "), "t", F.lit(" ")))
-    return likely.join(keyed, "run").where(inside).select("doc_id", "item_id")
+    slots = keyed.select(F.expr(slot).alias("slot")).distinct()  # at most SLOTS
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", t.canonical_words(F.col("c")).alias("w"))
+    texts = texts.select("row", "doc_id", "w", F.explode(F.expr(f"filter(array({', '.join(map(str, sorted(sizes)))}), n -> n <= size(w))")).alias("n"))
+    places = texts.select("*", F.explode(F.expr("sequence(0, size(w) - n)")).alias("i")).withColumn("run", F.expr(run("i")))
+    places = places.join(F.broadcast(slots), F.expr(slot) == F.col("slot"), "left_semi")
+    tail = F.array_join(F.slice("w", F.col("i") + 1, F.when(F.col("n") < 5, F.col("n")).otherwise(max(sizes.values()))), " ")
+    places = places.select("row", "doc_id", "run", tail.alias("tail"))
+    starts = F.startswith(F.concat("tail", F.lit(" ")), F.concat("t", F.lit(" ")))
+    return places.join(keyed.drop("n", "long"), "run").where(starts).select("row", "item", "doc_id", "item_id").distinct().select("doc_id", "item_id")
 
 
 _ROWS = """r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'graph' ELSE 'passages' END AS system, o_orderpriority AS type, o_orderstatus AS domain,
